@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontamination, mixing, sharding
+from tessera.llm import decontamination, mixing, pii, sharding, url_filters
 
 QUERIES = {
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_sampled_splitter_sharding": sharding.op4_sampled_splitter_sharding,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_pii_spans": pii.op7_pii_spans,
+    "op8_url_language_model": url_filters.op8_url_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}
