@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import decontamination, mixing, pii, sharding, url_filters
+from tessera.llm import chat_formatting, decontamination, mixing, nearest_neighbours, pii, sharding, url_filters
 
 QUERIES = {
+    "op2_chat_prefix_tree": chat_formatting.op2_chat_prefix_tree,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_sampled_splitter_sharding": sharding.op4_sampled_splitter_sharding,
+    "op5_vantage_point_search": nearest_neighbours.op5_vantage_point_search,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii_spans": pii.op7_pii_spans,
     "op8_url_language_model": url_filters.op8_url_language_model,
