@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat_formatting, decontamination, mixing, nearest_neighbours, pii, sharding, url_filters
+from tessera.llm import chat_formatting, decontamination, line_dedup, mixing, nearest_neighbours, pii, sharding, url_filters
 
 QUERIES = {
     "op2_chat_prefix_tree": chat_formatting.op2_chat_prefix_tree,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_pii_spans": pii.op7_pii_spans,
     "op8_url_language_model": url_filters.op8_url_language_model,
+    "op9_line_winnowing": line_dedup.op9_line_winnowing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
