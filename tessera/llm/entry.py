@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat_formatting, decontamination, line_dedup, mixing, nearest_neighbours, pii, sharding, url_filters
+from tessera.llm import chat_formatting, decontamination, language_id, line_dedup, mixing, nearest_neighbours, pii, sharding, url_filters
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_chat_prefix_tree": chat_formatting.op2_chat_prefix_tree,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op4_sampled_splitter_sharding": sharding.op4_sampled_splitter_sharding,
