@@ -16,6 +16,9 @@ QUERIES = {
     "op8_url_language_model": url_filters.op8_url_language_model,
     "op9_line_winnowing": line_dedup.op9_line_winnowing,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
