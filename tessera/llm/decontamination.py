@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 A shard is a run of documents inside one scan task, closed when its text reaches
-``shard_symbols``. Its words are coded in the alphabet of the test phrases; every other word is a
+``shard_bytes``. Its words are coded in the alphabet of the test phrases; every other word is a
 separator, because no phrase can span it. The shard's suffix array gives the Burrows-Wheeler
 transform, a wavelet matrix over it answers ranks, backward search finds each phrase's suffix
 range, and positions sampled from the suffix array locate the occurrences. Overlapping occurrences
@@ -20,6 +20,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,7 +260,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 10,
     clean: bool = True,
-    shard_symbols: int = 1 << 23,
+    shard_bytes: int = 1 << 23,
     block_words: int = 1 << 20,
 ) -> DataFrame:
     """Every row of docs with n_words, n_hit, items, spans and, if asked, clean_text.
@@ -268,7 +269,7 @@ def decontaminate(
     occurrences; clean_text: the text less its spans. A null or empty text has no words, no spans,
     and stays as it is; a null item id is named "null"; an item without words matches nothing; with
     an empty benchmark nothing is hit. Repeated rows each get their result. Columns of docs that
-    have one of the added names are replaced. shard_symbols bounds the bytes of text of a shard (a
+    have one of the added names are replaced. shard_bytes bounds the text of a shard (a
     longer document is a shard of its own).
     """
     spark = docs.sparkSession
@@ -284,9 +285,9 @@ def decontaminate(
         phrases = [b.value for b in blocks] or [Phrases([], window)]
         for batch in batches:
             start = size = 0
-            lengths = [len(x) if x is not None else 0 for x in batch.column(place).to_pylist()]
+            lengths = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
             for i, n in enumerate([*lengths, None]):
-                if i > start and (n is None or size + n > shard_symbols):
+                if i > start and (n is None or size + n > shard_bytes):
                     part = batch.slice(start, i - start)
                     rows = _judge(part.column(place).to_pylist(), phrases, clean)
                     arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(adds.values())]

@@ -2,14 +2,15 @@
 
 Texts with the same shingles are one set. Two sets can only reach the threshold if they share one of
 their first shingles in a common order (prefix filter), so sets meet in groups, one for each shared
-first shingle; groups of the same smallest set are one group. Inside a group a signature tree holds
-the sets by size: its nodes carry an OR-combined bitmap of shingles and a size range, and a dual
-traversal leaves out node pairs whose largest possible overlap is too small. Pairs of sets that are
-left are compared exactly, unless earlier links connect them. Links join sets into components.
+first shingle; groups of the same smallest set are one group. The order puts shingles that many
+texts share last, where they are hardly ever first. Which those are is counted over all texts; any
+order gives the same links, so the bound on their number (``HEAVY``) is a matter of speed alone.
 
-The order puts shingles that many texts share last, where they are hardly ever first. Which those
-are is counted over all texts; any order gives the same links, so the bound on the number of counted
-shingles (``HEAVY``) is a matter of speed alone.
+A signature tree holds the sets of a group by size: its nodes carry an OR-combined bitmap of
+shingles and a size range, and a dual traversal leaves out node pairs whose largest possible overlap
+is too small. That is done twice. First with bitmaps alone, of two to four bits a shingle: sets that
+may be linked form candidate components. Then, inside these, with whole sets: what the tree leaves is
+compared exactly, unless earlier links connect it. Only sets with a possible partner are shuffled.
 
 A group of more than ``CHUNK`` sets is divided into chunks. Each chunk is joined with itself and with
 the first one; then the sets outside the group's largest component are joined with every chunk. Two
@@ -18,7 +19,7 @@ sets of that component need no link of their own, so no pair that matters is lef
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, drop_stash, quoted, stash, table, without
+from tessera.llm.common import col, drop_stash, quoted, slices, stash, table, without
 from tessera.llm.components import connected
 
 NO_ID = -(1 << 63)
@@ -35,9 +36,17 @@ HEAVY = 1 << 18
 HEAVY_FROM = 32  # texts
 CHUNK = 384
 FANOUT = 8
-#: Up to so many wanted sets (16 MB of keys) are told to the scan; beyond, they are joined.
+PIECE = 1 << 20  # bytes of text that are hashed at a time; a longer text is a piece of its own
+#: Up to so many wanted texts (16 MB of ids) are told to the scan; beyond, all sets are joined.
 TOLD = 2_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_ODD = 0x9E3779B97F4A7C15
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: A random number for each byte; A-Z have those of a-z, white space has none.
+_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+_powers: list[np.ndarray] = []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -47,35 +56,62 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and of its inverse."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, PIECE + (1 << 16))
+        _powers[:] = [np.cumprod(np.full(size, np.uint64(x))) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts in data, and how many words stand before each text."""
+    space = _SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    begin = offsets[:-1][offsets[:-1] < len(data)]
+    first[begin] = ~space[begin]
+    starts = np.flatnonzero(first)
+    up, down = _power(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTE[data] * up[: len(data)], starts) if len(starts) else np.zeros(0, np.uint64)
+        return _mixed(sums * down[starts]), np.searchsorted(starts, offsets)
+
+
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; null and blank texts have none."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(low)
-    coded = lists.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in distinct), np.uint64, len(distinct))
-    ids = coded.indices.to_numpy()
-    filled = np.array([bool(w) for w in distinct] or [False])[ids] if len(ids) else np.zeros(0, bool)
-    upto = np.concatenate([[0], np.cumsum(filled)])
-    offsets = lists.offsets.to_numpy()
-    offsets = upto[offsets - offsets[0]]
-    words = hashes[ids[filled]] if len(ids) else np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    out: list[np.ndarray] = []
+    none = np.zeros(0, np.uint64)
+    a = 0
+    while a < len(whole):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
+        words, at = _word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         n = max(0, len(words) - size + 1)
-        rolled = np.full(n, np.uint64(size))
-        for k in range(size):
-            rolled = _mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k])
-        out = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            if b - a >= size:
-                out.append(np.unique(rolled[a : b - size + 1]))
-            elif b > a:  # the whole sequence as one shingle
-                h = np.array([b - a], np.uint64)
-                for w in words[a:b]:
-                    h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + w)
-                out.append(h)
-            else:
-                out.append(np.zeros(0, np.uint64))
+        with np.errstate(over="ignore"):
+            rolled = np.full(n, np.uint64(size))
+            for k in range(size):
+                rolled *= np.uint64(_ODD)
+                rolled += words[k : n + k]
+                rolled ^= rolled >> np.uint64(29)
+            rolled = _mixed(rolled)
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if y - x >= size:
+                    own = np.sort(rolled[x : y - size + 1])
+                    new = np.empty(len(own), bool)
+                    new[0] = True
+                    np.not_equal(own[1:], own[:-1], out=new[1:])
+                    out.append(own[new])
+                elif y > x:  # the whole sequence as one shingle
+                    h = np.array([y - x], np.uint64)
+                    for w in words[x:y]:
+                        h = _mixed(h * np.uint64(_ODD) + w)
+                    out.append(h)
+                else:
+                    out.append(none)
+        a = b
     return out
 
 
@@ -87,134 +123,133 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _new_sets(batch: pa.RecordBatch, at: int, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, key, set) of the batch's texts, each set once."""
-    seen = set()
-    for row, s in enumerate(shingle_sets(batch.column(at), size)):
-        if len(s) and (key := set_key(s)) not in seen:
-            seen.add(key)
-            yield row, key, s
-
-
-def _keys(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(2), size)
-            keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array([len(s) for s in sets], pa.int64())], names=["_id", "_th", "key", "n"])
+def bitmap(s: np.ndarray) -> bytes:
+    """Two to four bits a shingle; the width is a power of two, so that halves fold onto each other."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
 
-    return run
 
+def _scan(size: int, least: int = 4):
+    """Of each text its key, size and bitmap; of each batch the shingles that several sets share.
 
-def _common(size: int, least: int = 8):
-    """Shingles of several sets of a batch, how many, and the smallest of their keys as a label."""
+    The latter have the shingle as key, the number of sets as n, and the smallest of their keys as _id.
+    """
+    names = ["shared", "_id", "_th", "key", "n", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_new_sets(batch, 2, size))
+        for batch in slices(batches):
+            sets = shingle_sets(batch.column(2), size)
+            keys = [set_key(s) if len(s) else None for s in sets]
+            n = pa.array([len(s) for s in sets], pa.int64())
+            maps = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0), batch.column(1), pa.array(keys, pa.int64()), n, maps], names=names)
+            found = sorted({k: s for k, s in zip(keys, sets, strict=True) if k is not None}.items())
             if not found:
                 continue
-            found.sort(key=lambda f: f[1])
-            tokens = np.concatenate([s for _, _, s in found])
-            keys = np.repeat(np.array([k for _, k, _ in found], np.int64), [len(s) for _, _, s in found])
-            token, first, n = np.unique(tokens, return_index=True, return_counts=True)
-            many = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array(token[many].view(np.int64)), pa.array(n[many]), pa.array(keys[first[many]])], names=["token", "n", "label"])
+            tokens = np.concatenate([s for _, s in found])
+            owner = np.repeat(np.array([k for k, _ in found], np.int64), [len(s) for _, s in found])
+            by = np.argsort(tokens, kind="stable")
+            tokens = tokens[by]
+            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            count = np.diff(np.append(first, len(tokens)))
+            first, count = first[count >= least], count[count >= least]
+            label = owner[by[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), bool)), pa.array(label), pa.array(label), pa.array(tokens[first].view(np.int64)), pa.array(count), pa.nulls(len(first), pa.binary())], names=names)
 
     return run
 
 
 def _prefixes(size: int, percent: int, heavy):
-    """(grouped, label, key): a light first shingle, or the label of a heavy one, of each set."""
+    """(grouped, label, key, n): a light first shingle, or the label of a heavy one, of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, rank, labels = heavy.value  # sorted by token
-        for batch in batches:
-            light, light_key, label, label_key = [], [], [], []
-            for _, key, s in _new_sets(batch, 2, size):
+        for batch in slices(batches):
+            light, light_key, label, label_key, seen = [], [], [], [], set()
+            for s in shingle_sets(batch.column(0), size):
+                if not len(s) or (key := set_key(s)) in seen:
+                    continue
+                seen.add(key)
                 p = prefix_length(len(s), percent)
                 at = np.searchsorted(tokens, s)
                 known = tokens[np.minimum(at, len(tokens) - 1)] == s if len(tokens) else np.zeros(len(s), bool)
                 own = s[~known][:p]
                 light.append(own)
-                light_key.append((key, len(own)))
+                light_key.append((key, len(s), len(own)))
                 if len(own) < p:
                     at = at[known]
                     first = np.unique(labels[at[np.argsort(rank[at])][: p - len(own)]])
                     label.append(first)
-                    label_key.append((key, len(first)))
+                    label_key.append((key, len(s), len(first)))
             for grouped, value, keys in ((False, light, light_key), (True, label, label_key)):
                 if value:
-                    k = np.repeat(np.array([x for x, _ in keys], np.int64), [n for _, n in keys])
+                    times = [t for _, _, t in keys]
+                    k, n = (np.repeat(np.array([x[i] for x in keys], kind), times) for i, kind in ((0, np.int64), (1, np.int32)))
                     v = np.concatenate(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), grouped)), pa.array(v.view(np.int64)), pa.array(k)], names=["grouped", "label", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), grouped)), pa.array(v.view(np.int64)), pa.array(k), pa.array(n)], names=["grouped", "label", "key", "n"])
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (grouped, label, key): (g, key) of all shingles that several sets share.
+def _groups(percent: int):
+    """From rows sorted by (grouped, label, n, key): (g, key) of all shingles that several sets share.
 
-    Only the last row is carried from batch to batch.
+    Sets that share a shingle are one group as far as sizes follow each other closely enough: sets on
+    both sides of a gap cannot reach the threshold. Only the last row is carried from batch to batch.
     """
-    last = None  # (label, smallest key, latest key, whether the smallest is out)
-    for batch in batches:
-        grouped, label, key = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        out_g, out_key = [label[grouped]], [key[grouped]]
-        label, key = label[~grouped], key[~grouped]
-        if len(label):
-            if last and last[0] == label[0]:  # go on with the run: put its smallest and latest row in front
-                label = np.concatenate([[label[0]] * 2, label])
-                key = np.concatenate([[last[1], last[2]], key])
-            new = np.concatenate([[True], label[1:] != label[:-1]])
-            run = np.cumsum(new) - 1
-            smallest = key[new][run]
-            differs = key != smallest
-            out_g += [smallest[differs], smallest[differs]]
-            out_key += [key[differs], smallest[differs]]
-            last = (label[-1], smallest[-1], key[-1])
-        g, k = np.concatenate(out_g), np.concatenate(out_key)
-        if len(g):
-            pairs = np.unique(np.stack([g, k], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["g", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # label, first key of the run, latest size
+        for batch in batches:
+            grouped, label, key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out_g, out_key = [label[grouped]], [key[grouped]]
+            label, key, n = label[~grouped], key[~grouped], n[~grouped].astype(np.int64)
+            if len(label):
+                if last:
+                    label, key, n = (np.concatenate([[x], y]) for x, y in zip(last, (label, key, n), strict=True))
+                new = np.concatenate([[True], (label[1:] != label[:-1]) | (n[1:] * percent > 100 * n[:-1])])
+                first = key[new][np.cumsum(new) - 1]
+                differs = key != first
+                out_g += [first[differs], first[differs]]
+                out_key += [key[differs], first[differs]]
+                last = (label[-1], first[-1], n[-1])
+            g, k = np.concatenate(out_g), np.concatenate(out_key)
+            if len(g):
+                pairs = np.unique(np.stack([g, k], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["g", "key"])
+
+    return run
 
 
 def _sets(size: int, wanted):
-    """(_id, key, tokens) of the sets that wanted (sorted keys, or None for all) names."""
+    """(key, payload) of the texts whose ids wanted (sorted, or None for all) holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = wanted.value if wanted else None
         for batch in batches:
-            rows, found, blobs = [], [], []
-            for row, s in enumerate(shingle_sets(batch.column(2), size)):
-                if not len(s):
-                    continue
-                key = set_key(s)
-                if keys is not None:
-                    at = np.searchsorted(keys, key)
-                    if at == len(keys) or keys[at] != key:
-                        continue
-                rows.append(row)
-                found.append(key)
-                blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], names=["_id", "key", "tokens"])
+            if wanted:
+                ids = batch.column(0).to_numpy()
+                at = np.minimum(np.searchsorted(wanted.value, ids), len(wanted.value) - 1)
+                batch = batch.filter(pa.array(wanted.value[at] == ids)) if len(wanted.value) else batch.slice(0, 0)
+            for part in slices(iter([batch]), 500):
+                sets = shingle_sets(part.column(1), size)
+                rows = [i for i, s in enumerate(sets) if len(s)]
+                keys = pa.array([set_key(sets[i]) for i in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), keys, pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["_id", "key", "payload"])
 
     return run
 
 
 class SignatureTree:
-    """Sets sorted by size, FANOUT to a node at every level; level 0 holds the sets themselves."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets])
-        bits = int(np.clip(1 << int(np.ceil(np.log2(4 * n.max()))), 64, 1 << 15))
-        signature = np.zeros((len(sets), bits), bool)
-        for row, s in zip(signature, sets, strict=True):
-            row[(s % np.uint64(bits)).astype(np.int64)] = True
-        packed = np.packbits(signature, axis=1).view(np.uint64)
-        # shingles beyond one for each bit: what the bitmaps cannot tell apart
-        surplus = n - signature.sum(1)
-        self.levels = [(packed, n, n, surplus)]
+    """Sets in order of size, FANOUT to a node at every level; level 0 holds the sets themselves.
+
+    A node has the OR of its bitmaps, its least and largest size, and the largest surplus: how many
+    shingles of a set go beyond one for each bit.
+    """
+
+    def __init__(self, packed: np.ndarray, n: np.ndarray):
+        self.levels = [(packed, n, n, n - np.bitwise_count(packed).sum(1, dtype=np.int64))]
         while len(self.levels[-1][1]) > 1:
             sig, low, high, more = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
@@ -225,62 +260,107 @@ class SignatureTree:
         sig, low, high, more = self.levels[level]
         fits = (low[a] * percent <= 100 * high[b]) & (low[b] * percent <= 100 * high[a])
         a, b = a[fits], b[fits]
-        most = np.bitwise_count(sig[a] & sig[b]).sum(1, dtype=np.int64) + np.minimum(more[a], more[b])
-        # 100 i >= p (x + y - i) for the smallest sizes the nodes hold
-        enough = most * (100 + percent) >= percent * (low[a] + low[b])
-        fits[fits] = enough
+        most = np.empty(len(a), np.int64)
+        for k in range(0, len(a), 1 << 14):  # bounds the bitmaps in memory
+            x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+            most[k : k + (1 << 14)] = np.bitwise_count(sig[x] & sig[y]).sum(1, dtype=np.int64) + np.minimum(more[x], more[y])
+        # 100 i >= p (x + y - i), for the least sizes that the nodes hold
+        fits[fits] = most * (100 + percent) >= percent * (low[a] + low[b])
         return fits
 
-
-def join_sets(sets: list[np.ndarray], percent: int, group: np.ndarray | None = None, probe: np.ndarray | None = None) -> np.ndarray:
-    """Component number of each set, from its links and the components in group.
-
-    With probe, only pairs that hold a set of probe are compared.
-    """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in order]
-    comp = (np.arange(len(sets)) if group is None else group[order]).copy()
-    ask = np.ones(len(sets), bool) if probe is None else probe[order]
-    if len(sets) > 1:
-        tree = SignatureTree(sets)
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs a < b of sets that the dual traversal leaves."""
         a = b = np.zeros(1, np.int64)
-        for level in range(len(tree.levels) - 1, -1, -1):
-            fits = tree.possible(level, a, b, percent) | ((a == b) & (level > 0))
+        kids = np.arange(FANOUT)
+        for level in range(len(self.levels) - 1, -1, -1):
+            fits = self.possible(level, a, b, percent)
+            if level:
+                fits |= a == b
             a, b = a[fits], b[fits]
-            if level and len(a):
-                width = len(tree.levels[level - 1][1])
-                kids = np.arange(FANOUT)
-                left = (a[:, None, None] * FANOUT + kids[:, None] + 0 * kids).reshape(-1)
-                right = (b[:, None, None] * FANOUT + 0 * kids[:, None] + kids).reshape(-1)
-                keep = (left < width) & (right < width) & (left <= right)
+            if level:
+                width = len(self.levels[level - 1][1])
+                left = np.broadcast_to(a[:, None, None] * FANOUT + kids[:, None], (len(a), FANOUT, FANOUT)).reshape(-1)
+                right = np.broadcast_to(b[:, None, None] * FANOUT + kids, (len(b), FANOUT, FANOUT)).reshape(-1)
+                keep = (left < right) | ((left == right) & (level > 1))
+                keep &= (left < width) & (right < width)
                 a, b = left[keep], right[keep]
-        keep = (a < b) & (ask[a] | ask[b])
-        for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-            if comp[i] != comp[j]:
-                x, y = sets[i], sets[j]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    comp[comp == comp[j]] = comp[i]
+        return a, b
+
+
+def labels_of(n: int, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Component labels of n nodes from links (a, b) and the components they are in already."""
+    _, first, same = np.unique(group, return_index=True, return_inverse=True)
+    a, b = np.concatenate([a, np.arange(n)]), np.concatenate([b, first[same]])
+    comp = np.arange(n)
+    while True:
+        least = np.minimum(comp[a], comp[b])
+        new = comp.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == comp).all():
+            return comp
+        comp = new
+
+
+def match_bitmaps(payloads: list[bytes], n: np.ndarray, percent: int, group: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Labels of sets that may be linked, by their bitmaps.
+
+    Linked sets have bitmaps of one width, or of neighbouring ones; the wider is folded then.
+    """
+    width = np.array([len(p) for p in payloads])
+    left, right = [], []
+    for w in np.unique(width):
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        own = own[np.argsort(n[own], kind="stable")]
+        packed = np.empty((len(own), w), np.uint8)
+        for row, i in zip(packed, own.tolist(), strict=True):
+            p = np.frombuffer(payloads[i], np.uint8)
+            row[:] = p if len(p) == w else p[:w] | p[w:]
+        a, b = SignatureTree(packed.view(np.uint64), n[own]).pairs(percent)
+        a, b = own[a], own[b]
+        keep = ((width[a] == w) | (width[b] == w)) & (probe[a] | probe[b])
+        left.append(a[keep])
+        right.append(b[keep])
+    return labels_of(len(n), np.concatenate(left), np.concatenate(right), group)
+
+
+def match_sets(payloads: list[bytes], n: np.ndarray, percent: int, group: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """Labels of sets that are linked, by their shingles."""
+    order = np.argsort(n, kind="stable")
+    sets = [np.frombuffer(payloads[i], np.uint64) for i in order]
+    comp, ask = labels_of(len(n), order[:0], order[:0], group)[order], probe[order]
+    bits = int(np.clip(1 << int(4 * n.max() - 1).bit_length(), 64, 1 << 15))
+    signature = np.zeros((len(sets), bits), bool)
+    for row, s in zip(signature, sets, strict=True):
+        row[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    a, b = SignatureTree(np.packbits(signature, axis=1).view(np.uint64), n[order]).pairs(percent)
+    del signature
+    keep = ask[a] | ask[b]
+    for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+        if comp[i] != comp[j]:
+            x, y = sets[i], sets[j]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                comp[comp == comp[j]] = comp[i]
     out = np.empty_like(comp)
     out[order] = comp
     return out
 
 
-def _join_task(percent: int):
+def _join_task(match: Callable, percent: int):
     def run(rows: pa.Table) -> pa.Table:
-        """Links (a, b), from each set to the first of its component, for each pid in the task."""
-        pid, key = rows["pid"].to_numpy(), rows["key"].to_numpy()
+        """Links (a, b), from each set to one of its component, for each pid in the task."""
+        pid, key, n = rows["pid"].to_numpy(), rows["key"].to_numpy(), rows["n"].to_numpy()
         probe, comp = rows["probe"].to_numpy(), rows["comp"].to_numpy()
-        blobs = rows["tokens"].to_pylist()
+        payloads = rows["payload"].to_pylist()
         by = np.lexsort((key, pid))
         left, right = [], []
         for own in np.split(by, np.flatnonzero(np.diff(pid[by])) + 1) if len(by) else ():
             own = own[np.concatenate([[True], np.diff(key[own]) != 0])]
             if len(own) < 2:
                 continue
-            sets = [np.frombuffer(blobs[i], np.uint64) for i in own]
-            _, group = np.unique(comp[own], return_inverse=True)
-            found = join_sets(sets, percent, group, probe[own] if probe[own].any() else None)
+            found = match([payloads[i] for i in own], n[own], percent, comp[own], probe[own])
             _, first, same = np.unique(found, return_index=True, return_inverse=True)
             a, b = key[own], key[own[first[same]]]
             left.append(a[a != b])
@@ -290,6 +370,51 @@ def _join_task(percent: int):
     return run
 
 
+def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int) -> DataFrame:
+    """(node, root) of all keys that match links, directly or by way of others, inside groups (g, key).
+
+    payloads: (key, n, payload), one row for each key at least.
+    """
+    sizes = groups.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    members = groups.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("m")
+    members = stash(members, "jaccard-members")
+    # Small groups share tasks of about CHUNK sets; each chunk of a large one is a task.
+    lots = max(1, members.count() // CHUNK)
+    parts = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    tasks = members.select("g", "chunks", "key", F.explode(parts).alias("part")).select(
+        "key",
+        F.xxhash64("g", "part").alias("pid"),
+        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("g"), F.lit(lots))).otherwise(F.xxhash64("g", "part")).alias("task"),
+        F.lit(True).alias("probe"),
+        F.col("key").alias("comp"),
+    )
+    links = stash(tasks.join(payloads, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-links")
+    roots = connected(links)
+    large = members.where("chunks > 1")
+    if not large.isEmpty():
+        known = stash(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root"), "jaccard-large")
+        largest = known.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("m"))
+        rest = largest.select("g", F.col("t.comp").alias("main"), (F.col("m") - F.col("t.c")).alias("others")).where("others > 0")
+        rest = stash(rest.withColumn("lots", F.ceil(F.col("others") / CHUNK).cast("int")), "jaccard-rest")
+        if not rest.isEmpty():
+            open_ = known.join(rest, "g")
+            ask = open_.where(F.col("comp") != F.col("main")).withColumn("lot", F.pmod(F.xxhash64("key", F.lit(3)), F.col("lots")).cast("int"))
+            asked = ask.select("g", "key", "comp", "lot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
+            every = open_.select("g", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "chunk", F.lit(False).alias("probe"))
+            pairs = asked.unionByName(every).groupBy("g", "lot", "chunk", "key", "comp").agg(F.max("probe").alias("probe"))
+            task = F.xxhash64("g", "lot", "chunk")
+            pairs = pairs.select("key", task.alias("pid"), task.alias("task"), "probe", "comp")
+            more = stash(pairs.join(payloads, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-more")
+            drop_stash(roots)
+            roots = connected(links.unionByName(more))
+            drop_stash(more)
+        drop_stash(rest)
+        drop_stash(known)
+    drop_stash(links)
+    drop_stash(members)
+    return roots
+
+
 def id_number(id_col: str) -> Column:
     return F.coalesce(F.expr(f"try_cast({quoted(id_col)} AS bigint)"), F.lit(NO_ID))
 
@@ -303,74 +428,46 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
 
     _id and _th are the id and a hash of the text; a null id counts as the least number. key is null
     and component the own id where the text is null or has no words. Repeated rows have one set; an
-    empty table has no rows; other columns are ignored.
+    empty table has no rows; other columns are ignored. percent is 50 or more: bitmaps of linked sets
+    are then of one width or of neighbouring ones.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
     plain = docs.select(id_number(id_col).alias("_id"), text_hash(text_col).alias("_th"), col(text_col).cast("string").alias("_text"))
-    rows = stash(plain.mapInArrow(_keys(size), "_id long, _th long, key long, n long"), "jaccard-keys")
-    owners = stash(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("owner")), "jaccard-owners")
-
-    common = plain.mapInArrow(_common(size), "token long, n long, label long").groupBy("token").agg(F.sum("n").alias("n"), F.min("label").alias("label"))
-    common = common.where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    token = common["token"].to_numpy().view(np.uint64)
+    scanned = stash(plain.mapInArrow(_scan(size), "shared boolean, _id long, _th long, key long, n long, bitmap binary"), "jaccard-scan")
+    rows = scanned.where("NOT shared")
+    owners = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_id", "n", "bitmap")).alias("o"))
+    owners = stash(owners.select("key", F.col("o._id").alias("owner"), F.col("o.n").alias("n"), F.col("o.bitmap").alias("payload")), "jaccard-owners")
+
+    common = scanned.where("shared").groupBy("key").agg(F.sum("n").alias("n"), F.min("_id").alias("label"))
+    common = common.where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    token, n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy()
     by = np.argsort(token)
-    heavy = spark.sparkContext.broadcast((token[by], np.argsort(np.lexsort((token, common["n"].to_numpy())))[by], common["label"].to_numpy()[by]))
+    rank = np.empty(len(by), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(by))
+    heavy = spark.sparkContext.broadcast((token[by], rank[by], common["label"].to_numpy()[by]))
 
-    first = plain.mapInArrow(_prefixes(size, percent, heavy), "grouped boolean, label long, key long")
+    first = plain.select("_text").mapInArrow(_prefixes(size, percent, heavy), "grouped boolean, label long, key long, n int")
     spread = F.when(F.col("grouped"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0)
-    met = first.repartition("label", spread).sortWithinPartitions("grouped", "label", "key").mapInArrow(_groups, "g long, key long").distinct()
+    met = first.repartition("label", spread).sortWithinPartitions("grouped", "label", "n", "key").mapInArrow(_groups(percent), "g long, key long").distinct()
     met = stash(met, "jaccard-groups")
     heavy.destroy()
-    sizes = met.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
-    met2 = stash(met.join(sizes, "g").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")), "jaccard-members")
+    maybe = linked(met, owners.drop("owner"), match_bitmaps, percent)
     drop_stash(met)
 
-    wanted = stash(met2.select("key").distinct().join(owners, "key"), "jaccard-wanted")
-    n_wanted, n_members = wanted.count(), met2.count()
-    told = None
-    if n_wanted <= TOLD:
-        told = spark.sparkContext.broadcast(np.sort(wanted.select("key").toArrow()["key"].to_numpy()))
-    sets = plain.mapInArrow(_sets(size, told), "_id long, key long, tokens binary")
-    sets = stash(sets.join(wanted, (F.col("_id") == F.col("owner")) & (sets["key"] == wanted["key"]), "left_semi").select("key", "tokens"), "jaccard-sets")
-
-    # Small groups share tasks of about CHUNK sets; each chunk of a large one is a task.
-    lots = max(1, n_members // CHUNK)
-    parts = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    tasks = met2.select("g", "chunks", "key", F.explode(parts).alias("part")).select(
-        "key",
-        F.xxhash64("g", "part").alias("pid"),
-        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("g"), F.lit(lots))).otherwise(F.xxhash64("g", "part")).alias("task"),
-        F.lit(False).alias("probe"),
-        F.col("key").alias("comp"),
-    )
-    links = stash(tasks.join(sets, "key").groupBy("task").applyInArrow(_join_task(percent), "a long, b long"), "jaccard-links")
-    roots = connected(links)
-
-    large = met2.where("chunks > 1")
-    if not large.isEmpty():
-        members = stash(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root"), "jaccard-large")
-        most = members.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("m2")).select("g", F.col("t.comp").alias("main"), (F.col("m2") - F.col("t.c")).alias("others"))
-        most = stash(most.where("others > 0").withColumn("lots", F.ceil(F.col("others") / CHUNK).cast("int")), "jaccard-rest")
-        if not most.isEmpty():
-            open_ = members.join(most, "g")
-            ask = open_.where(F.col("comp") != F.col("main")).withColumn("lot", F.pmod(F.xxhash64("key", F.lit(3)), F.col("lots")).cast("int"))
-            asked = ask.select("g", "key", "comp", "lot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
-            every = open_.select("g", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "chunk", F.lit(False).alias("probe"))
-            pairs = asked.unionByName(every).groupBy("g", "lot", "chunk", "key", "comp").agg(F.max("probe").alias("probe"))
-            pairs = pairs.select("key", F.xxhash64("g", "lot", "chunk").alias("pid"), F.xxhash64("g", "lot", "chunk").alias("task"), "probe", "comp")
-            more = stash(pairs.join(sets, "key").groupBy("task").applyInArrow(_join_task(percent), "a long, b long"), "jaccard-more")
-            roots = connected(links.unionByName(more))
-            for used in (most, more):
-                drop_stash(used)
-        drop_stash(members)
-    for used in (met2, wanted, sets, links):
-        drop_stash(used)
+    wanted = stash(maybe.join(owners.drop("payload"), maybe["node"] == owners["key"]).select("root", "key", "owner", "n"), "jaccard-wanted")
+    told = spark.sparkContext.broadcast(np.unique(wanted.select("owner").toArrow()["owner"].to_numpy())) if wanted.count() <= TOLD else None
+    sets = plain.select("_id", "_text").mapInArrow(_sets(size, told), "_id long, key long, payload binary")
+    sets = stash(sets.join(wanted.select("key", "owner", "n"), "key").where("_id = owner").select("key", "n", "payload"), "jaccard-sets")
+    roots = linked(wanted.select(F.col("root").alias("g"), "key"), sets, match_sets, percent)
 
-    named = roots.withColumnRenamed("node", "key").join(owners, "key")
+    named = roots.withColumnRenamed("node", "key").join(owners.select("key", "owner"), "key")
     smallest = stash(named.groupBy("root").agg(F.min("owner").alias("component")), "jaccard-smallest")
-    linked = stash(named.join(smallest, "root").select("key", "component"), "jaccard-components")
-    final = stash(owners.join(linked, "key", "left").select("key", F.coalesce("component", "owner").alias("component")), "jaccard-final")
-    for used in (smallest, linked, owners, roots):
+    linked_keys = stash(named.join(smallest, "root").select("key", "component"), "jaccard-components")
+    final = owners.select("key", "owner").join(linked_keys, "key", "left").select("key", F.coalesce("component", "owner").alias("component"))
+    final = stash(final, "jaccard-final")
+    for used in (maybe, wanted, sets, roots, smallest, linked_keys, owners):
         drop_stash(used)
     return rows.join(final, "key", "left").select("_id", "_th", "key", "n", F.coalesce("component", "_id").alias("component"))
 

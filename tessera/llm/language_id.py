@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, table, without
+from tessera.llm.common import col, slices, table, without
 
 BUCKETS = 1 << 16
 MAX_LANGS = 64
@@ -94,7 +94,7 @@ class Words:
         """(word, bucket) arrays of the n-grams of all distinct words, for n from 1 to 4."""
         b, space = self.bytes, self.bytes == 32
         for n in range(1, 5):
-            last = len(b) - n + 1
+            last = max(0, len(b) - n + 1)
             code = np.zeros(last, np.uint32)
             good = ~space[:last] if n == 1 else np.ones(last, bool)
             for k in range(n):
@@ -120,7 +120,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used].astype(np.int64))], names=["lang", "bucket", "n"])
             counts.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             langs = batch.column(0).to_pylist()
             words = Words(batch.column(1).to_pylist())
             names = sorted(set(langs))
@@ -245,7 +245,7 @@ def _predict(texts: list[str | None], model: Model, penalty: float, spans: bool)
     words = Words(texts)
     scores = model.word_scores(words)
     size = np.array([len(w) for w in words.distinct] or [0])
-    budget, a = max(1, (1 << 23) // len(model.langs)), 0
+    budget, a = max(1, (1 << 21) // len(model.langs)), 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(words.offsets, words.offsets[a] + budget, "right")) - 1)
         ids = words.ids[words.offsets[a] : words.offsets[b]]
@@ -295,12 +295,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                rows = _predict(part.column(place).to_pylist(), sent.value, penalty, spans)
-                arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=schema.names)
+        for batch in slices(batches, 1000):
+            rows = _predict(batch.column(place).to_pylist(), sent.value, penalty, spans)
+            arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
 
     return rest.mapInArrow(run, schema)
 

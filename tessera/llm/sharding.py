@@ -96,11 +96,12 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
 
 def op4_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))  # before sharding, so no text is shuffled
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", crc.alias("text_crc32"))
     return shard(docs).select(
         "doc_id",
         "size",
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
