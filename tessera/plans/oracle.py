@@ -49,16 +49,15 @@ PAIRS = """pairs AS (SELECT c.coin_id, c.band IS NOT NULL AS banded, f.*, abs(c.
  + CASE WHEN c.variant = f.variant THEN 20 ELSE 0 END + CASE WHEN c.catalog_ref = f.catalog_ref THEN 25 ELSE 0 END
  + CASE WHEN abs(c.band - f.band) = 0 THEN 8 WHEN abs(c.band - f.band) >= 2 THEN -15 ELSE 0 END) AS similarity,
  CASE WHEN c.catalog_ref IS NOT NULL THEN coalesce(c.catalog_ref = f.catalog_ref, false) ELSE c.variant IS NULL OR coalesce(c.variant = f.variant, false) END AS specific
- FROM coins c JOIN priced f ON c.nominal = f.nominal AND coalesce(c.ruler = f.ruler, true) AND coalesce(c.variant = f.variant, true) AND coalesce(c.catalog_ref = f.catalog_ref, true)
- WHERE c.coin_id % 400 = 1),
+ FROM coins c JOIN priced f ON c.nominal = f.nominal AND coalesce(c.ruler = f.ruler, true) AND coalesce(c.variant = f.variant, true) AND coalesce(c.catalog_ref = f.catalog_ref, true)),
  scored AS (SELECT *, CASE WHEN similarity >= 85 THEN CASE WHEN NOT specific OR coalesce(dist >= 2, false) THEN 'good' ELSE 'strict' END WHEN similarity >= 70 THEN 'good' ELSE 'indicative' END AS quality FROM pairs WHERE similarity >= 55)"""
 
 PRINTS = """feat AS (SELECT unnest(['punctuationPattern', 'dateSpacing', 'datePosition', 'legendStartClock', 'legendEndClock', 'portraitOrientation', 'crownShape', 'shieldPosition', 'mintMarkPosition', 'eagleTail', 'wingPattern', 'featherPattern']) AS feature,
  unnest([1.4, 1.3, 1.0, 0.8, 0.8, 0.7, 1.0, 0.8, 1.2, 1.3, 1.3, 1.4])::DOUBLE AS w, unnest(range(1, 13)) AS k),
- prints AS (SELECT vec_id AS print_id, CAST(label AS BIGINT) AS identity, feature, w, round(CAST(embedding[k] AS DOUBLE) * 20, 0) + 0.0 AS value, CAST(60 + vec_id % 41 AS DOUBLE) AS confidence FROM embeddings, feat WHERE vec_id < 300),
+ prints AS (SELECT vec_id AS print_id, CAST(label AS BIGINT) AS identity, feature, w, round(CAST(embedding[k] AS DOUBLE) * 20, 0) + 0.0 AS value, CAST(60 + vec_id % 41 AS DOUBLE) AS confidence FROM embeddings, feat),
  cmp AS (SELECT a.print_id AS a_print_id, b.print_id AS b_print_id, round(sum(s * a.w * sqrt(a.confidence / 100 * b.confidence / 100)) / sum(a.w * sqrt(a.confidence / 100 * b.confidence / 100)) * 100, 4) AS score,
  count(*) AS matched, count(*) FILTER (s < 0.25 AND a.w >= 1) AS conflicts FROM prints a JOIN prints b ON a.identity = b.identity AND a.feature = b.feature AND a.print_id <> b.print_id,
- LATERAL (SELECT greatest(0.0, 1 - abs(a.value - b.value) / greatest(1.0, abs(a.value), abs(b.value))) AS s) WHERE a.print_id % 10 = 0 GROUP BY 1, 2)"""
+ LATERAL (SELECT greatest(0.0, 1 - abs(a.value - b.value) / greatest(1.0, abs(a.value), abs(b.value))) AS s) GROUP BY 1, 2)"""
 
 CHANGED = """chg AS (SELECT *, concat_ws(',', CASE WHEN accepted AND lower(nominal) <> lower(raw_nominal) THEN 'nominal' END, CASE WHEN accepted AND ruler IS NOT NULL AND lower(ruler) <> lower(raw_ruler) THEN 'ruler' END,
  CASE WHEN accepted AND variant <> raw_variant THEN 'variant' END) AS changed FROM coins)"""
@@ -99,11 +98,11 @@ ORACLE_SQL = {
  u AS (SELECT * FROM t WHERE tier IS NOT NULL AND (quality = 'strict' OR (tier = 'strict+good' AND quality = 'good'))),
  d AS (SELECT coin_id AS i, CASE WHEN count(*) FILTER (basis = 'hammer') >= 3 THEN 'hammer' WHEN count(*) FILTER (basis = 'realized') >= 3 THEN 'realized' WHEN count(*) FILTER (basis = 'total') >= 3 THEN 'total' END AS main FROM u GROUP BY 1),
  r AS (SELECT coin_id, tier, basis, count(*) AS n, {stats()} FROM u JOIN d ON coin_id = i AND basis = main GROUP BY 1, 2, 3)
- SELECT c.coin_id, coalesce(tier, 'insufficient') AS tier, basis, coalesce(n, 0) AS n, low, median, high FROM coins c LEFT JOIN r ON c.coin_id = r.coin_id WHERE c.coin_id % 400 = 1""",
-    "target_alerts": f"""WITH {FACTS}, {COINS}, p AS (SELECT c.coin_id AS target_id, fact_id, CASE WHEN c.ruler = f.ruler THEN 25 ELSE 0 END + 30 + 25 + 10 AS confidence FROM coins c JOIN facts f ON c.year = f.year AND c.variant = f.variant AND coalesce(c.ruler = f.ruler, true) AND c.nominal = f.nominal WHERE c.coin_id % 200 = 3)
+ SELECT c.coin_id, coalesce(tier, 'insufficient') AS tier, basis, coalesce(n, 0) AS n, low, median, high FROM coins c LEFT JOIN r ON c.coin_id = r.coin_id""",
+    "target_alerts": f"""WITH {FACTS}, {COINS}, p AS (SELECT c.coin_id AS target_id, fact_id, CASE WHEN c.ruler = f.ruler THEN 25 ELSE 0 END + 30 + 25 + 10 AS confidence FROM coins c JOIN facts f ON c.year = f.year AND c.variant = f.variant AND coalesce(c.ruler = f.ruler, true) AND c.nominal = f.nominal)
  SELECT target_id, fact_id, CAST(confidence AS INTEGER) AS confidence, confidence >= 70 AS strong FROM p WHERE confidence >= 70""",
     "type_suggest_topk": f"""WITH {COINS}, p AS (SELECT a.coin_id, t.coin_id AS type_id, CASE WHEN a.year = t.year THEN 45 ELSE 0 END + CASE WHEN a.ruler = t.ruler THEN 20 ELSE 0 END + CASE WHEN a.nominal = t.nominal THEN 20 ELSE 0 END + CASE WHEN a.mint = t.mint THEN 10 ELSE 0 END AS score
- FROM coins a, coins t WHERE a.coin_id % 20 = 5 AND t.coin_id % 10 = 0), r AS (SELECT coin_id, type_id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY coin_id ORDER BY score DESC, type_id) AS INTEGER) AS rank FROM p WHERE score > 0) SELECT * FROM r WHERE rank <= 8""",
+ FROM coins a, coins t WHERE t.coin_id IN (SELECT min(coin_id) FROM coins GROUP BY nominal)), r AS (SELECT coin_id, type_id, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY coin_id ORDER BY score DESC, type_id) AS INTEGER) AS rank FROM p WHERE score > 0) SELECT * FROM r WHERE rank <= 8""",
     "same_variant": f"WITH {COINS} SELECT trim(regexp_replace(lower(coalesce(ruler, '')), '[^a-z0-9]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(nominal), '[^a-z0-9]+', ' ', 'g')) || '|' || variant AS identity, count(*) AS n, min(coin_id) AS first_coin FROM coins GROUP BY 1",
     "fee_rule_asof": f"WITH {FACTS}, {RULES} SELECT c AS rule_checked_at, pct AS premium_pct, count(*) AS n FROM ruled GROUP BY 1, 2",
     "buyer_cost": f"""WITH {FACTS}, {RULES} SELECT fact_id, pct IS NOT NULL AS complete, round(hammer_price * pct / 100, 6) AS premium, round(hammer_price * pct / 100 * 23.0::DOUBLE / 100, 6) AS vat,
@@ -114,7 +113,7 @@ ORACLE_SQL = {
  r AS (SELECT coin_id, CAST(year - 1500 + coin_id % 600 + 1400 AS INTEGER) AS year FROM coins) SELECT coin_id, year, count(era) AS n_eras, arg_min(era, place) AS first_era FROM r LEFT JOIN eras ON year BETWEEN f AND t GROUP BY 1, 2""",
     "collection_search": f"WITH {COINS} SELECT coin_id, title, grade FROM coins WHERE contains(lower(concat_ws(chr(10), title, ruler, nominal, year, mint, variant, grade)), 'brand#1') AND grade = 'VF'",
     "collection_facets": f"WITH {COINS} " + " UNION ALL ".join(f"SELECT '{c}' AS facet, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM coins GROUP BY 2" for c in ("ruler", "nominal", "grade", "mint")),
-    "collection_sort": f"""WITH {COINS}, r AS (SELECT coin_id, row_number() OVER (ORDER BY year DESC NULLS LAST, trim(regexp_replace(lower(nominal), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), coin_id) AS place FROM coins WHERE coin_id <= 200) SELECT * FROM r WHERE place <= 60""",
+    "collection_sort": f"""WITH {COINS}, r AS (SELECT coin_id, row_number() OVER (ORDER BY year DESC NULLS LAST, trim(regexp_replace(lower(nominal), '[^a-z0-9]+', ' ', 'g')), trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), coin_id) AS place FROM coins) SELECT * FROM r WHERE place <= 60""",
     "collection_value_by_currency": f"WITH {COINS} SELECT purchase_currency, round(sum(value), 2) AS value, count(*) FILTER (stale) AS n_stale, count(*) FILTER (value > 0) AS n_valued, count(*) FILTER (NOT stale AND value <= 0) AS n_unvalued FROM valued GROUP BY 1",
     "roi_summary": f"WITH {COINS} SELECT purchase_currency, count(*) AS n, floor((sum(value) - sum(purchase_price)) / sum(purchase_price) * 1000 + 0.5) / 10 AS roi_pct FROM valued WHERE value > 0 AND purchase_price > 0 GROUP BY 1",
     "value_breakdown": f"WITH {COINS} " + " UNION ALL ".join(f"SELECT '{c}' AS dimension, coalesce({c}, 'unknown') AS member, count(*) AS n, round(sum(value), 2) AS value FROM valued GROUP BY {c}" for c in ("ruler", "mint", "nominal")),
@@ -154,6 +153,6 @@ ORACLE_SQL = {
     "history_topn": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "latency_p50_p90": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events), k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS m FROM r WHERE n <= 60)
  SELECT event_type, count(*) AS n, max(CASE WHEN r = ceil(m * 0.5) THEN value END) AS p50, max(CASE WHEN r = ceil(m * 0.9) THEN value END) AS p90 FROM k GROUP BY 1""",
-    "text_fold": f"SELECT doc_id, trim(regexp_replace(translate({STRIP.format('substr(text, 1, 60)')}, 'ł', 'l'), '[^a-z0-9]+', ' ', 'g')) AS folded, {STRIP.format('trim(substr(text, 1, 60))')} AS comparable FROM documents",
+    "text_fold": f"SELECT doc_id, trim(regexp_replace(translate({STRIP.format('text')}, 'ł', 'l'), '[^a-z0-9]+', ' ', 'g')) AS folded, {STRIP.format('trim(text)')} AS comparable FROM documents",
     "sentinel_canonical": f"WITH {COINS} SELECT CASE WHEN mint <> 'unknown' THEN mint END AS mint, count(*) AS n FROM coins GROUP BY 1",
 }

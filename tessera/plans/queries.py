@@ -95,24 +95,24 @@ def trend(spark, sf_dir):
 
 
 def comparable_match(spark, sf_dir):
-    some = banded_coins(spark, sf_dir).where("coin_id % 400 = 1")
     rows = priced(spark, sf_dir).withColumn("band", market.grade_band(F.col("grade")))
-    return match.comparables(some, rows).select("coin_id", "fact_id", "similarity", "quality")
+    return match.comparables(banded_coins(spark, sf_dir), rows).select("coin_id", "fact_id", "similarity", "quality")
 
 
 def valuation_tiers(spark, sf_dir):
-    some = banded_coins(spark, sf_dir).where("coin_id % 400 = 1")
-    return valuation(some, facts(spark, sf_dir), as_of=AS_OF, currency="PLN", years=10).select("coin_id", "tier", "basis", "n", "low", "median", "high")
+    return valuation(banded_coins(spark, sf_dir), facts(spark, sf_dir), as_of=AS_OF, currency="PLN", years=10).select("coin_id", "tier", "basis", "n", "low", "median", "high")
 
 
 def target_alerts(spark, sf_dir):
-    targets = coins(spark, sf_dir).where("coin_id % 200 = 3").select(F.col("coin_id").alias("target_id"), "ruler", "nominal", "year", F.lit(None).cast("string").alias("mint"), "variant")
+    targets = coins(spark, sf_dir).select(F.col("coin_id").alias("target_id"), "ruler", "nominal", "year", F.lit(None).cast("string").alias("mint"), "variant")
     return match.alerts(targets, facts(spark, sf_dir)).select("target_id", "fact_id", "confidence", "strong")
 
 
 def type_suggest_topk(spark, sf_dir):
-    types = coins(spark, sf_dir).where("coin_id % 10 = 0").select(F.col("coin_id").alias("type_id"), "year", "ruler", "nominal", "mint")
-    return match.suggest_types(coins(spark, sf_dir).where("coin_id % 20 = 5"), types, 8)
+    """The first coin of each nominal is a registered type."""
+    firsts = coins(spark, sf_dir).groupBy("nominal").agg(F.min("coin_id").alias("coin_id")).select("coin_id")
+    types = coins(spark, sf_dir).join(firsts, "coin_id", "left_semi").select(F.col("coin_id").alias("type_id"), "year", "ruler", "nominal", "mint")
+    return match.suggest_types(coins(spark, sf_dir), types, 8)
 
 
 def same_variant(spark, sf_dir):
@@ -159,9 +159,10 @@ def collection_facets(spark, sf_dir):
 
 
 def collection_sort(spark, sf_dir):
-    rows = coins(spark, sf_dir).where("coin_id <= 200")
-    place = Window.orderBy(F.col("year").desc_nulls_last(), text.fold_l(F.col("nominal")), text.fold_l(F.col("title")), "coin_id")  # 200 rows
-    return rows.select("coin_id", F.row_number().over(place).cast("long").alias("place")).where("place <= 60")
+    """The first page, of 60 coins, in the collection's order."""
+    order = [F.col("year").desc_nulls_last(), text.fold_l(F.col("nominal")), text.fold_l(F.col("title")), F.col("coin_id")]
+    page = coins(spark, sf_dir).orderBy(*order).limit(60)
+    return page.select("coin_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
 def collection_value_by_currency(spark, sf_dir):
@@ -232,15 +233,15 @@ def hard_negatives(spark, sf_dir):
 
 
 def _prints(spark, sf_dir):
-    """Twelve named features of each vector, ten vectors to an identity."""
+    """Twelve named features of each vector; its label is the identity."""
     names = F.array(*map(F.lit, list(fingerprint.WEIGHTS)[:12]))
-    rows = read(spark, sf_dir, "embeddings").where("vec_id < 300").select(F.col("vec_id").alias("print_id"), F.col("label").cast("long").alias("identity"), F.posexplode(F.slice("embedding", 1, 12)).alias("k", "v"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("print_id"), F.col("label").cast("long").alias("identity"), F.posexplode(F.slice("embedding", 1, 12)).alias("k", "v"))
     return rows.select("print_id", "identity", F.get(names, F.col("k")).alias("feature"), F.round(F.col("v").cast("double") * 20, 0).alias("value"), (60.0 + F.col("print_id") % 41).alias("confidence"))
 
 
 def fingerprint_similarity(spark, sf_dir):
     prints = _prints(spark, sf_dir)
-    return fingerprint.compare(prints.where("print_id % 10 = 0"), prints, ["identity"])
+    return fingerprint.compare(prints, prints, ["identity"])
 
 
 def fingerprint_topk(spark, sf_dir):
@@ -313,8 +314,8 @@ def latency_p50_p90(spark, sf_dir):
 
 
 def text_fold(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return read(spark, sf_dir, "documents").select("doc_id", text.fold_l(head).alias("folded"), text.comparable(head).alias("comparable"))
+    whole = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", text.fold_l(whole).alias("folded"), text.comparable(whole).alias("comparable"))
 
 
 def sentinel_canonical(spark, sf_dir):
@@ -325,10 +326,8 @@ def job_dedupe_stream(spark, sf_dir):
     """The events as a stream in which a user's type of event is a job; run over what is there."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    name = f"jobs_{uuid.uuid4().hex}"
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessera"
-    jobs.run_available(jobs.first_of_job(stream, ["user_id", "event_type"]), name, f"{folder}/{name}")
-    return spark.table(name)
+    return jobs.run_available(jobs.first_of_job(stream, ["user_id", "event_type"]), f"{folder}/jobs-{uuid.uuid4().hex}")
 
 
 NAMES = (

@@ -13,11 +13,11 @@ def first_of_job(stream: DataFrame, keys: list[str], time: str = "ts", ttl: str
     return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Runs the stream over what is there, into the memory table ``name``."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs the stream over what is there, into Parquet under the shared ``folder``, and reads that back."""
+    out = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
