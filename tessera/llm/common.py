@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,20 @@ def drop_stash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to so many rows, which bounds what a Python worker holds at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to so many rows and bytes of text, which bounds what a Python worker holds.
+
+    A longer text is a slice of its own.
+    """
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        lengths = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts), np.zeros(batch.num_rows, np.int64))
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        a = 0
+        while a < batch.num_rows:
+            b = min(a + rows, max(a + 1, int(np.searchsorted(upto, upto[a] + size, "right")) - 1))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -27,6 +27,7 @@ from tessera.llm.common import col, slices, table, without
 
 BUCKETS = 1 << 16
 MAX_LANGS = 64
+SLICE = 1 << 21  # bytes of text that are coded at a time
 UND = "und"
 #: Bytes of words: ASCII letters and everything beyond ASCII; the rest parts words.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -120,7 +121,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used].astype(np.int64))], names=["lang", "bucket", "n"])
             counts.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE):
             langs = batch.column(0).to_pylist()
             words = Words(batch.column(1).to_pylist())
             names = sorted(set(langs))
@@ -295,7 +296,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 1000, SLICE):
             rows = _predict(batch.column(place).to_pylist(), sent.value, penalty, spans)
             arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
