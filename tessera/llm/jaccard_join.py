@@ -37,8 +37,10 @@ HEAVY_FROM = 32  # texts
 CHUNK = 384
 FANOUT = 8
 PIECE = 1 << 20  # bytes of text that are hashed at a time; a longer text is a piece of its own
-#: Up to so many wanted texts (16 MB of ids) are told to the scan; beyond, all sets are joined.
+#: Up to so many wanted texts (24 bytes each) are told to the scan; beyond, all sets are joined.
 TOLD = 2_000_000
+#: Up to so many rows of tasks (40 bytes each) are broadcast to the payloads; beyond, payloads are shuffled to them.
+FEW = 1 << 17
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -223,20 +225,26 @@ def _groups(percent: int):
     return run
 
 
-def _sets(size: int, wanted):
-    """(key, payload) of the texts whose ids wanted (sorted, or None for all) holds."""
+def _sets(size: int, told):
+    """(_id, key, n, payload) of the texts that told names by (ids, keys, owner of each key), or of all if None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted:
+            if told:
+                wanted, named, owner = told.value  # ids and keys are sorted
                 ids = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(wanted.value, ids), len(wanted.value) - 1)
-                batch = batch.filter(pa.array(wanted.value[at] == ids)) if len(wanted.value) else batch.slice(0, 0)
+                at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
+                batch = batch.filter(pa.array(wanted[at] == ids)) if len(wanted) else batch.slice(0, 0)
             for part in slices(iter([batch]), 500):
                 sets = shingle_sets(part.column(1), size)
-                rows = [i for i, s in enumerate(sets) if len(s)]
-                keys = pa.array([set_key(sets[i]) for i in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), keys, pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["_id", "key", "payload"])
+                rows = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+                keys = np.array([set_key(sets[i]) for i in rows], np.int64)
+                if told:
+                    at = np.minimum(np.searchsorted(named, keys), len(named) - 1)
+                    own = (named[at] == keys) & (owner[at] == part.column(0).to_numpy()[rows])
+                    rows, keys = rows[own], keys[own]
+                n = pa.array([len(sets[i]) for i in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(keys), n, pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["_id", "key", "n", "payload"])
 
     return run
 
@@ -370,10 +378,16 @@ def _join_task(match: Callable, percent: int):
     return run
 
 
-def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int) -> DataFrame:
+def _to_payloads(tasks: DataFrame, payloads: DataFrame, few: int) -> DataFrame:
+    """tasks with their payloads; tasks of few rows go to the payloads, which then stay where they are."""
+    return payloads.join(F.broadcast(tasks) if few and tasks.count() <= few else tasks, "key")
+
+
+def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int, few: int = 0) -> DataFrame:
     """(node, root) of all keys that match links, directly or by way of others, inside groups (g, key).
 
-    payloads: (key, n, payload), one row for each key at least.
+    payloads: (key, n, payload), one row for each key at least. few: see _to_payloads(); 0 where tasks
+    take nearly all payloads.
     """
     sizes = groups.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
     members = groups.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("m")
@@ -388,7 +402,7 @@ def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int
         F.lit(True).alias("probe"),
         F.col("key").alias("comp"),
     )
-    links = stash(tasks.join(payloads, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-links")
+    links = stash(_to_payloads(tasks, payloads, few).groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-links")
     roots = connected(links)
     large = members.where("chunks > 1")
     if not large.isEmpty():
@@ -404,7 +418,7 @@ def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int
             pairs = asked.unionByName(every).groupBy("g", "lot", "chunk", "key", "comp").agg(F.max("probe").alias("probe"))
             task = F.xxhash64("g", "lot", "chunk")
             pairs = pairs.select("key", task.alias("pid"), task.alias("task"), "probe", "comp")
-            more = stash(pairs.join(payloads, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-more")
+            more = stash(_to_payloads(pairs, payloads, FEW).groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-more")
             drop_stash(roots)
             roots = connected(links.unionByName(more))
             drop_stash(more)
@@ -457,10 +471,17 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     drop_stash(met)
 
     wanted = stash(maybe.join(owners.drop("payload"), maybe["node"] == owners["key"]).select("root", "key", "owner", "n"), "jaccard-wanted")
-    told = spark.sparkContext.broadcast(np.unique(wanted.select("owner").toArrow()["owner"].to_numpy())) if wanted.count() <= TOLD else None
-    sets = plain.select("_id", "_text").mapInArrow(_sets(size, told), "_id long, key long, payload binary")
-    sets = stash(sets.join(wanted.select("key", "owner", "n"), "key").where("_id = owner").select("key", "n", "payload"), "jaccard-sets")
-    roots = linked(wanted.select(F.col("root").alias("g"), "key"), sets, match_sets, percent)
+    sets = plain.select("_id", "_text")
+    if wanted.count() <= TOLD:
+        names = wanted.select("key", "owner").orderBy("key").toArrow()
+        key, owner = names["key"].to_numpy(), names["owner"].to_numpy()
+        told = spark.sparkContext.broadcast((np.unique(owner), key, owner))
+        sets = sets.mapInArrow(_sets(size, told), "_id long, key long, n long, payload binary")
+    else:
+        sets = sets.mapInArrow(_sets(size, None), "_id long, key long, n long, payload binary")
+        sets = sets.join(wanted.select("key", "owner"), "key").where("_id = owner")
+    sets = stash(sets.select("key", "n", "payload"), "jaccard-sets")
+    roots = linked(wanted.select(F.col("root").alias("g"), "key"), sets, match_sets, percent, FEW)
 
     named = roots.withColumnRenamed("node", "key").join(owners.select("key", "owner"), "key")
     smallest = stash(named.groupBy("root").agg(F.min("owner").alias("component")), "jaccard-smallest")
