@@ -1,11 +1,14 @@
 """Line deduplication by winnowing over line hashes.
 
-A window is the fewest lines from a given line on that hold ``min_words`` words; a long line is a
-window of its own. The line of least hash in a window is its fingerprint, so any repeated run with
-that many words has a fingerprint in common with its first occurrence. Fingerprints are joined on
-their hash and that of their window, which tells a common line in other surroundings from a repeated
-run. A match is extended both ways, line by line and ``REACH`` lines at most; what lies beyond is
-reached from the next fingerprint. The run in the later document is deleted.
+A window is the fewest lines that hold ``min_words`` words, from a given line on or up to a given
+line; a long line is a window of its own. The line of least hash in a window is its fingerprint.
+Fingerprints are joined on their hash and that of their window, which tells a common line in other
+surroundings from a repeated run. A window that occurred before is deleted.
+
+That deletes every repeated run whole, with no match to extend. Take a line of a run of min_words
+words or more that occurred before: the window from it on lies in the run, or the one up to it does,
+or else the words on either side are too few and the window from the run's first line on reaches
+over it. Any window inside the run occurred before as well, wherever its first occurrence is.
 
 Hot lines are not gathered: the first occurrence comes from an aggregation, and each later one is
 joined to it alone.
@@ -19,15 +22,26 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, drop_stash, quoted, slices, stash, table, without
 
-REACH = 4
 _B = np.uint64(0x9E3779B97F4A7C15)  # any odd number: powers of it have inverses modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-MATCH = "_id long, _th long, start int, stop int, fp long, win long, before array<long>, after array<long>"
+WINDOW = "_id long, _th long, start int, stop int, fp long, win long"
+
+
+def _least(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The least hash of each window, as the lesser of two spans of a power of two that cover it."""
+    out = np.empty(len(first), np.uint64)
+    level = np.frexp(stop - first)[1] - 1
+    least = hashes  # of the 2^k lines from each line on
+    for k in range(level.max(initial=-1) + 1):
+        own = level == k
+        out[own] = np.minimum(least[first[own]], least[stop[own] - (1 << k)])
+        least = np.minimum(least[: -(1 << k)], least[1 << k :])
+    return out
 
 
 def windows(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
@@ -38,18 +52,21 @@ def windows(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for own in lines for x in own), np.uint64, n)
     words = np.fromiter((len(x.split()) for own in lines for x in own), np.int64, n)
     upto = np.concatenate([[0], np.cumsum(words)])
-    end_of = np.repeat(np.cumsum(count), count)
-    first = np.arange(n)
-    stop = np.searchsorted(upto, upto[:-1] + min_words, "left")  # fewest lines with enough words
-    full = (stop <= end_of) & (words > 0)  # a window begins with a line that has words
-    first, stop = first[full], stop[full]
+    begin, end = np.repeat(np.cumsum(count) - count, count), np.repeat(np.cumsum(count), count)
+    line = np.arange(n)
+    onward = np.searchsorted(upto, upto[:-1] + min_words, "left")  # fewest lines with enough words
+    back_to = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    forth = onward <= end
+    back = back_to >= begin
+    back[back] = ~forth[back_to[back]] | (onward[back_to[back]] != line[back] + 1)  # each window once
+    doc = np.repeat(np.arange(len(texts)), count)
+    doc, first, stop = np.concatenate([doc[forth], doc[back]]), np.concatenate([line[forth], back_to[back]]), np.concatenate([onward[forth], line[back] + 1])
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(n + 1, _B, np.uint64)) * _B_INVERSE  # B^0, B^1, ...
-        back = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
+        inverse = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power[:-1], dtype=np.uint64)])
-        win = (sums[stop] - sums[first]) * back[first] + (stop - first).astype(np.uint64)
-    fp = np.minimum.reduceat(np.append(hashes, np.uint64(2**64 - 1)), np.stack([first, stop], 1).ravel())[::2] if len(first) else np.zeros(0, np.uint64)
-    return {"hashes": hashes, "count": count, "doc": np.repeat(np.arange(len(texts)), count)[full], "first": first, "stop": stop, "fp": fp, "win": win}
+        win = (sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64)
+    return {"count": count, "doc": doc, "first": first, "stop": stop, "fp": _least(hashes, first, stop), "win": win}
 
 
 def _emit(min_words: int):
@@ -58,14 +75,7 @@ def _emit(min_words: int):
             w = windows(batch.column(2).to_pylist(), min_words)
             ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             begin = np.concatenate([[0], np.cumsum(w["count"])])
-            doc, first, stop, h = w["doc"], w["first"], w["stop"], w["hashes"].view(np.int64)
-            low, high = np.maximum(first - REACH, begin[doc]), np.minimum(stop + REACH, begin[doc + 1])
-
-            def lists(start: np.ndarray, length: np.ndarray, step: int) -> pa.ListArray:
-                offsets = np.concatenate([[0], np.cumsum(length)])
-                inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length)
-                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[np.repeat(start, length) + step * inside]))
-
+            doc, first, stop = w["doc"], w["first"], w["stop"]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[doc]),
@@ -74,36 +84,22 @@ def _emit(min_words: int):
                     pa.array((stop - begin[doc]).astype(np.int32)),
                     pa.array(w["fp"].view(np.int64)),
                     pa.array(w["win"].view(np.int64)),
-                    lists(first - 1, first - low, -1),  # nearest line first
-                    lists(stop, high - stop, 1),
                 ],
-                names=["_id", "_th", "start", "stop", "fp", "win", "before", "after"],
+                names=["_id", "_th", "start", "stop", "fp", "win"],
             )
 
     return run
 
 
-def _same(a: str, b: str) -> Column:
-    """How many lines two contexts share from their beginning on."""
-    eq = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    miss = F.array_position(eq, False)
-    return F.when(miss > 0, miss - 1).otherwise(F.size(eq)).cast("int")
-
-
 def repeated_runs(keyed: DataFrame, min_words: int) -> DataFrame:
     """(_id, _th, runs): for each text with repeated runs, the first and last (exclusive) lines of each."""
-    rows = stash(keyed.where("_text IS NOT NULL").select("_id", "_th", "_text").mapInArrow(_emit(min_words), MATCH), "line-windows")
+    rows = stash(keyed.where("_text IS NOT NULL").select("_id", "_th", "_text").mapInArrow(_emit(min_words), WINDOW), "line-windows")
     here = F.struct("_id", "_th", "start")
     first = rows.groupBy("fp", "win").agg(F.min(here).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = stash(first, "line-first")
-    both = stash(rows.join(first, ["fp", "win"]), "line-matches")
-    drop_stash(rows)
-    original = both.where(here == F.col("_first")).select("fp", "win", F.col("before").alias("_before"), F.col("after").alias("_after"))
-    original = stash(original.dropDuplicates(["fp", "win"]), "line-originals")
-    later = both.where(here != F.col("_first")).join(original, ["fp", "win"])
-    run = F.struct((F.col("start") - _same("before", "_before")).alias("start"), (F.col("stop") + _same("after", "_after")).alias("stop"))
-    runs = stash(later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(run)).alias("runs")), "line-runs")
-    for used in (first, both, original):
+    later = rows.join(first, ["fp", "win"]).where(here != F.col("_first"))
+    runs = stash(later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")), "line-runs")
+    for used in (rows, first):
         drop_stash(used)
     return runs
 
@@ -154,27 +150,20 @@ def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "removed", "kept_text")
 
 
-def brute_force(texts: dict[int, str | None], min_words: int = 50, reach: int = REACH) -> dict[int, list[int]]:
-    """The same by plain loops, for small tests: the removed lines of each text."""
-    first: dict[tuple[str, ...], tuple[int, int]] = {}
+def brute_force(texts: dict[int, str | None], min_words: int = 50) -> dict[int, list[int]]:
+    """The same by plain loops, for small tests: the removed lines of each text.
+
+    Every line is compared with every earlier one, and runs are followed to the first mismatch.
+    """
     out: dict[int, set[int]] = {k: set() for k in texts}
     lines = {k: t.split("\n") for k, t in texts.items() if t is not None}
-    for k in sorted(lines):
-        for i in range(len(lines[k])):
-            stop, n = i, 0
-            while stop < len(lines[k]) and n < min_words:
-                n += len(lines[k][stop].split())
-                stop += 1
-            if n < min_words or not lines[k][i].split():
-                continue
-            k0, i0 = first.setdefault(tuple(lines[k][i:stop]), (k, i))
-            if (k0, i0) == (k, i):
-                continue
-            a, b = 0, 0
-            while a < reach and min(i, i0) - a > 0 and lines[k][i - a - 1] == lines[k0][i0 - a - 1]:
-                a += 1
-            end0 = i0 + stop - i
-            while b < reach and stop + b < len(lines[k]) and end0 + b < len(lines[k0]) and lines[k][stop + b] == lines[k0][end0 + b]:
-                b += 1
-            out[k].update(range(i - a, stop + b))
+    for k0, k in ((a, b) for b in lines for a in lines if a <= b):
+        for i0, i in ((a, b) for b in range(len(lines[k])) for a in range(b if k0 == k else len(lines[k0]))):
+            if min(i0, i) and lines[k0][i0 - 1] == lines[k][i - 1]:
+                continue  # inside a run
+            n = 0
+            while i + n < len(lines[k]) and i0 + n < len(lines[k0]) and lines[k0][i0 + n] == lines[k][i + n]:
+                n += 1
+            if sum(len(x.split()) for x in lines[k][i : i + n]) >= min_words:
+                out[k].update(range(i, i + n))
     return {k: sorted(v) for k, v in out.items()}

@@ -226,6 +226,43 @@ def test_repeated_passage_goes_once(spark):
     assert got == {1: f"start\n{passage}\nend", 2: "other\nlast", 3: "start\nend"}
 
 
+def test_repeated_runs_go_whole(spark):
+    long, short = " ".join(f"p{i}" for i in range(60)), [f"a{i} b{i} c{i} d{i}" for i in range(10)]
+    run = [long, *short]
+    spaced = [x for line in run for x in (line, "", "")]
+    texts = {
+        1: "\n".join(["start", *run, "end"]),
+        2: "\n".join(["other", *run, "last"]),
+        3: "\n".join(["gap", *spaced]),
+        4: "\n".join([*spaced, "final"]),
+        5: "\n".join(["head", long, "tail one two", "tail three"]),
+        6: "\n".join(["body", long, "tail one two", "tail three"]),
+        7: "\n".join([*short[::-1], long]),
+        8: "\n".join([*short[::-1], long, "fin"]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.removed, r.kept_text) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2] == ("1-12", "other\nlast") and got[4] == ("0-33", "final")
+    assert got[6] == ("1-4", "body")  # of its run only the long line is in an earlier text than 5
+    assert got[8] == ("0-11", "fin")
+    want = line_dedup.brute_force(texts)
+    assert {k: [x for s in v[0].split(",") if s for x in range(*map(int, s.split("-")))] for k, v in got.items()} == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_windows_cover_repeated_runs(seed):
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice("abc") for _ in range(rng.choice([0, 0, 1, 3, 12]))) for _ in range(5)]
+    texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 20))) for i in range(8)}
+    first, gone = {}, {k: set() for k in texts}
+    w = line_dedup.windows(list(texts.values()), 10)
+    begin = np.concatenate([[0], np.cumsum(w["count"])])
+    for k, a, b, key in sorted(zip(w["doc"], w["first"], w["stop"], zip(w["fp"], w["win"], strict=True), strict=True), key=lambda x: x[:3]):
+        if first.setdefault(key, (k, a)) != (k, a):
+            gone[k].update(range(a - begin[k], b - begin[k]))
+    assert {k: sorted(v) for k, v in gone.items()} == line_dedup.brute_force(texts, 10)
+
+
 def jaccard_brute(texts, percent=75):
     sets = {}
     for k, t in texts.items():
