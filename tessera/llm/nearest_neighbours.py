@@ -1,12 +1,15 @@
-"""Approximate nearest neighbours by inner product, with a vantage-point tree per shard.
+"""Approximate nearest neighbours by inner product, with vantage-point trees in every shard.
 
-Every candidate x gets one more component, sqrt(M^2 - |x|^2), with M the largest norm; queries are
-scaled to norm M and get a zero. Euclidean distance then orders candidates as the inner product
-does, so the triangle inequality holds and vantage points can prune. ``factor`` relaxes it: a leaf
-is left out once ``factor`` times its lower bound exceeds the distance of the k-th best so far.
-Factor one leaves out only what cannot be among the best, and is exact.
+Every candidate x gets one more component, sqrt(M^2 - |x|^2), with M the largest norm of its tree;
+queries are scaled to norm M and get a zero. Euclidean distance then orders candidates as the inner
+product does, so the triangle inequality holds and vantage points can prune. A shard has a tree for
+each band of norms, as bounds get loose where M is far above the norms; all are searched as one.
 
-Shards are by hash of the id, so equal vectors spread; inside a shard equal vectors are one entry
+A leaf is left out once the upper bound of its inner products is below the (k / factor)-th best so
+far. What is lost then has that many better candidates, so of each k results at least k / factor are
+right, whatever the vectors are. Factor one leaves out only what cannot be among the best.
+
+Vectors are compared with those of their own length. Shards are by hash of the id, so equal vectors spread; inside a shard equal vectors are one entry
 with their smallest ids, of which no more than k + 1 can ever be returned. Queries go out in
 broadcast blocks of ``block`` rows, each against all shards.
 """
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ from tessera.llm.common import col, drop_stash, quoted, stash, table
 
 LEAF = 64
 SLACK = 12
+BANDS = 4  # of norms, for each factor of two
+ROUNDING = 1e-7
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -35,68 +41,87 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where("forall(_v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(_v, x -> x <> 0)")
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
+
+
 class VPTree:
-    """Distinct vectors in leaf order; nodes hold a vantage point and the distance ranges of both halves."""
+    """Distinct vectors in leaf order, a tree for each band of norms; nodes hold a vantage point and the distance ranges of both halves."""
 
-    def __init__(self, vectors: np.ndarray, most: float, seed: int = 0):
+    def __init__(self, vectors: np.ndarray, seed: int = 0):
         self.v = vectors
-        self.extra = np.sqrt(np.maximum(most * most - (vectors**2).sum(1), 0.0))
-        self.most = most
-        self.order = np.arange(len(vectors))
+        norm = norms(vectors)
+        band = np.floor(BANDS * np.log2(norm) + 0.5)
+        self.order = np.lexsort((-norm, -band))
         self.leaves: list[tuple[int, int]] = []
-        self.nodes: list[tuple[int, int, int, int, float, float, float, float]] = []  # vantage, first leaf, split leaf, end leaf, ranges
-        self._split(0, len(vectors), np.random.default_rng(seed))
-        self.v, self.extra = self.v[self.order], self.extra[self.order]
-
-    def _split(self, a: int, b: int, rng: np.random.Generator) -> None:
+        self.most: list[float] = []  # largest norm of each leaf's tree
+        self.nodes: list[tuple[int, float, int, int, int, float, float, float, float]] = []  # vantage, largest norm, first leaf, split leaf, end leaf, ranges
+        rng = np.random.default_rng(seed)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(band[self.order])) + 1, [len(vectors)]])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            most = norm[self.order[a]]
+            self._split(a, b, most, rng)
+            self.most += [most] * (len(self.leaves) - len(self.most))
+        self.v = self.v[self.order]
+
+    def _split(self, a: int, b: int, most: float, rng: np.random.Generator) -> None:
         if b - a <= LEAF:
             self.leaves.append((a, b))
             return
         own = self.order[a:b]
-        vantage = own[rng.integers(len(own))]
-        dot = self.v[own] @ self.v[vantage] + self.extra[own] * self.extra[vantage]
-        far = np.sqrt(np.maximum(2 * self.most**2 - 2 * dot, 0.0))
+        v = self.v[own] / most
+        extra = np.sqrt(np.maximum(1 - (v**2).sum(1), 0.0))
+        at = rng.integers(len(own))
+        far = np.sqrt(np.maximum(2 - 2 * (v @ v[at] + extra * extra[at]), 0.0))
+        vantage = own[at]
         by = np.argsort(far, kind="stable")
         half = (b - a) // 2
         self.order[a:b] = own[by]
         far = far[by]
         first, place = len(self.leaves), len(self.nodes)
         self.nodes.append(None)
-        self._split(a, a + half, rng)
+        self._split(a, a + half, most, rng)
         middle = len(self.leaves)
-        self._split(a + half, b, rng)
-        self.nodes[place] = (vantage, first, middle, len(self.leaves), far[0], far[half - 1], far[half], far[-1])
+        self._split(a + half, b, most, rng)
+        self.nodes[place] = (vantage, most, first, middle, len(self.leaves), far[0], far[half - 1], far[half], far[-1])
+
+    def search(self, queries: np.ndarray, take: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows in leaf order, scores of the queries at norm one), take columns, -1 where there are fewer.
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows in leaf order, scores of the scaled queries), k columns; -1 where there are fewer."""
+        The best ``sure`` are exact.
+        """
         nq = len(queries)
-        q = queries * (self.most / np.sqrt((queries**2).sum(1)))[:, None]
-        low = np.zeros((nq, len(self.leaves)))
+        q = queries / norms(queries)[:, None]
+        most = np.array(self.most)
+        low = np.zeros((nq, len(self.leaves)))  # distances at largest norm one
         if self.nodes:
             place = np.empty(len(self.order), np.int64)
             place[self.order] = np.arange(len(self.order))
-            to = q @ self.v[place[[n[0] for n in self.nodes]]].T
-            to = np.sqrt(np.maximum(2 * self.most**2 - 2 * to, 0.0))
-            for (_, first, middle, end, a, b, c, d), far in zip(self.nodes, to.T, strict=True):
+            to = q @ (self.v[place[[n[0] for n in self.nodes]]] / np.array([n[1] for n in self.nodes])[:, None]).T
+            to = np.sqrt(np.maximum(2 - 2 * to, 0.0))
+            for (_, _, first, middle, end, a, b, c, d), far in zip(self.nodes, to.T, strict=True):
                 inner, outer = np.maximum(far - b, a - far)[:, None], np.maximum(far - d, c - far)[:, None]
                 np.maximum(low[:, first:middle], inner, out=low[:, first:middle])
                 np.maximum(low[:, middle:end], outer, out=low[:, middle:end])
-        best, rows = np.full((nq, k), -np.inf), np.full((nq, k), -1, np.int64)
+        high = (1 - low**2 / 2 + ROUNDING) * most
+        best, rows = np.full((nq, take), -np.inf), np.full((nq, take), -1, np.int64)
+        bar = np.full(nq, -np.inf)
 
         def visit(leaf: int, who: np.ndarray) -> None:
             a, b = self.leaves[leaf]
             s = np.concatenate([best[who], q[who] @ self.v[a:b].T], axis=1)
             r = np.concatenate([rows[who], np.broadcast_to(np.arange(a, b), (len(who), b - a))], axis=1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            top = np.argpartition(-s, (sure - 1, take - 1), axis=1)[:, :take]
             best[who], rows[who] = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1)
+            bar[who] = best[who, sure - 1]
 
-        nearest = np.argsort(low, axis=1, kind="stable")[:, :2]
+        nearest = np.argsort(-high, axis=1, kind="stable")[:, :2]
         for turn in range(nearest.shape[1]):
             for leaf in np.unique(nearest[:, turn]):
                 visit(leaf, np.flatnonzero(nearest[:, turn] == leaf))
         for leaf in range(len(self.leaves)):
-            worst = np.sqrt(np.maximum(2 * self.most**2 - 2 * best.min(1), 0.0))
-            open_ = (low[:, leaf] * factor <= worst * (1 + 1e-9)) & ~(nearest == leaf).any(1)
+            open_ = (high[:, leaf] >= bar) & ~(nearest == leaf).any(1)
             if len(who := np.flatnonzero(open_)):
                 visit(leaf, who)
         return rows, best
@@ -115,9 +140,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def build_index(rows: DataFrame, shards: int, most: float) -> DataFrame:
-    """One row for each shard: distinct vectors in leaf order, their ids, and the tree."""
-    sharded = rows.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int"))
+def build_index(rows: DataFrame, shards: int) -> DataFrame:
+    """One row for each length and shard: distinct vectors in leaf order, their ids, and the trees."""
+    sharded = rows.withColumns({"_d": F.size("_v"), "_shard": F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int")})
 
     def build(group: pa.Table) -> pa.Table:
         import pickle
@@ -127,12 +152,12 @@ def build_index(rows: DataFrame, shards: int, most: float) -> DataFrame:
         ids, v = ids[by], v[by]
         v = np.ascontiguousarray(v) + 0.0
         _, first, same = np.unique(v.view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
-        tree = VPTree(v[first], most)
+        tree = VPTree(v[first])
         by = np.argsort(same, kind="stable")  # ids of each distinct vector, smallest first
         starts = np.concatenate([[0], np.cumsum(np.bincount(same))])
-        return pa.table({"_shard": group["_shard"][:1], "_tree": pa.array([pickle.dumps((tree, ids[by], starts))], pa.binary())})
+        return pa.table({"_d": group["_d"][:1], "_tree": pa.array([pickle.dumps((tree, ids[by], starts))], pa.binary())})
 
-    return stash(sharded.groupBy("_shard").applyInArrow(build, "_shard int, _tree binary"), "vp-index")
+    return stash(sharded.groupBy("_d", "_shard").applyInArrow(build, "_d int, _tree binary"), "vp-index")
 
 
 def nearest(
@@ -147,33 +172,37 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, the query's own id left out.
 
-    Rows with a null id, or a vector that is null, empty, zero, of another length than the longest,
-    or holds null or non-finite components take no part. Ties go to the smaller id. Repeated rows of
+    Rows with a null id, or a vector that is null, empty, zero, or holds null or non-finite components
+    take no part. The neighbours of a query are among vectors of its length. Ties go to the smaller id. Repeated rows of
     one id are separate candidates; other columns are ignored; empty inputs give an empty result.
     """
     spark = vectors.sparkSession
     rows = stash(usable(vectors, id_col, vec_col), "vectors")
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("d"), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).first()
+    n = rows.count()
     schema = "query_id long, vec_id long, score double"
-    wanted = usable(queries, id_col, vec_col).where(F.size("_v") == F.lit(stats.d or 0))
+    wanted = usable(queries, id_col, vec_col)
     n_queries = wanted.count()
     found = []
-    if stats.n and n_queries:
-        index = build_index(rows.where(F.size("_v") == stats.d), max(8, math.ceil(stats.n / shard_rows)), stats.most)
+    if n and n_queries:
+        index = build_index(rows, max(8, math.ceil(n / shard_rows)))
         blocks = math.ceil(n_queries / block)
         for b in range(blocks):
             part = wanted.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(blocks)) == b).toArrow()
-            sent = spark.sparkContext.broadcast((part["_id"].to_numpy(), _matrix(part["_v"]).copy()))
+            length = pc.list_value_length(part["_v"]).to_numpy()
+            own = {int(d): part.filter(pa.array(length == d)) for d in np.unique(length)}
+            sent = spark.sparkContext.broadcast({d: (t["_id"].to_numpy(), _matrix(t["_v"]).copy()) for d, t in own.items()})
 
             def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 import pickle
 
-                qid, q = sent.value
                 for batch in batches:
-                    for blob in batch.column(1).to_pylist():
+                    for d, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                        if d not in sent.value:
+                            continue
+                        qid, q = sent.value[d]
                         tree, ids, starts = pickle.loads(blob)
                         take = min(k + 1 + SLACK, len(tree.v))
-                        near, _ = tree.search(q, take, factor)
+                        near, _ = tree.search(q, take, min(take, max(1, math.ceil(k / factor)) + 1))  # one more, as the own id is left out
                         who, what = np.nonzero(near >= 0)
                         what = near[who, what]
                         score = exact_scores(q[who], tree.v[what])

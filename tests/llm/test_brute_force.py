@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,29 @@ def test_recall_of_the_query(spark):
     assert hit / (20 * got.query_id.nunique()) >= 0.95
 
 
+@pytest.mark.parametrize("outlier", [None, 5.0, 10.0, 1e200])
+def test_recall_with_mixed_norms_and_an_outlier(spark, outlier):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 32))[rng.integers(0, 300, 32_000)] + rng.normal(0, 0.4, (32_000, 32))  # 4,000 a shard
+    v *= rng.choice([0.8, 1.0, 1.25], (32_000, 1)) / np.linalg.norm(v, axis=1, keepdims=True)
+    if outlier:
+        v[7] *= outlier
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(32_000), "embedding": pa.array(list(v))}))
+    got = nearest_neighbours.nearest(df, df.where("vec_id % 200 = 1"), k=20).toPandas()
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert hit / (20 * 160) >= 0.9
+
+
+def test_longer_vector_displaces_no_others(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0, 0.0]), (3, [0.5, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.score) for r in nearest_neighbours.nearest(df, df).orderBy("query_id").collect()]
+    assert got == [(0, 1, 0.5), (1, 0, 0.5), (2, 3, 0.5), (3, 2, 0.5)]
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
