@@ -438,9 +438,10 @@ def text_hash(text_col: str) -> Column:
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, key, n, component): of every row, its set and the set's size, and its component's smallest id.
+    """(_id, _th, key, n, component, root): of every row, its set and the set's size, and its component's smallest id.
 
-    _id and _th are the id and a hash of the text; a null id counts as the least number. key is null
+    root is the key of one set of the component, which tells components apart where ids are null or
+    repeat; it is null where key is. _id and _th are the id and a hash of the text; a null id counts as the least number. key is null
     and component the own id where the text is null or has no words. Repeated rows have one set; an
     empty table has no rows; other columns are ignored. percent is 50 or more: bitmaps of linked sets
     are then of one width or of neighbouring ones.
@@ -485,28 +486,31 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
 
     named = roots.withColumnRenamed("node", "key").join(owners.select("key", "owner"), "key")
     smallest = stash(named.groupBy("root").agg(F.min("owner").alias("component")), "jaccard-smallest")
-    linked_keys = stash(named.join(smallest, "root").select("key", "component"), "jaccard-components")
-    final = owners.select("key", "owner").join(linked_keys, "key", "left").select("key", F.coalesce("component", "owner").alias("component"))
+    linked_keys = stash(named.join(smallest, "root").select("key", "component", "root"), "jaccard-components")
+    final = owners.select("key", "owner").join(linked_keys, "key", "left").select("key", F.coalesce("component", "owner").alias("component"), F.coalesce("root", "key").alias("root"))
     final = stash(final, "jaccard-final")
     for used in (maybe, wanted, sets, roots, smallest, linked_keys, owners):
         drop_stash(used)
-    return rows.join(final, "key", "left").select("_id", "_th", "key", "n", F.coalesce("component", "_id").alias("component"))
+    return rows.join(final, "key", "left").select("_id", "_th", "key", "n", F.coalesce("component", "_id").alias("component"), "root")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs: that of its smallest id. Rows without words all stay.
+    """One row of each component of docs: that of its smallest id, then text hash. Rows without words all stay.
 
-    Where rows repeat that id, one of those with a text of the component stays.
+    A null id comes first. Ids can repeat: texts that are no copies of each other all stay, whatever
+    their ids. Of equal rows one stays.
     """
-    rest = without(docs, ["_id", "_th", "_row"])
-    found = near_components(rest, size, percent, id_col, text_col)
-    keep = stash(found.where("key IS NULL OR _id = component").select("_id", "_th", "key"), "jaccard-keep")
-    kept = rest.withColumns({"_id": id_number(id_col), "_th": text_hash(text_col)}).join(keep.select("_id", "_th").distinct(), ["_id", "_th"], "left_semi")
-    again = keep.where("key IS NOT NULL").groupBy("_id").count().where("count > 1").limit(1)
-    if not again.isEmpty():  # ids that repeat: one row of each key, and of each id for one component
-        keyed = kept.join(keep.where("key IS NOT NULL").select("_id", "_th", "key").distinct(), ["_id", "_th"], "left")
-        first = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("key").isNull(), "_th"))
-        kept = keyed.where("key IS NULL").drop("key").unionByName(keyed.where("key IS NOT NULL").withColumn("_row", first).where("_row = 1").drop("_row", "key"))
+    rest = without(docs, ["_id", "_th", "_row", "_n"])
+    found = stash(near_components(rest, size, percent, id_col, text_col).select("_id", "_th", "root"), "jaccard-found")
+    same = found.where("root IS NOT NULL").groupBy("root", "_id", "_th").agg(F.count("*").alias("_n"))
+    first = same.groupBy("root").agg(F.min(F.struct("_id", "_th", "_n")).alias("o")).select("o.*")
+    wordless = found.where("root IS NULL").select("_id", "_th", F.lit(0).cast("long").alias("_n")).distinct()
+    keep = stash(first.unionByName(wordless), "jaccard-keep")
+    drop_stash(found)
+    kept = rest.withColumns({"_id": id_number(id_col), "_th": text_hash(text_col)}).join(keep, ["_id", "_th"])
+    if not keep.where("_n > 1").isEmpty():  # one of equal rows
+        row = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_n"))
+        kept = kept.where("_n <= 1").unionByName(kept.where("_n > 1").withColumn("_row", row).where("_row = 1").drop("_row"))
     return kept.select(*[col(c) for c in rest.columns])
 
 

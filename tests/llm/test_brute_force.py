@@ -327,6 +327,19 @@ def test_components_against_all_pairs(spark, monkeypatch, chunk, heavy_from):
     assert {r._id: (r.n, r.component) for r in got} == jaccard_brute(texts)
 
 
+def test_only_copies_go_whatever_their_ids(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"}
+    more = {c: f"{t} more" for c, t in text.items()}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (None, more["c"]), (1, text["d"]), (1, text["e"]), (1, text["e"]), (None, text["f"]), (2, more["f"]), (2, text["g"]), (3, more["g"]), (None, text["h"]), (None, text["h"]), (4, None), (4, None)]
+    for ids in ("bigint", "string"):
+        df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.expr("concat('x', doc_id)" if ids == "string" else "doc_id"))
+        got = [r.text for r in jaccard_join.deduplicate(df).collect()]
+        assert len(got) == 10 and got.count(None) == 2
+        assert sorted(t[0] for t in got if t) == list("abcdefgh")  # one of each group
+        if ids == "bigint":
+            assert text["f"] in got and text["g"] in got  # that of the smallest id
+
+
 def test_components_of_documents(spark, docs):
     got = jaccard_join.op10_ngram_jaccard_join(spark, DATA).toPandas()
     want = jaccard_brute(dict(zip(docs.doc_id, docs.text, strict=True)))
