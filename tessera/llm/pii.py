@@ -36,7 +36,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"iban|bank|account|konto", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social|security|insurance", False),
 )
-#: Code points before a span in which context words count, what they add, and the least score of added kinds.
+#: Code points on each side of a span in which context words count, what they add, and the least score of added kinds.
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,score:double,base:boolean>"
 
@@ -75,7 +75,9 @@ def _placer(kind: Kind, rank: int, text: Column, pieces: Column) -> Callable[[Co
     def step(acc: Column, match: Column) -> Column:
         start = acc["at"] + F.length(F.get(pieces, acc["i"]))
         end = start + F.length(match)
-        near = F.lower(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int")))
+        before = F.substr(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
+        after = F.substr(text, (end + 1).cast("int"), F.lit(CONTEXT))
+        near = F.lower(F.concat(before, F.lit("\n"), after))  # no context word goes across the span
         bonus = F.when(F.regexp_like(near, F.lit(kind.context)), F.lit(BONUS)).otherwise(F.lit(0.0))
         score = F.round(F.least(F.lit(1.0), F.lit(kind.score) + bonus), 3)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score"), F.lit(kind.base).alias("base"))

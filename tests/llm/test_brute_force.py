@@ -232,6 +232,13 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert "iban" in got[0] and "iban" not in got[1] and got[2] == ["ssn"] and got[3] == []
 
 
+def test_context_is_read_on_both_sides(spark):
+    gap = " " * 40
+    texts = ["123-45-6789 is my social security number", "😀 123-45-6789 is my SSN", f"123-45-6789{gap}ssn", f"ssn{gap}123-45-6789", "s123-45-6789sn", f"{'x' * 38}ss 123-45-6789 no"]
+    got = {r.doc_id: [(s.kind, s.start, s.score) for s in r.pii] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert got == {0: [("ssn", 0, 0.6)], 1: [("ssn", 2, 0.6)], 2: [], 3: [], 4: [], 5: []}
+
+
 def test_lines_against_loops(spark):
     rng = random.Random(6)
     lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 3, 12]))) for _ in range(12)]
