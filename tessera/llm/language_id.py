@@ -6,19 +6,22 @@ a switching penalty then labels the words, so single odd words do not break a sp
 passage in another language does.
 
 Counting is a sum over all labelled texts: every task counts its own into ``BUCKETS`` hashed n-grams
-per language, and one aggregation adds them up. The model has ``BUCKETS`` numbers per language and
-no more than ``MAX_LANGS`` languages, so its broadcast is bounded at 64 MB.
+per language, and one aggregation adds them up. The model has ``BUCKETS`` numbers per language
+(256 kB), whatever the number of texts; that is what the driver gets and broadcasts.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +29,12 @@ from pyspark.sql import types as T
 from tessera.llm.common import col, slices, table, without
 
 BUCKETS = 1 << 16
-MAX_LANGS = 64
+HELD_LANGS = 64  # whose counts a task holds before it hands them on
 SLICE = 1 << 21  # bytes of text that are coded at a time
 UND = "und"
-#: Bytes of words: ASCII letters and everything beyond ASCII; the rest parts words.
+#: Beyond ASCII, all but letters and their marks parts words: quotes, dashes, digits, symbols, emoji.
+_SYMBOLS = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
+#: Bytes of words: ASCII letters and, once symbols are gone, everything beyond ASCII.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 LONGEST = 48  # bytes; longer runs, as in scripts without spaces, are cut
 #: First code points of script blocks, in order, and the script from there on.
@@ -37,14 +42,26 @@ SCRIPTS = (
     (0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"),
     (0x0980, "Bengali"), (0x0A00, "Indic"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"),
     (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Latin"), (0x2E80, "Han"), (0x3040, "Kana"), (0x3100, "Han"), (0x3130, "Hangul"), (0x3400, "Han"),
-    (0xAC00, "Hangul"), (0xD7B0, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0x10000, "Han"),
+    (0xAC00, "Hangul"), (0xD7B0, "Han"), (0xFB00, "Latin"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFF00, "Latin"), (0xFF66, "Kana"), (0x10000, "Other"),
+    (0x20000, "Han"), (0x32000, "Other"),
 )
 _SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 
 
+_STARTS = [start for start, _ in SCRIPTS]
+
+
 @lru_cache(1 << 16)
 def _script(char: str) -> int:
-    return _SCRIPT_NAMES.index([name for start, name in SCRIPTS if start <= ord(char)][-1])
+    return _SCRIPT_NAMES.index(SCRIPTS[bisect(_STARTS, ord(char)) - 1][1])
+
+
+def script_of(word: str) -> int:
+    """The script of most of a word's letters, the first by name where two have as many."""
+    if word.isascii():
+        return _script("a")
+    count = Counter(map(_script, word))
+    return max(sorted(count), key=count.get)
 
 
 def has_letter(text: str | None) -> bool:
@@ -56,7 +73,7 @@ class Words:
 
     def __init__(self, texts: list[str | None]):
         # NFC, so that a letter has the same bytes however it was typed
-        plain = [(t if t.isascii() else unicodedata.normalize("NFC", t)).lower().encode("utf-8", "replace").translate(_LETTERS) if t else b"" for t in texts]
+        plain = [(t.lower() if t.isascii() else _SYMBOLS.sub(" ", unicodedata.normalize("NFC", t).lower())).encode("utf-8", "replace").translate(_LETTERS) if t else b"" for t in texts]
         lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_binary()).cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         self.distinct: list[str] = coded.dictionary.to_pylist()
@@ -70,7 +87,7 @@ class Words:
         joined = (" " + " ".join(self.distinct) + " ").encode()
         self.bytes = np.frombuffer(joined, np.uint8).astype(np.uint32)
         self.owner = np.cumsum(self.bytes == 32) - 1
-        self.scripts = np.array([_script(w[0]) if w else 0 for w in self.distinct] or [0], np.int64)
+        self.scripts = np.array([script_of(w) for w in self.distinct] or [0], np.int64)
 
     def _cut_long(self) -> None:
         long = {i: [w[k : k + LONGEST // 4] for k in range(0, len(w), LONGEST // 4)] for i, w in enumerate(self.distinct) if len(w.encode()) > LONGEST}
@@ -135,7 +152,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                     own[:BUCKETS] += np.bincount(bucket, times[word, k], BUCKETS)
                 if len(times):
                     own[BUCKETS:] += np.bincount(words.scripts, times[:, k] * size, len(_SCRIPT_NAMES))
-            if len(counts) > MAX_LANGS:
+            if len(counts) > HELD_LANGS:
                 yield from flush()
         yield from flush()
 
@@ -275,12 +292,9 @@ def _predict(texts: list[str | None], model: Model, penalty: float, spans: bool)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Count all rows with a text and a language. More than MAX_LANGS languages raise ValueError."""
+    """Count all rows with a text and a language."""
     rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    model = Model(count_ngrams(rows).toArrow())
-    if len(model.langs) > MAX_LANGS:
-        raise ValueError(f"{len(model.langs)} languages; the model holds {MAX_LANGS}")
-    return model
+    return Model(count_ngrams(rows).toArrow())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 8.0, spans: bool = True) -> DataFrame:
@@ -291,17 +305,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     is every text if nothing was learned. Equal texts get equal results; added names replace columns.
     """
     rest = without(docs, ADDS)
-    place = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, *(T.StructField(k, v[0]) for k, v in ADDS.items())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000, SLICE):
-            rows = _predict(batch.column(place).to_pylist(), sent.value, penalty, spans)
-            arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
+    @F.arrow_udf(T.StructType([T.StructField(k, v[0]) for k, v in ADDS.items()]))
+    def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            rows = [r for part in slices(iter([pa.RecordBatch.from_arrays([batch], ["t"])]), 1000, SLICE) for r in _predict(part.column(0).to_pylist(), sent.value, penalty, spans)]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())], names=list(ADDS))
 
-    return rest.mapInArrow(run, schema)
+    # not deterministic as far as the optimizer knows, or it would label texts twice to filter by the label
+    out = rest.withColumn("_told", told.asNondeterministic()(col(text_col).cast("string")))
+    return out.select(*[col(c) for c in rest.columns], *[F.col(f"_told.{k}").alias(k) for k in ADDS])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
