@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stash, table
+from tessera.llm.common import bound_batches, stash, table
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.jaccard_join import deduplicate
 from tessera.llm.language_id import UND, held_out, identify, train
@@ -19,14 +19,21 @@ from tessera.llm.sharding import shard
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told, with that language; those without a letter go."""
+    """Documents in a language that can be told, with that language; those without a letter go.
+
+    Where no document names a language, nothing can be told, and all with a letter stay as they are.
+    """
+    bound_batches(spark)
     model = train(docs.where(~held_out(F.col("doc_id"))))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = identify(docs, model, spans=False).where(F.col("lang_pred") != UND)
     return told.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
+    bound_batches(spark)
     return deduplicate(docs)
 
 
@@ -40,12 +47,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
+    bound_batches(spark)
     mixed = mix(docs)
     return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its shard of 16, of near equal bytes, and its slot there."""
+    bound_batches(spark)
     return shard(docs)
 
 
