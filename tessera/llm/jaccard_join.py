@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, drop_stash, quoted, slices, stash, table, without
@@ -37,10 +37,8 @@ HEAVY_FROM = 32  # texts
 CHUNK = 384
 FANOUT = 8
 PIECE = 1 << 20  # bytes of text that are hashed at a time; a longer text is a piece of its own
-#: Up to so many wanted texts (24 bytes each) are told to the scan; beyond, all sets are joined.
-TOLD = 2_000_000
-#: Up to so many rows of tasks (40 bytes each) are broadcast to the payloads; beyond, payloads are shuffled to them.
-FEW = 1 << 17
+WEIGHT = 2048  # shingles; a larger set counts as several when groups are divided
+SALTS = 64  # parts of a large group when its rows are joined with what is known of the group
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
@@ -59,11 +57,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + (1 << 16))
-        _powers[:] = [np.cumprod(np.full(size, np.uint64(x))) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
-    return _powers[0], _powers[1]
+    """Powers of an odd number modulo 2^64, and of its inverse; those of a piece are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    own = [np.cumprod(np.full(max(n, PIECE), np.uint64(x))) for x in (_ODD, pow(_ODD, -1, 1 << 64))]
+    if n <= PIECE:
+        _powers[:] = own
+    return own[0], own[1]
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,15 +138,15 @@ def _scan(size: int, least: int = 4):
 
     The latter have the shingle as key, the number of sets as n, and the smallest of their keys as _id.
     """
-    names = ["shared", "_id", "_th", "key", "n", "bitmap"]
+    names = ["shared", "_name", "_id", "_th", "key", "n", "bitmap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_sets(batch.column(2), size)
+            sets = shingle_sets(batch.column(3), size)
             keys = [set_key(s) if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             maps = pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0), batch.column(1), pa.array(keys, pa.int64()), n, maps], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.int64()), n, maps], names=names)
             found = sorted({k: s for k, s in zip(keys, sets, strict=True) if k is not None}.items())
             if not found:
                 continue
@@ -158,7 +158,7 @@ def _scan(size: int, least: int = 4):
             count = np.diff(np.append(first, len(tokens)))
             first, count = first[count >= least], count[count >= least]
             label = owner[by[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), bool)), pa.array(label), pa.array(label), pa.array(tokens[first].view(np.int64)), pa.array(count), pa.nulls(len(first), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(first), bool)), pa.nulls(len(first), batch.column(0).type), pa.array(label), pa.array(label), pa.array(tokens[first].view(np.int64)), pa.array(count), pa.nulls(len(first), pa.binary())], names=names)
 
     return run
 
@@ -225,26 +225,14 @@ def _groups(percent: int):
     return run
 
 
-def _sets(size: int, told):
-    """(_id, key, n, payload) of the texts that told names by (ids, keys, owner of each key), or of all if None."""
+def _sets(size: int):
+    """(key, n, payload) of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if told:
-                wanted, named, owner = told.value  # ids and keys are sorted
-                ids = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
-                batch = batch.filter(pa.array(wanted[at] == ids)) if len(wanted) else batch.slice(0, 0)
-            for part in slices(iter([batch]), 500):
-                sets = shingle_sets(part.column(1), size)
-                rows = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-                keys = np.array([set_key(sets[i]) for i in rows], np.int64)
-                if told:
-                    at = np.minimum(np.searchsorted(named, keys), len(named) - 1)
-                    own = (named[at] == keys) & (owner[at] == part.column(0).to_numpy()[rows])
-                    rows, keys = rows[own], keys[own]
-                n = pa.array([len(sets[i]) for i in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(keys), n, pa.array([sets[i].tobytes() for i in rows], pa.binary())], names=["_id", "key", "n", "payload"])
+        for batch in slices(batches, 500):
+            sets = shingle_sets(batch.column(1), size)
+            n = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "n", "payload"])
 
     return run
 
@@ -378,22 +366,26 @@ def _join_task(match: Callable, percent: int):
     return run
 
 
-def _to_payloads(tasks: DataFrame, payloads: DataFrame, few: int) -> DataFrame:
-    """tasks with their payloads; tasks of few rows go to the payloads, which then stay where they are."""
-    return payloads.join(F.broadcast(tasks) if few and tasks.count() <= few else tasks, "key")
+def _salted(groups: DataFrame, facts: DataFrame, how: str) -> DataFrame:
+    """groups with the facts of their group, of which there are few; a large group's rows meet them in SALTS places."""
+    salt = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SALTS)).cast("int")
+    spread = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return groups.withColumn("_salt", salt).join(spread, ["g", "_salt"], how).drop("_salt")
 
 
-def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int, few: int = 0) -> DataFrame:
+def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int, weight: Column | None = None) -> DataFrame:
     """(node, root) of all keys that match links, directly or by way of others, inside groups (g, key).
 
-    payloads: (key, n, payload), one row for each key at least. few: see _to_payloads(); 0 where tasks
-    take nearly all payloads.
+    payloads: (key, n, payload), one row for each key at least. weight: how many sets a row counts
+    for when a group is divided; one if not given.
     """
-    sizes = groups.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    members = groups.join(sizes, "g").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).drop("m")
-    members = stash(members, "jaccard-members")
+    groups = groups.select("g", "key", (F.lit(1) if weight is None else weight).cast("long").alias("w"))
+    large = groups.groupBy("g").agg(F.ceil(F.sum("w") / CHUNK).cast("int").alias("chunks")).where("chunks > 1")
+    large = stash(large, "jaccard-sizes")
+    members = _salted(groups, large, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    members = stash(members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")), "jaccard-members")
     # Small groups share tasks of about CHUNK sets; each chunk of a large one is a task.
-    lots = max(1, members.count() // CHUNK)
+    lots = max(1, (members.agg(F.sum("w")).first()[0] or 0) // CHUNK)
     parts = F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
     tasks = members.select("g", "chunks", "key", F.explode(parts).alias("part")).select(
         "key",
@@ -402,35 +394,37 @@ def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int
         F.lit(True).alias("probe"),
         F.col("key").alias("comp"),
     )
-    links = stash(_to_payloads(tasks, payloads, few).groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-links")
+    links = stash(payloads.join(tasks, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-links")
     roots = connected(links)
-    large = members.where("chunks > 1")
+    many = members.where("chunks > 1")
     if not large.isEmpty():
-        known = stash(large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root"), "jaccard-large")
-        largest = known.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("m"))
-        rest = largest.select("g", F.col("t.comp").alias("main"), (F.col("m") - F.col("t.c")).alias("others")).where("others > 0")
-        rest = stash(rest.withColumn("lots", F.ceil(F.col("others") / CHUNK).cast("int")), "jaccard-rest")
+        known = stash(many.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root"), "jaccard-large")
+        largest = known.groupBy("g", "comp").agg(F.count("*").alias("c"), F.sum("w").alias("w")).groupBy("g").agg(F.max(F.struct("c", "comp", "w")).alias("t"), F.sum("w").alias("w"))
+        rest = largest.select("g", F.col("t.comp").alias("main"), (F.col("w") - F.col("t.w")).alias("others")).where("others > 0")
+        rest = stash(rest.select("g", "main", F.ceil(F.col("others") / CHUNK).cast("int").alias("lots")), "jaccard-rest")
         if not rest.isEmpty():
-            open_ = known.join(rest, "g")
+            open_ = _salted(known, rest, "inner")
             ask = open_.where(F.col("comp") != F.col("main")).withColumn("lot", F.pmod(F.xxhash64("key", F.lit(3)), F.col("lots")).cast("int"))
             asked = ask.select("g", "key", "comp", "lot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
             every = open_.select("g", "key", "comp", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "chunk", F.lit(False).alias("probe"))
             pairs = asked.unionByName(every).groupBy("g", "lot", "chunk", "key", "comp").agg(F.max("probe").alias("probe"))
             task = F.xxhash64("g", "lot", "chunk")
             pairs = pairs.select("key", task.alias("pid"), task.alias("task"), "probe", "comp")
-            more = stash(_to_payloads(pairs, payloads, FEW).groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-more")
+            more = stash(payloads.join(pairs, "key").groupBy("task").applyInArrow(_join_task(match, percent), "a long, b long"), "jaccard-more")
             drop_stash(roots)
             roots = connected(links.unionByName(more))
             drop_stash(more)
         drop_stash(rest)
         drop_stash(known)
-    drop_stash(links)
-    drop_stash(members)
+    for used in (links, members, large):
+        drop_stash(used)
     return roots
 
 
 def id_number(id_col: str) -> Column:
-    return F.coalesce(F.expr(f"try_cast({quoted(id_col)} AS bigint)"), F.lit(NO_ID))
+    """The id as a number, or a hash of one that is none; NO_ID for null."""
+    number = F.expr(f"try_cast({quoted(id_col)} AS bigint)")
+    return F.when(col(id_col).isNull(), NO_ID).otherwise(F.coalesce(number, F.xxhash64(col(id_col).cast("string"))))
 
 
 def text_hash(text_col: str) -> Column:
@@ -438,22 +432,24 @@ def text_hash(text_col: str) -> Column:
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, key, n, component, root): of every row, its set and the set's size, and its component's smallest id.
-
-    root is the key of one set of the component, which tells components apart where ids are null or
-    repeat; it is null where key is. _id and _th are the id and a hash of the text; a null id counts as the least number. key is null
-    and component the own id where the text is null or has no words. Repeated rows have one set; an
-    empty table has no rows; other columns are ignored. percent is 50 or more: bitmaps of linked sets
-    are then of one width or of neighbouring ones.
+    """(_name, _id, _th, key, n, component, root): of every row its set, the set's size and its component.
+
+    _name is the id, of whatever type; component is the smallest id of the row's component that is
+    not null, or null where all are. root is the key of one set of the component, which tells
+    components apart where ids are null or repeat; it is null where key is. _id and _th are hashes of
+    id and text. key is null and component the own id where the text is null or has no words.
+    Repeated rows have one set; an empty table has no rows; other columns are ignored. percent is 50
+    or more: bitmaps of linked sets are then of one width or of neighbouring ones.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = docs.sparkSession
-    plain = docs.select(id_number(id_col).alias("_id"), text_hash(text_col).alias("_th"), col(text_col).cast("string").alias("_text"))
-    scanned = stash(plain.mapInArrow(_scan(size), "shared boolean, _id long, _th long, key long, n long, bitmap binary"), "jaccard-scan")
+    plain = docs.select(col(id_col).alias("_name"), id_number(id_col).alias("_id"), text_hash(text_col).alias("_th"), col(text_col).cast("string").alias("_text"))
+    kind = plain.schema["_name"].dataType.simpleString()
+    scanned = stash(plain.mapInArrow(_scan(size), f"shared boolean, _name {kind}, _id long, _th long, key long, n long, bitmap binary"), "jaccard-scan")
     rows = scanned.where("NOT shared")
-    owners = rows.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("_id", "n", "bitmap")).alias("o"))
-    owners = stash(owners.select("key", F.col("o._id").alias("owner"), F.col("o.n").alias("n"), F.col("o.bitmap").alias("payload")), "jaccard-owners")
+    owners = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("_name").alias("least"), F.min(F.struct("_id", "_th", "n", "bitmap")).alias("o"))
+    owners = stash(owners.select("key", "least", F.col("o._id").alias("_id"), F.col("o._th").alias("_th"), F.col("o.n").alias("n"), F.col("o.bitmap").alias("payload")), "jaccard-owners")
 
     common = scanned.where("shared").groupBy("key").agg(F.sum("n").alias("n"), F.min("_id").alias("label"))
     common = common.where(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
@@ -468,39 +464,33 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     met = first.repartition("label", spread).sortWithinPartitions("grouped", "label", "n", "key").mapInArrow(_groups(percent), "g long, key long").distinct()
     met = stash(met, "jaccard-groups")
     heavy.destroy()
-    maybe = linked(met, owners.drop("owner"), match_bitmaps, percent)
+    maybe = linked(met, owners.select("key", "n", "payload"), match_bitmaps, percent)
     drop_stash(met)
 
-    wanted = stash(maybe.join(owners.drop("payload"), maybe["node"] == owners["key"]).select("root", "key", "owner", "n"), "jaccard-wanted")
-    sets = plain.select("_id", "_text")
-    if wanted.count() <= TOLD:
-        names = wanted.select("key", "owner").orderBy("key").toArrow()
-        key, owner = names["key"].to_numpy(), names["owner"].to_numpy()
-        told = spark.sparkContext.broadcast((np.unique(owner), key, owner))
-        sets = sets.mapInArrow(_sets(size, told), "_id long, key long, n long, payload binary")
-    else:
-        sets = sets.mapInArrow(_sets(size, None), "_id long, key long, n long, payload binary")
-        sets = sets.join(wanted.select("key", "owner"), "key").where("_id = owner")
-    sets = stash(sets.select("key", "n", "payload"), "jaccard-sets")
-    roots = linked(wanted.select(F.col("root").alias("g"), "key"), sets, match_sets, percent, FEW)
-
-    named = roots.withColumnRenamed("node", "key").join(owners.select("key", "owner"), "key")
-    smallest = stash(named.groupBy("root").agg(F.min("owner").alias("component")), "jaccard-smallest")
+    wanted = stash(maybe.join(owners.drop("payload"), maybe["node"] == owners["key"]).select("root", "key", "_id", "_th", "n"), "jaccard-wanted")
+    # one plan at every size: the texts go to the wanted names, which may be as many as there are copies
+    found = plain.select("_id", "_th", "_text").join(wanted.select("_id", "_th", "key").hint("merge"), ["_id", "_th"])
+    sets = stash(found.select("key", "_text").mapInArrow(_sets(size), "key long, n long, payload binary"), "jaccard-sets")
+    roots = linked(wanted.select(F.col("root").alias("g"), "key", "n"), sets, match_sets, percent, F.ceil(F.col("n") / WEIGHT))
+
+    named = roots.withColumnRenamed("node", "key").join(owners.select("key", "least"), "key")
+    smallest = stash(named.groupBy("root").agg(F.min("least").alias("component")), "jaccard-smallest")
     linked_keys = stash(named.join(smallest, "root").select("key", "component", "root"), "jaccard-components")
-    final = owners.select("key", "owner").join(linked_keys, "key", "left").select("key", F.coalesce("component", "owner").alias("component"), F.coalesce("root", "key").alias("root"))
+    final = owners.select("key", "least").join(linked_keys, "key", "left").select("key", F.coalesce("component", "least").alias("component"), F.coalesce("root", "key").alias("root"))
     final = stash(final, "jaccard-final")
     for used in (maybe, wanted, sets, roots, smallest, linked_keys, owners):
         drop_stash(used)
-    return rows.join(final, "key", "left").select("_id", "_th", "key", "n", F.coalesce("component", "_id").alias("component"), "root")
+    component = F.when(F.col("key").isNull(), F.col("_name")).otherwise(F.col("component"))
+    return rows.join(final, "key", "left").select("_name", "_id", "_th", "key", "n", component.alias("component"), "root")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component of docs: that of its smallest id, then text hash. Rows without words all stay.
 
-    A null id comes first. Ids can repeat: texts that are no copies of each other all stay, whatever
-    their ids. Of equal rows one stays.
+    A null id comes first, ids that are no numbers go by a hash. Ids can repeat: texts that are no
+    copies of each other all stay, whatever their ids. Of rows of equal id and text one stays.
     """
-    rest = without(docs, ["_id", "_th", "_row", "_n"])
+    rest = without(docs, ["_name", "_id", "_th", "_n"])
     found = stash(near_components(rest, size, percent, id_col, text_col).select("_id", "_th", "root"), "jaccard-found")
     same = found.where("root IS NOT NULL").groupBy("root", "_id", "_th").agg(F.count("*").alias("_n"))
     first = same.groupBy("root").agg(F.min(F.struct("_id", "_th", "_n")).alias("o")).select("o.*")
@@ -508,13 +498,11 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     keep = stash(first.unionByName(wordless), "jaccard-keep")
     drop_stash(found)
     kept = rest.withColumns({"_id": id_number(id_col), "_th": text_hash(text_col)}).join(keep, ["_id", "_th"])
-    if not keep.where("_n > 1").isEmpty():  # one of equal rows
-        row = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_n"))
-        kept = kept.where("_n <= 1").unionByName(kept.where("_n > 1").withColumn("_row", row).where("_row = 1").drop("_row"))
+    if not keep.where("_n > 1").isEmpty():  # one of equal rows, by an aggregation that combines them where they are
+        kept = kept.where("_n <= 1").unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_th"]))
     return kept.select(*[col(c) for c in rest.columns])
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    component = F.nullif(F.col("component"), F.lit(NO_ID))
-    return found.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return found.select(F.col("_name").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
