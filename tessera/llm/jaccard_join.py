@@ -28,10 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, drop_stash, quoted, slices, stash, table, without
+from tessera.llm.common import col, drop_stash, id_number, slices, stash, table, without
 from tessera.llm.components import connected
 
-NO_ID = -(1 << 63)
 HEAVY = 1 << 18
 HEAVY_FROM = 32  # texts
 CHUNK = 384
@@ -421,12 +420,6 @@ def linked(groups: DataFrame, payloads: DataFrame, match: Callable, percent: int
     return roots
 
 
-def id_number(id_col: str) -> Column:
-    """The id as a number, or a hash of one that is none; NO_ID for null."""
-    number = F.expr(f"try_cast({quoted(id_col)} AS bigint)")
-    return F.when(col(id_col).isNull(), NO_ID).otherwise(F.coalesce(number, F.xxhash64(col(id_col).cast("string"))))
-
-
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(col(text_col).cast("string"))
 

@@ -2,12 +2,15 @@
 
 Records are ordered by (hash of the text, doc_id), so equal texts are neighbours. A size-weighted
 sample of the keys gives quantile boundaries of many small ranges; one aggregation measures every
-range. A range that a hot text overfills has many doc_ids and is divided again at quantiles of
-those, because the sample keys carry both parts. Shard cuts then fall inside single ranges, where a
-running sum places them exactly, so shard sizes differ by no more than a record.
-
-Only the sample (``SAMPLES`` keys) and the table of ranges (fewer than ``RANGES`` rows) reach the
-driver; both are independent of the number of records.
+range. A range that turns out overfull is subdivided: records of overfull ranges are sampled once
+more, in proportion, and the new quantiles are boundaries too. Sample keys carry both parts, so a hot
+text is divided by its doc_ids. Shard cuts then fall inside single ranges, where a running sum places
+them exactly, so shard sizes differ by no more than a record.
+
+A record weighs its bytes and ``ROW`` more, so that many small records fill a range as well. Ranges
+are of ``RANGE`` weight, so a task is bounded however large the input is, and their number grows with
+it. The driver gets ``PER_RANGE`` sample keys and one row of sums for each: 16 bytes times 16 for
+256 MB of input, which is 100 MB for 100 TB.
 """
 
 from __future__ import annotations
@@ -19,25 +22,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, quoted, table, without
+from tessera.llm.common import col, id_number, table, without
 
-SAMPLES = 60_000
-RANGES = 2_000
+RANGE = 1 << 28  # weight of a range
+LEAST_RANGES = 256
+PER_RANGE = 16
+ROW = 128
+ROUNDS = 3  # of subdivision
 
 
 def weighted_sample(keyed: DataFrame, total: int, n: int, seed: int) -> pd.DataFrame:
-    """About n keys, each record drawn with odds in proportion to its size; large ones are sure."""
+    """About n keys, each record drawn with odds in proportion to its weight; large ones are sure."""
     step = max(total / n, 1.0)
     draw = F.pmod(F.xxhash64(F.lit(seed), "_h", "_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = keyed.where(draw * step < F.col("_size")).select("_h", "_id").toPandas()
-    return rows.sort_values(["_h", "_id"], ignore_index=True)
+    return keyed.where(draw * step < F.col("_size") + ROW).select("_h", "_id").toPandas()
+
+
+def splitters(sample: pd.DataFrame, every: int) -> pd.DataFrame:
+    """Every so manieth key of a sample, as boundaries."""
+    return sample.sort_values(["_h", "_id"], ignore_index=True).iloc[every::every].drop_duplicates()
+
 
+def measured(keyed: DataFrame, cuts: pd.DataFrame) -> tuple[DataFrame, pd.DataFrame]:
+    """keyed with _range, and the weight and bytes of each range in use, in order."""
+    cuts = cuts.sort_values(["_h", "_id"])
+    ranged = keyed.withColumn("_range", range_of(cuts["_h"].to_numpy(np.int64), cuts["_id"].to_numpy(np.int64)))
+    sums = ranged.groupBy("_range").agg(F.sum(F.col("_size") + ROW).alias("weight"), F.sum("_size").alias("bytes")).toPandas()
+    return ranged, sums.sort_values("_range", ignore_index=True)
 
-def splitters(sample: pd.DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Quantile boundaries; a record belongs to the range after the last boundary not above it."""
-    at = np.unique(np.linspace(0, len(sample), ranges, endpoint=False).astype(int)[1:]) if len(sample) else []
-    cut = sample.iloc[at].drop_duplicates()
-    return cut["_h"].to_numpy(np.int64), cut["_id"].to_numpy(np.int64)
+
+def divide(keyed: DataFrame, total: int, seed: int, room: int | None = None) -> tuple[DataFrame, pd.DataFrame]:
+    """Ranges of about ``room`` weight each; those that hold over twice as much are sampled again and subdivided.
+
+    What no round can divide is one key: records of equal text and id.
+    """
+    room = room or max(1, min(RANGE, total // LEAST_RANGES))
+    cuts = splitters(weighted_sample(keyed, total, PER_RANGE * (total // room + 1), seed), PER_RANGE)
+    ranged, sums = measured(keyed, cuts)
+    for again in range(ROUNDS):
+        over = sums[sums["weight"] > 2 * room]
+        if over.empty:
+            break
+        mine = ranged.join(F.broadcast(keyed.sparkSession.createDataFrame(over[["_range"]].astype(int), "_range int")), "_range", "left_semi")  # no more than there are ranges
+        held = int(over["weight"].sum())
+        more = splitters(weighted_sample(mine, held, 2 * PER_RANGE * (held // room + 1), seed + 1 + again), PER_RANGE)
+        before, cuts = len(cuts), pd.concat([cuts, more]).drop_duplicates()
+        if len(cuts) == before:
+            break
+        ranged, sums = measured(keyed, cuts)
+    return ranged, sums
 
 
 def range_of(hashes: np.ndarray, ids: np.ndarray) -> Column:
@@ -58,22 +91,20 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
 
     Law ``bytes``: size is the UTF-8 bytes of the text plus 1 (null text: 1), and shard totals
     differ from an equal share by less than one record. Equal texts lie together unless a cut falls
-    between them. A null id sorts first; repeated rows are placed side by side; an empty table gives
-    an empty result. Columns of docs named size, shard or slot are replaced.
+    between them. A null id sorts first, an id that is no number by its hash; repeated rows are placed
+    side by side; an empty table gives an empty result. Columns of docs named size, shard or slot are replaced.
     """
     rest = without(docs, ["size", "shard", "slot", "_h", "_id", "_size", "_range"])
     keyed = rest.withColumns(
         {
             "_h": F.xxhash64(col(text_col).cast("string")),
-            "_id": F.coalesce(F.expr(f"try_cast({quoted(id_col)} AS bigint)"), F.lit(-(1 << 63))),
+            "_id": id_number(id_col),
             "_size": F.coalesce(F.octet_length(col(text_col).cast("string")), F.lit(0)).cast("long") + 1,
         }
     )
-    skinny = keyed.select("_h", "_id", "_size")
-    total = skinny.agg(F.sum("_size")).first()[0] or 0
-    bounds = splitters(weighted_sample(skinny, total, SAMPLES, seed), RANGES)
-    ranged = keyed.withColumn("_range", range_of(*bounds))
-    sums = ranged.groupBy("_range").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).toPandas().sort_values("_range")
+    total, weight = keyed.agg(F.sum("_size"), F.sum(F.col("_size") + ROW)).first()
+    total = total or 0
+    ranged, sums = divide(keyed, weight or 0, seed)
 
     # bytes and rows before each range, and the shards that the cuts inside it begin
     before = np.concatenate([[0], np.cumsum(sums["bytes"].to_numpy(np.int64))])
