@@ -13,7 +13,6 @@ source and ``COARSE`` bucket at most.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +24,41 @@ BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def water_fill(size: np.ndarray, weight: np.ndarray, total: float, cap: float) -> np.ndarray:
-    """Targets that share total by weight, none above cap times its size."""
-    most, target = size * cap, np.zeros(len(size))
-    open_ = (size > 0) & (weight > 0)
-    left = min(total, most[open_].sum())
-    while open_.any():
-        target[open_] = left * weight[open_] / weight[open_].sum()
-        over = open_ & (target >= most)
-        if not over.any():
+def weighed(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """sources (_source, source_size) with the weights in turn, by code point, null last.
+
+    Names are put into ranges and numbered inside each; only the counts of ranges reach the driver.
+    """
+    ranged = stash(sources.repartitionByRange(F.col("_source") == "-", "_source").withColumn("_part", F.spark_partition_id()), "mix-sources")
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    before = np.concatenate([[0], np.cumsum([n for _, n in counts])]).tolist()
+    first = F.create_map(*(F.lit(x) for (part, _), n in zip(counts, before, strict=False) for x in (part, n))) if counts else F.lit(None).cast("map<int,int>")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_source") == "-", "_source")) - 1 + first[F.col("_part")]
+    return ranged.withColumn("_weight", F.get(F.array(*map(F.lit, weights)), F.pmod(place, F.lit(len(weights))).cast("int")))
+
+
+def filled(sources: DataFrame, scale: float, cap: float) -> DataFrame:
+    """sources with target, _whole and _want: water-filling, in rounds over all sources at once.
+
+    A source stops at cap times its size once the level (words for a unit of weight) reaches that;
+    each round raises the level by what the stopped ones leave, until none stops any more. One row
+    of sums reaches the driver in a round.
+    """
+    most = F.col("source_size") * cap
+    open_ = (F.col("source_size") > 0) & (F.col("_weight") > 0)
+    whole = sources.agg(F.sum("source_size").alias("all"), F.sum(F.when(open_, most)).alias("most")).first()
+    total, level = min(scale * (whole["all"] or 0), whole["most"] or 0), 0.0
+    while True:
+        stops = open_ & (most <= level * F.col("_weight"))
+        sums = sources.agg(F.sum(F.when(stops, most)).alias("full"), F.sum(F.when(open_ & ~stops, F.col("_weight"))).alias("weight")).first()
+        left = (total - (sums["full"] or 0)) / sums["weight"] if sums["weight"] else level
+        if left <= level:
             break
-        target[over] = most[over]
-        left -= most[over].sum()
-        open_ &= ~over
-    return np.minimum(target, most)
+        level = left
+    target = F.when(open_, F.least(most, level * F.col("_weight"))).otherwise(0.0)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long")
+    want = F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0))
+    return sources.withColumn("target", target.cast("double")).withColumn("_whole", whole).withColumn("_want", want).select("_source", "source_size", "target", "_whole", "_want")
 
 
 def n_words(text: Column) -> Column:
@@ -74,21 +94,12 @@ def mix(
     # the key: "+" and the name, or "-" for null, so that it joins as an ordinary value
     key = F.when(col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), col(source_col).cast("string")))
     sized = rest.withColumns({"_source": key, "size": n_words(col(text_col)), "_coarse": F.floor(draw / FINE).cast("int"), "_fine": F.pmod(draw, F.lit(FINE)).cast("int")})
-    spark = docs.sparkSession
 
     # one row for each (source, bucket, sub-bucket) in use
     counted = stash(sized.groupBy("_source", "_coarse", "_fine").agg(F.sum("size").alias("n")), "mix-histogram")
-    sources = counted.groupBy("_source").agg(F.sum("n").alias("source_size"))
-    pdf = sources.toPandas()
-    pdf = pdf.assign(null=pdf["_source"] == "-").sort_values(["null", "_source"], key=lambda c: c if c.dtype == bool else c.map(lambda s: s.encode("utf-8", "surrogatepass")), ignore_index=True)
-    size = pdf["source_size"].to_numpy(np.float64)
-    weight = np.resize(np.array(weights, np.float64), len(pdf))
-    pdf["target"] = water_fill(size, weight, scale * size.sum(), cap)
-    ratio = np.divide(pdf["target"].to_numpy(), size, out=np.zeros(len(pdf)), where=size > 0)
-    pdf["_whole"] = np.floor(ratio + 1e-12).astype(np.int64)
-    pdf["_want"] = np.maximum(pdf["target"] - pdf["_whole"] * size, 0.0)
-    targets = spark.createDataFrame(pdf[["_source", "source_size", "target", "_whole", "_want"]], "_source string, source_size long, target double, _whole long, _want double")
-    n_sources = len(pdf)
+    sources = weighed(counted.groupBy("_source").agg(F.sum("n").alias("source_size")), weights)
+    targets = stash(filled(sources, scale, cap), "mix-targets")
+    n_sources = targets.count()
 
     # the coarse bucket in which the cutoff lies, then the sub-bucket: each window has 256 rows a source
     run = Window.partitionBy("_source").orderBy("_coarse").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,7 +112,8 @@ def mix(
     fine = fine.groupBy("_source").agg(F.first("_cut").alias("_cut"), F.sum(((F.col("upto") - F.col("n") / 2) <= F.col("rest")).cast("int")).alias("k"), F.sort_array(F.collect_list("_fine")).alias("used"))
     cut = fine.select("_source", "_cut", F.when(F.col("k") < F.size("used"), F.get("used", F.col("k"))).otherwise(F.lit(FINE)).alias("_sub"))
     plan = stash(_attach(targets, cut, n_sources), "mix-plan")
-    drop_stash(counted)
+    for used in (counted, targets):
+        drop_stash(used)
 
     below = (F.col("_coarse") < F.col("_cut")) | ((F.col("_coarse") == F.col("_cut")) & (F.col("_fine") < F.col("_sub")))
     extra = (F.col("_want") > 0) & F.coalesce(below, F.lit(True))
