@@ -7,13 +7,13 @@ transform, a wavelet matrix over it answers ranks, backward search finds each ph
 range, and positions sampled from the suffix array locate the occurrences. Overlapping occurrences
 merge into removal spans.
 
-There is no shuffle: documents are indexed where they are scanned. Test phrases travel in broadcast
-blocks of at most ``block_words`` words each.
+There is no shuffle: documents are indexed where they are scanned. Test phrases are broadcast, one
+block of about ``block_words`` words at a time. A larger test set takes one pass over the documents
+for each block, which carries the words hit so far along, so no worker ever holds more than a block.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, table, without
+from tessera.llm.common import col, drop_stash, stash, table, without
 
 #: Words are maximal runs of digits, a-z and bytes of non-ASCII characters, after A-Z is lowered.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -192,42 +192,47 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _judge(texts: list[str | None], blocks: list[Phrases], clean: bool) -> list[tuple]:
-    """(n_words, n_hit, items, spans, clean text) of each document of one shard."""
-    counts = np.zeros(len(texts), np.int64)
-    total, items = 0, [set() for _ in texts]
-    cover = None
-    for phrases in blocks:
-        shard = Shard(phrases)
-        for text in texts:
-            shard.add(words_of(text))
-        ends = np.array(shard.sizes, np.int64)
-        counts, total = np.diff(np.concatenate([[0], ends])), int(ends[-1]) if len(ends) else 0
-        at, size, item = shard.occurrences()
-        if cover is None:
-            cover = np.zeros(total + 1, np.int32)
-        cover += (np.bincount(at, minlength=total + 1) - np.bincount(at + size, minlength=total + 1)).astype(np.int32)
-        if len(at):
-            doc = np.searchsorted(ends, at, "right")
-            for d, i in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
-                items[d].add(phrases.names[i])
-    hit = np.cumsum(cover) > 0
-    upto = np.concatenate([[0], np.cumsum(counts)])
-    hits = np.concatenate([[0], np.cumsum(hit)])
-    out = []
-    for d, text in enumerate(texts):
-        n = int(hits[upto[d + 1]] - hits[upto[d]])
-        spans, kept = [], text
-        if n:
-            places = [m.span() for m in _WORD.finditer(text)]
-            mask = np.concatenate([[False], hit[upto[d] : upto[d + 1]], [False]])
-            edge = np.flatnonzero(mask[1:] != mask[:-1]).tolist()
-            spans = [(places[a][0], places[b - 1][1]) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            if clean:
-                cut = [0, *(x for s in spans for x in s), len(text)]
-                kept = "".join(text[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True))
-        out.append((int(counts[d]), n, sorted(items[d]), [{"start": a, "end": b} for a, b in spans], kept))
-    return out
+def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def _judge(texts: list[str | None], phrases: Phrases, hits: list | None, known: list | None) -> list[tuple[int, np.ndarray, list[str]]]:
+    """(n_words, mask of the words hit, items) of each document of one shard.
+
+    hits and known are word ranges and items of earlier blocks.
+    """
+    shard = Shard(phrases)
+    for text in texts:
+        shard.add(words_of(text))
+    ends = np.array(shard.sizes, np.int64)
+    upto = np.concatenate([[0], ends])
+    total = int(upto[-1])
+    at, size, item = shard.occurrences()
+    cover = np.bincount(at, minlength=total + 1) - np.bincount(at + size, minlength=total + 1)
+    hit = np.cumsum(cover)[:total] > 0
+    items = [set(k or ()) for k in known] if known else [set() for _ in texts]
+    if len(at):
+        doc = np.searchsorted(ends, at, "right")
+        for d, i in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
+            items[d].add(phrases.names[i])
+    for d, own in enumerate(hits or ()):
+        for r in own or ():
+            hit[upto[d] + r["start"] : upto[d] + r["end"]] = True
+    return [(int(upto[d + 1] - upto[d]), hit[upto[d] : upto[d + 1]], sorted(items[d])) for d in range(len(texts))]
+
+
+def _found(text: str | None, judged: tuple[int, np.ndarray, list[str]], clean: bool) -> tuple:
+    """(n_words, n_hit, items, spans, clean text) of one document."""
+    n_words, mask, items = judged
+    n, spans, kept = int(mask.sum()), [], text
+    if n:
+        places = [m.span() for m in _WORD.finditer(text)]
+        spans = [(places[a][0], places[b - 1][1]) for a, b in _ranges(mask)]
+        if clean:
+            cut = [0, *(x for s in spans for x in s), len(text)]
+            kept = "".join(text[a:b] for a, b in zip(cut[::2], cut[1::2], strict=True))
+    return n_words, n, items, [{"start": a, "end": b} for a, b in spans], kept
 
 
 ADDS = {
@@ -261,7 +266,7 @@ def decontaminate(
     window: int = 10,
     clean: bool = True,
     shard_bytes: int = 1 << 23,
-    block_words: int = 1 << 20,
+    block_words: int = 1 << 18,
 ) -> DataFrame:
     """Every row of docs with n_words, n_hit, items, spans and, if asked, clean_text.
 
@@ -274,28 +279,50 @@ def decontaminate(
     """
     spark = docs.sparkSession
     adds = {k: v for k, v in ADDS.items() if clean or k != "clean_text"}
-    rest = without(docs, set(adds) - {text_col})
-    drop_text = text_col in adds
-    blocks = [spark.sparkContext.broadcast(p) for p in phrase_blocks(benchmark, item_col, item_text_col, window, block_words)]
-    kept = [f for f in rest.schema.fields if not (drop_text and f.name == text_col)]
-    schema = T.StructType([*kept, *(T.StructField(k, v[0]) for k, v in adds.items())])
-    place = rest.columns.index(text_col)
+    carried = {"_hits": ADDS["spans"], "_items": ADDS["items"]}
+    rest = without(docs, {*adds, *carried} - {text_col})
+    names = [f.name for f in rest.schema.fields if not (text_col in adds and f.name == text_col)]
+    held, before = rest, False
+    blocks = phrase_blocks(benchmark, item_col, item_text_col, window, block_words)
+    block = next(blocks, None) or Phrases([], window)
+    while True:
+        following = next(blocks, None)
+        sent, last = spark.sparkContext.broadcast(block), following is None
+        fields = [held.schema[n] for n in (names if last else rest.columns)]
+        schema = T.StructType([*fields, *(T.StructField(k, v[0]) for k, v in (adds if last else carried).items())])
+        out = held.mapInArrow(_pass(sent, text_col, [f.name for f in fields], adds if last else carried, before, last, clean, shard_bytes), schema)
+        if last:
+            return out
+        out = stash(out, "decontaminate")
+        sent.destroy()
+        if before:
+            drop_stash(held)
+        held, before, block = out, True, following
+
+
+def _pass(sent, text_col: str, kept: list[str], adds: dict, before: bool, last: bool, clean: bool, shard_bytes: int):
+    """One block of phrases over all documents: columns kept and added, shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = [b.value for b in blocks] or [Phrases([], window)]
         for batch in batches:
             start = size = 0
-            lengths = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
+            lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
             for i, n in enumerate([*lengths, None]):
                 if i > start and (n is None or size + n > shard_bytes):
                     part = batch.slice(start, i - start)
-                    rows = _judge(part.column(place).to_pylist(), phrases, clean)
+                    texts = part.column(text_col).to_pylist()
+                    hits, known = (part.column(c).to_pylist() if before else None for c in ("_hits", "_items"))
+                    judged = _judge(texts, sent.value, hits, known)
+                    if last:
+                        rows = [_found(t, j, clean) for t, j in zip(texts, judged, strict=True)]
+                    else:
+                        rows = [([{"start": a, "end": b} for a, b in _ranges(mask)], items) for _, mask, items in judged]
                     arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(adds.values())]
-                    yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *arrays], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *adds])
                     start, size = i, 0
                 size += n or 0
 
-    return rest.mapInArrow(run, schema)
+    return run
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,24 +336,3 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
-
-
-def brute_force(texts: dict, items: dict, window: int = 10) -> dict:
-    """The contract by nested loops, for small tests: doc -> (n_words, n_hit, sorted items)."""
-    out = {}
-    for doc, text in texts.items():
-        words, hit, found = words_of(text), set(), set()
-        for item, phrase in items.items():
-            p = words_of(phrase)
-            size = min(window, len(p))
-            for j in range(len(p) - size + 1) if size else ():
-                for i in range(len(words) - size + 1):
-                    if words[i : i + size] == p[j : j + size]:
-                        hit.update(range(i, i + size))
-                        found.add(str(item))
-        out[doc] = (len(words), len(hit), sorted(found))
-    return out
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
