@@ -2,8 +2,9 @@
 
 URLs that a rule allows train the accepted model, URLs that a rule blocks train the rejected one.
 Both are variable-order Markov models over a folded alphabet: order 3 interpolated with orders 2, 1
-and 0. A URL's score is the difference of its two log-likelihoods over its length; the threshold is
-the one that parts the labelled URLs best. Built-in functions only.
+and 0. A URL's score is the difference of its two log-likelihoods over its length. One labelled URL
+in five is kept out of the models; the threshold is the one that parts these best (all labelled ones,
+if one kind is missing among these). Built-in functions only.
 
 Tables of n-grams have a proven bound: the folded alphabet has 40 symbols, so there are at most
 40^4 = 2.56 million rows whatever the number of URLs; that table is broadcast.
@@ -11,6 +12,8 @@ Tables of n-grams have a proven bound: the folded alphabet has 40 symbols, so th
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = 40
 #: Weight of the lower order in interpolation.
 LAMBDA = 4.0
+FOLDS = 5
+SALTS = 8  # places in which a hot url's rows meet its score
+
+
+def held_out(url: Column) -> Column:
+    return F.crc32(url.cast("binary")) % FOLDS == 0
+
+
+def kept_out(url: str) -> bool:
+    """held_out() of one url."""
+    return zlib.crc32(url.encode()) % FOLDS == 0
 
 
 def after_scheme(url: Column) -> Column:
@@ -82,9 +96,14 @@ def log_ratios(counts: DataFrame) -> DataFrame:
 def threshold(scored: DataFrame) -> float | None:
     """The score that parts allowed from blocked URLs best; None if either kind is missing.
 
-    Scores are counted in 1001 bins, so a bounded table reaches the driver.
+    URLs that the models did not see decide. Scores are counted in 1001 bins, so a bounded table
+    reaches the driver.
     """
-    bins = scored.where("_label IS NOT NULL").groupBy(F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "score")), 2).alias("bin"))
+    labelled = scored.where("_label IS NOT NULL")
+    unseen = labelled.where(held_out(F.col("_url")))
+    if unseen.agg(F.count_distinct("_label")).first()[0] == 2:
+        labelled = unseen
+    bins = labelled.groupBy(F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), "score")), 2).alias("bin"))
     rows = bins.agg(F.sum("_allow").alias("a"), F.sum("_block").alias("b")).orderBy("bin").collect()
     all_a, all_b = sum(r.a for r in rows), sum(r.b for r in rows)
     if not all_a or not all_b:
@@ -106,13 +125,16 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
     score and is allowed, and so is every one if the rules leave either model without examples.
     Repeated rows count as often as they occur and each get the verdict; added names replace columns.
     """
-    rest = without(pages, ["host", "path", "rule", "score", "verdict", "_url"])
+    rest = without(pages, ["host", "path", "rule", "score", "verdict", "_url", "_salt"])
     url = col(url_col).cast("string")
     rule, says = rule_of(host_of(F.col("_url")), path_of(F.col("_url")), rules)
     urls = rest.groupBy(url.alias("_url")).agg(F.count("*").alias("_n")).where("_url IS NOT NULL").withColumn("_label", says)
     urls = urls.withColumns({"_allow": F.when(F.col("_label") == "allow", F.col("_n")).otherwise(0), "_block": F.when(F.col("_label") == "block", F.col("_n")).otherwise(0)})
-    urls = stash(urls, "urls")
-    counts = grams(urls, "_url", ["_allow", "_block"]).groupBy("gram").agg(F.sum("_allow").alias("allow"), F.sum("_block").alias("block"))
+    # an even deal: rows of urls are small, and each becomes as many as it has symbols
+    urls = stash(urls.repartition(F.xxhash64("_url")), "urls")
+    # n-grams of all urls have a row, as lower orders tell of those that the models did not see
+    seen = {c: F.when(held_out(F.col("_url")), 0).otherwise(F.col(c)) for c in ("_allow", "_block")}
+    counts = grams(urls.withColumns(seen), "_url", ["_allow", "_block"]).groupBy("gram").agg(F.sum("_allow").alias("allow"), F.sum("_block").alias("block"))
     counts = stash(counts, "url-grams")
     ratios = stash(log_ratios(counts), "url-model")
     scored = grams(urls, "_url", ["_url", "_label", "_allow", "_block"]).join(F.broadcast(ratios), "gram")
@@ -122,7 +144,10 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
         drop_stash(used)
     cut = threshold(scored)
     method = F.lit("allow") if cut is None else F.when(F.col("score") < cut, "block").otherwise("allow")
-    out = rest.withColumn("_url", url).join(scored.select("_url", "score"), "_url", "left")
+    # rows of one url, or of none, meet its score in several places
+    salt = F.pmod(F.xxhash64(*[col(c) for c in rest.columns]), F.lit(SALTS)).cast("int")
+    spread = scored.select("_url", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    out = rest.withColumns({"_url": url, "_salt": salt}).join(spread, ["_url", "_salt"], "left")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"host": host, "path": path})
