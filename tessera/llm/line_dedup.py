@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, drop_stash, quoted, slices, stash, table, without
+from tessera.llm.common import col, drop_stash, id_number, slices, stash, table, without
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # any odd number: powers of it have inverses modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -136,8 +136,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = ["n_lines", "n_removed", "removed", "kept_text"]
     rest = without(docs, [*added, "_id", "_th", "_text", "_cut", "runs"])
     text = col(text_col).cast("string")
-    number = F.coalesce(F.expr(f"try_cast({quoted(id_col)} AS bigint)"), F.lit(-(1 << 63)))
-    keyed = rest.withColumns({"_id": number, "_th": F.xxhash64(text), "_text": text})
+    keyed = rest.withColumns({"_id": id_number(id_col), "_th": F.xxhash64(text), "_text": text})
     cut = F.pandas_udf(_cut, "n_lines long, n_removed long, removed string, kept_text string")
     # by key at every size: whether the runs would fit a broadcast says nothing of larger inputs
     runs = repeated_runs(keyed, min_words).hint("merge")
@@ -148,22 +147,3 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "removed", "kept_text")
-
-
-def brute_force(texts: dict[int, str | None], min_words: int = 50) -> dict[int, list[int]]:
-    """The same by plain loops, for small tests: the removed lines of each text.
-
-    Every line is compared with every earlier one, and runs are followed to the first mismatch.
-    """
-    out: dict[int, set[int]] = {k: set() for k in texts}
-    lines = {k: t.split("\n") for k, t in texts.items() if t is not None}
-    for k0, k in ((a, b) for b in lines for a in lines if a <= b):
-        for i0, i in ((a, b) for b in range(len(lines[k])) for a in range(b if k0 == k else len(lines[k0]))):
-            if min(i0, i) and lines[k0][i0 - 1] == lines[k][i - 1]:
-                continue  # inside a run
-            n = 0
-            while i + n < len(lines[k]) and i0 + n < len(lines[k0]) and lines[k0][i0 + n] == lines[k][i + n]:
-                n += 1
-            if sum(len(x.split()) for x in lines[k][i : i + n]) >= min_words:
-                out[k].update(range(i, i + n))
-    return {k: sorted(v) for k, v in out.items()}

@@ -1,16 +1,18 @@
 """Operators against plain versions on small tables, and round trips."""
 
+import collections
 import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, pii, sharding
+from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, pii, sharding, url_filters
 from tessera.llm.components import connected
 
 DATA = "/root/testdata/sf0.001"
@@ -82,6 +84,23 @@ def test_conversations_against_plain_loops(spark):
     assert got.loc[-1, "n_turns"] == 2 and got.loc[-1, "loss_chars"] == 34
 
 
+def decontamination_by_loops(texts: dict, items: dict, window: int = 10) -> dict:
+    """The contract by nested loops, for small tests: doc -> (n_words, n_hit, sorted items)."""
+    out = {}
+    for doc, text in texts.items():
+        words, hit, found = decontamination.words_of(text), set(), set()
+        for item, phrase in items.items():
+            p = decontamination.words_of(phrase)
+            size = min(window, len(p))
+            for j in range(len(p) - size + 1) if size else ():
+                for i in range(len(words) - size + 1):
+                    if words[i : i + size] == p[j : j + size]:
+                        hit.update(range(i, i + size))
+                        found.add(str(item))
+        out[doc] = (len(words), len(hit), sorted(found))
+    return out
+
+
 def test_decontamination_against_loops(spark):
     rng = random.Random(3)
     word = lambda: rng.choice("aa bb cc dd éé 1".split())
@@ -89,7 +108,7 @@ def test_decontamination_against_loops(spark):
     items = {i: " ".join(word() for _ in range(rng.randrange(8))) for i in range(15)}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     b = spark.createDataFrame(list(items.items()), "item_id long, text string")
-    want = decontamination.brute_force(texts, items, 4)
+    want = decontamination_by_loops(texts, items, 4)
     for size in (64, 1 << 23):
         for words in (10, 1 << 20):
             got = decontamination.decontaminate(d, b, window=4, shard_bytes=size, block_words=words).collect()
@@ -105,9 +124,9 @@ def test_contamination_of_documents(spark, docs):
     assert got.contaminated.any() and not got.contaminated.all()
     some = got[got.contaminated].doc_id.tolist()[:3] + got[~got.contaminated].doc_id.tolist()[:3]
     texts = dict(zip(docs.doc_id, docs.text, strict=True))
-    want = decontamination.brute_force({k: texts[k] for k in some}, dict(zip(bench.item_id, bench.text, strict=True)))
+    want = decontamination_by_loops({k: texts[k] for k in some}, dict(zip(bench.item_id, bench.text, strict=True)))
     for r in got[got.doc_id.isin(some)].itertuples():
-        assert (r.n_words, r.n_hit, r.items_sha256) == (*want[r.doc_id][:2], decontamination.items_digest(want[r.doc_id][2]))
+        assert (r.n_words, r.n_hit, r.items_sha256) == (*want[r.doc_id][:2], hashlib.sha256(",".join(want[r.doc_id][2]).encode()).hexdigest())
 
 
 def test_shards_are_even(spark):
@@ -124,16 +143,104 @@ def test_hot_text_is_divided(spark):
     assert len(own) == 16 and max(own) - min(own) <= 20
 
 
-def test_water_filling():
+def water_fill(size, weight, total, cap):
+    """Targets by the contract's words, for small tests: fill, stop those above, reshare until none is above."""
+    most, target = size * cap, np.zeros(len(size))
+    open_ = size > 0
+    left = min(total, most[open_].sum())
+    while open_.any():
+        target[open_] = left * weight[open_] / weight[open_].sum()
+        over = open_ & (target > most)
+        if not over.any():
+            break
+        target[over] = most[over]
+        left -= most[over].sum()
+        open_ &= ~over
+    return target
+
+
+def test_water_filling(spark):
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        size, weight = rng.integers(0, 100, 6).astype(float), rng.integers(1, 4, 6).astype(float)
-        target = mixing.water_fill(size, weight, 1.5 * size.sum(), 2.0)
-        assert (target <= 2 * size + 1e-9).all() and abs(target.sum() - 1.5 * size.sum()) < 1e-6
-        free = (target < 2 * size - 1e-9) & (size > 0)
-        if free.any():  # those under the cap share by weight, and none at the cap would get more
-            level = (target / weight)[free]
-            assert np.ptp(level) < 1e-6 and (2 * size / weight <= level[0] + 1e-6)[~free].all()
+    for k in range(12):
+        names = [chr(97 + i) if i % 3 else chr(0x1F600 + i) for i in range(9)] + [None]
+        size = rng.integers(0, 100, 10) * rng.integers(0, 2, 10) * (k > 0)
+        df = spark.createDataFrame([("-" if n is None else "+" + n, int(s)) for n, s in zip(names, size, strict=True)], "_source string, source_size long")
+        got = {r._source: r for r in mixing.filled(mixing.weighed(df, (3.0, 1.0, 2.0)), 1.5, 2.0).collect()}
+        order = sorted(got, key=lambda s: (s == "-", s.encode()))
+        own = np.array([got[s].source_size for s in order], float)
+        want = water_fill(own, np.resize([3.0, 1.0, 2.0], 10), 1.5 * own.sum(), 2.0)
+        assert np.allclose([got[s].target for s in order], want)
+        assert all(r._whole * r.source_size + r._want == pytest.approx(r.target) for r in got.values())
+
+
+def test_mixing_against_plain_loops(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
+    got = mixing.op6_source_mixing(spark, DATA).toPandas().set_index("doc_id").loc[docs.doc_id]
+    size = np.array([0 if t is None else len(re.findall(r"[^\x20\x09-\x0D]+", t)) for t in docs.text])
+    names = sorted({s for s in docs.source if s is not None}, key=lambda s: s.encode()) + ([None] if docs.source.isna().any() else [])
+    of = np.array([names.index(s if isinstance(s, str) else None) for s in docs.source])
+    own = np.bincount(of, size, len(names))
+    target = water_fill(own, np.resize([3.0, 1.0, 2.0], len(names)), 1.5 * own.sum(), 2.0)
+    assert (got["size"].to_numpy() == size).all() and (got.source_size.to_numpy() == own[of]).all()
+    assert np.allclose(got.target, target[of]) and (got.taken <= 2 * got["size"]).all()
+    taken = np.bincount(of, got.taken, len(names))
+    assert (np.abs(taken - target) <= [size[of == k].max() for k in range(len(names))]).all()
+
+
+def test_shards_against_plain_loops(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
+    out = sharding.op4_sampled_splitter_sharding(spark, DATA).toPandas().set_index("doc_id").loc[docs.doc_id]
+    data = [b"" if t is None else t.encode() for t in docs.text]
+    assert out["size"].tolist() == [len(d) + 1 for d in data] and out.text_crc32.tolist() == [zlib.crc32(d) for d in data]
+    for _, own in out.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    ends = out.sort_values(["shard", "slot"])["size"].cumsum().to_numpy()
+    middle = ends - out.sort_values(["shard", "slot"])["size"].to_numpy() / 2
+    assert (np.minimum(np.floor(middle * 16 / ends[-1]), 15) == out.sort_values(["shard", "slot"])["shard"]).all()
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    """A third of all rows have no text, and long texts draw nearly all of the first sample."""
+    rows = spark.range(30_000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id")).alias("_h"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).cast("long").alias("_size"))
+    total = rows.agg(F.sum(F.col("_size") + sharding.ROW)).first()[0]
+    for seed in range(3):
+        _, sums = sharding.divide(rows, total, seed, room=total // 64)
+        assert sums.weight.sum() == total and sums.weight.max() <= 2 * (total // 64) + 5000
+
+
+def test_urls_against_plain_model(spark):
+    """Scores from counts by the same formula, and a threshold between labelled URLs, in plain Python."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url").toPandas()
+    got = url_filters.op8_url_language_model(spark, DATA).toPandas().set_index("page_id").loc[pages.page_id]
+    upper = str.maketrans(url_filters.UPPER + "123456789", url_filters.LOWER + "000000000")
+    counts = {"allow": collections.Counter(), "block": collections.Counter()}
+    folded, labels = {}, {}
+    for url, rule, host, path in zip(pages.url, got.rule, got.host, got.path, strict=True):
+        rest = url.split("://", 1)[1] if isinstance(url, str) and "://" in url else ""
+        assert host == re.match(r"[^/?#]*", rest)[0].translate(str.maketrans(url_filters.UPPER, url_filters.LOWER)) and path == re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(r, v) for v, r in url_filters.RULES if ("." + host).endswith("." + r[: r.index("/")]) and path.startswith(r[r.index("/") :])]
+        best = max(fits, key=lambda f: len(f[0]), default=(None, None))
+        assert (rule if isinstance(rule, str) else None) == best[0]
+        plain = "^^^" + re.sub(r"[^a-z0./_?=&%#:~-]", "*", rest.translate(upper))
+        folded[url], labels[url] = [plain[i : i + 4] for i in range(len(plain) - 3)], best[1]
+        if best[1] and isinstance(url, str) and not url_filters.kept_out(url):
+            for g in folded[url]:
+                for k in range(1, 5):
+                    counts[best[1]][(k, g[4 - k :])] += 1
+                    counts[best[1]][(k, g[4 - k : -1], "context")] += 1
+
+    def log_p(c, g):
+        p = (c[(1, g[3:])] + 1) / (c[(1, "", "context")] + url_filters.SYMBOLS)
+        for k in (2, 3, 4):
+            p = (c[(k, g[4 - k :])] + url_filters.LAMBDA * p) / (c[(k, g[4 - k : -1], "context")] + url_filters.LAMBDA)
+        return np.log(p)
+
+    known = [u for u in folded if folded[u]]
+    score = {u: np.mean([log_p(counts["allow"], g) - log_p(counts["block"], g) for g in folded[u]]) for u in known}
+    for url, s in zip(pages.url, got.score, strict=True):
+        assert (url not in score and np.isnan(s)) or s == pytest.approx(score[url], abs=1e-6)
+    free = got[got.rule.isna() & got.score.notna()]
+    assert free[free.verdict == "block"].score.max() < free[free.verdict == "allow"].score.min() or free.verdict.nunique() == 1
 
 
 def test_mix_comes_near_its_targets(spark):
@@ -239,12 +346,31 @@ def test_context_is_read_on_both_sides(spark):
     assert got == {0: [("ssn", 0, 0.6)], 1: [("ssn", 2, 0.6)], 2: [], 3: [], 4: [], 5: []}
 
 
+def lines_by_loops(texts: dict[int, str | None], min_words: int = 50) -> dict[int, list[int]]:
+    """The same by plain loops, for small tests: the removed lines of each text.
+
+    Every line is compared with every earlier one, and runs are followed to the first mismatch.
+    """
+    out: dict[int, set[int]] = {k: set() for k in texts}
+    lines = {k: t.split("\n") for k, t in texts.items() if t is not None}
+    for k0, k in ((a, b) for b in lines for a in lines if a <= b):
+        for i0, i in ((a, b) for b in range(len(lines[k])) for a in range(b if k0 == k else len(lines[k0]))):
+            if min(i0, i) and lines[k0][i0 - 1] == lines[k][i - 1]:
+                continue  # inside a run
+            n = 0
+            while i + n < len(lines[k]) and i0 + n < len(lines[k0]) and lines[k0][i0 + n] == lines[k][i + n]:
+                n += 1
+            if sum(len(x.split()) for x in lines[k][i : i + n]) >= min_words:
+                out[k].update(range(i, i + n))
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def test_lines_against_loops(spark):
     rng = random.Random(6)
     lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 3, 12]))) for _ in range(12)]
     texts = {i: "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 25))) for i in range(30)}
     df = spark.createDataFrame([*texts.items(), (99, None)], "doc_id long, text string")
-    want = line_dedup.brute_force(texts, 10)
+    want = lines_by_loops(texts, 10)
     for r in line_dedup.dedup_lines(df, min_words=10).collect():
         gone = [x for s in r.removed.split(",") if s for x in range(*map(int, s.split("-")))]
         assert gone == want.get(r.doc_id, [])
@@ -276,7 +402,7 @@ def test_repeated_runs_go_whole(spark):
     assert got[2] == ("1-12", "other\nlast") and got[4] == ("0-33", "final")
     assert got[6] == ("1-4", "body")  # of its run only the long line is in an earlier text than 5
     assert got[8] == ("0-11", "fin")
-    want = line_dedup.brute_force(texts)
+    want = lines_by_loops(texts)
     assert {k: [x for s in v[0].split(",") if s for x in range(*map(int, s.split("-")))] for k, v in got.items()} == want
 
 
@@ -291,7 +417,7 @@ def test_windows_cover_repeated_runs(seed):
     for k, a, b, key in sorted(zip(w["doc"], w["first"], w["stop"], zip(w["fp"], w["win"], strict=True), strict=True), key=lambda x: x[:3]):
         if first.setdefault(key, (k, a)) != (k, a):
             gone[k].update(range(a - begin[k], b - begin[k]))
-    assert {k: sorted(v) for k, v in gone.items()} == line_dedup.brute_force(texts, 10)
+    assert {k: sorted(v) for k, v in gone.items()} == lines_by_loops(texts, 10)
 
 
 def jaccard_brute(texts, percent=75):
