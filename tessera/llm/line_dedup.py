@@ -1,17 +1,23 @@
 """Line deduplication by winnowing over line hashes.
 
 A window is the fewest lines that hold ``min_words`` words, from a given line on or up to a given
-line; a long line is a window of its own. The line of least hash in a window is its fingerprint.
-Fingerprints are joined on their hash and that of their window, which tells a common line in other
-surroundings from a repeated run. A window that occurred before is deleted.
-
-That deletes every repeated run whole, with no match to extend. Take a line of a run of min_words
-words or more that occurred before: the window from it on lies in the run, or the one up to it does,
-or else the words on either side are too few and the window from the run's first line on reaches
-over it. Any window inside the run occurred before as well, wherever its first occurrence is.
-
-Hot lines are not gathered: the first occurrence comes from an aggregation, and each later one is
-joined to it alone.
+line; a long line is a window of its own. Winnowing selects the line of least hash in every window;
+windows side by side mostly select the same line, so a text has few selected positions, and any run
+that two texts share has a position that both select. Each selected position is a row: its line's
+hash, which is the fingerprint, and the windows around the line that selected it.
+
+Positions are joined on the fingerprint: one whose line is selected nowhere else goes at once, and
+with it all its windows. What is left is extended both ways: every window around a shared position
+is compared, by a hash of all its lines, with those of the fingerprint's other positions. A window
+that occurred before is deleted.
+
+That deletes every repeated run whole. Take a line of a run of min_words words or more that occurred
+before: the window from it on lies in the run, or the one up to it does, or else the words on either
+side are too few and the window from the run's first line on reaches over it. Any window inside the
+run occurred before as well, wherever its first occurrence is, and selected the same line there.
+
+Hot lines are not gathered: counts are combined where the rows are, a fingerprint's rows meet its
+count in several places, and later windows are joined to the first occurrence alone.
 """
 
 from __future__ import annotations
@@ -29,23 +35,32 @@ from tessera.llm.common import col, drop_stash, id_number, slices, stash, table,
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # any odd number: powers of it have inverses modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-WINDOW = "_id long, _th long, start int, stop int, fp long, win long"
+SALTS = 8
+POSITION = "_id long, _th long, fp long, at int, windows array<struct<start:int,stop:int,win:bigint>>"
+_WINDOW = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("win", pa.int64())])
 
 
 def _least(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The least hash of each window, as the lesser of two spans of a power of two that cover it."""
-    out = np.empty(len(first), np.uint64)
+    """The last place of the least hash in each window, from two spans of a power of two that cover it."""
+
+    def lesser(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(hashes[b] <= hashes[a], b, a)
+
+    out = np.empty(len(first), np.int64)
     level = np.frexp(stop - first)[1] - 1
-    least = hashes  # of the 2^k lines from each line on
+    least = np.arange(len(hashes))  # of the 2^k lines from each line on
     for k in range(level.max(initial=-1) + 1):
         own = level == k
-        out[own] = np.minimum(least[first[own]], least[stop[own] - (1 << k)])
-        least = np.minimum(least[: -(1 << k)], least[1 << k :])
+        out[own] = lesser(least[first[own]], least[stop[own] - (1 << k)])
+        least = lesser(least[: -(1 << k)], least[1 << k :])
     return out
 
 
 def windows(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
-    """All windows of texts: their text's number, first and last line (exclusive), fingerprint, hash."""
+    """All windows of texts: their text's number, first and last line (exclusive), selected line, its hash, their own.
+
+    A line without words is selected in no window.
+    """
     lines = [t.split("\n") for t in texts]
     count = np.array([len(x) for x in lines], np.int64)
     n = int(count.sum())
@@ -66,7 +81,8 @@ def windows(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
         inverse = np.cumprod(np.full(n + 1, _B_INVERSE, np.uint64)) * _B
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * power[:-1], dtype=np.uint64)])
         win = (sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64)
-    return {"count": count, "doc": doc, "first": first, "stop": stop, "fp": _least(hashes, first, stop), "win": win}
+    at = _least(np.where(words > 0, hashes, np.uint64(2**64 - 1)), first, stop)
+    return {"count": count, "doc": doc, "first": first, "stop": stop, "at": at, "fp": hashes[at], "win": win}
 
 
 def _emit(min_words: int):
@@ -75,31 +91,32 @@ def _emit(min_words: int):
             w = windows(batch.column(2).to_pylist(), min_words)
             ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             begin = np.concatenate([[0], np.cumsum(w["count"])])
-            doc, first, stop = w["doc"], w["first"], w["stop"]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[doc]),
-                    pa.array(th[doc]),
-                    pa.array((first - begin[doc]).astype(np.int32)),
-                    pa.array((stop - begin[doc]).astype(np.int32)),
-                    pa.array(w["fp"].view(np.int64)),
-                    pa.array(w["win"].view(np.int64)),
-                ],
-                names=["_id", "_th", "start", "stop", "fp", "win"],
-            )
+            by = np.argsort(w["at"], kind="stable")
+            at = w["at"][by]
+            own = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else by
+            doc, base = w["doc"][by], begin[w["doc"][by]]
+            parts = [pa.array((w["first"][by] - base).astype(np.int32)), pa.array((w["stop"][by] - base).astype(np.int32)), pa.array(w["win"][by].view(np.int64))]
+            around = pa.ListArray.from_arrays(pa.array(np.append(own, len(at)).astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(_WINDOW)))
+            columns = [pa.array(ids[doc[own]]), pa.array(th[doc[own]]), pa.array(w["fp"][by][own].view(np.int64)), pa.array((at[own] - base[own]).astype(np.int32)), around]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "fp", "at", "windows"])
 
     return run
 
 
 def repeated_runs(keyed: DataFrame, min_words: int) -> DataFrame:
     """(_id, _th, runs): for each text with repeated runs, the first and last (exclusive) lines of each."""
-    rows = stash(keyed.where("_text IS NOT NULL").select("_id", "_th", "_text").mapInArrow(_emit(min_words), WINDOW), "line-windows")
+    rows = stash(keyed.where("_text IS NOT NULL").select("_id", "_th", "_text").mapInArrow(_emit(min_words), POSITION), "line-positions")
+    shared = rows.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("_id", "_th", "at"), F.lit(SALTS)).cast("int")
+    met = rows.withColumn("_salt", salt).join(shared.hint("merge"), ["fp", "_salt"])
+    met = stash(met.select("_id", "_th", "fp", F.inline("windows")), "line-windows")
     here = F.struct("_id", "_th", "start")
-    first = rows.groupBy("fp", "win").agg(F.min(here).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = met.groupBy("fp", "win").agg(F.min(here).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = stash(first, "line-first")
-    later = rows.join(first, ["fp", "win"]).where(here != F.col("_first"))
+    later = met.join(first, ["fp", "win"]).where(here != F.col("_first"))
     runs = stash(later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")), "line-runs")
-    for used in (rows, first):
+    for used in (rows, met, first):
         drop_stash(used)
     return runs
 
