@@ -8,7 +8,6 @@ runs of letters or digits are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +35,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"iban|bank|account|konto", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social|security|insurance", False),
 )
-#: Code points on each side of a span in which context words count, what they add, and the least score of added kinds.
+#: Code points on each side of a span, no further than the next match of its kind reaches, in which context words count, what they add, and the least score of added kinds.
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,score:double,base:boolean>"
 
@@ -69,23 +68,40 @@ def confirmed(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _placer(kind: Kind, rank: int, text: Column, pieces: Column) -> Callable[[Column, Column], Column]:
-    """The step of aggregate() that places the next match behind its piece, and keeps it if confirmed."""
+def _spans(kind: Kind, rank: int, matches: Column, pieces: Column) -> Column:
+    """Confirmed matches with their places, which follow from the pieces before, between and after them.
 
-    def step(acc: Column, match: Column) -> Column:
-        start = acc["at"] + F.length(F.get(pieces, acc["i"]))
+    Matches are placed in blocks of about the square root of their number: an array that grows by
+    one span a time is copied each time, so blocks keep the work near linear. No part of the text is
+    sought from its front.
+    """
+    n = F.size(matches)
+    block = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(acc: Column, i: Column) -> Column:
+        match = F.get(matches, i)
+        start = acc["at"] + F.length(F.get(pieces, i))
         end = start + F.length(match)
-        before = F.substr(text, F.greatest(start - CONTEXT, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT)).cast("int"))
-        after = F.substr(text, (end + 1).cast("int"), F.lit(CONTEXT))
-        near = F.lower(F.concat(before, F.lit("\n"), after))  # no context word goes across the span
+        # context ends with the neighbouring match of the kind
+        before = F.concat(F.coalesce(F.right(F.get(matches, i - 1), F.lit(CONTEXT)), F.lit("")), F.right(F.get(pieces, i), F.lit(CONTEXT)))
+        after = F.concat(F.left(F.get(pieces, i + 1), F.lit(CONTEXT)), F.coalesce(F.left(F.get(matches, i + 1), F.lit(CONTEXT)), F.lit("")))
+        near = F.lower(F.concat(F.right(before, F.lit(CONTEXT)), F.lit("\n"), F.left(after, F.lit(CONTEXT))))  # no context word goes across the span
         bonus = F.when(F.regexp_like(near, F.lit(kind.context)), F.lit(BONUS)).otherwise(F.lit(0.0))
         score = F.round(F.least(F.lit(1.0), F.lit(kind.score) + bonus), 3)
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score"), F.lit(kind.base).alias("base"))
         good = confirmed(kind.name, match) if kind.base else confirmed(kind.name, match) & (score >= LEAST)
         out = F.when(good, F.concat(acc["out"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), out.alias("out"))
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    return step
+    def place_block(acc: Column, first: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+        done = F.aggregate(F.sequence(first, F.least(first + block, n) - 1), begin, step)
+        return F.aggregate(F.array(done), acc, lambda a, d: F.struct(d["at"].alias("at"), F.concat(a["out"], F.array(d["out"])).alias("out")))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+    walked = F.aggregate(F.sequence(F.lit(0), n - 1, block), begin, place_block, lambda acc: F.flatten(acc["out"]))
+    return F.when(n > 0, walked).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -101,13 +117,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hit = rest.withColumns(found)
     pieces = {f"_p_{k.name}": F.when(F.size(f"_m_{k.name}") > 0, F.split(text, k.pattern, -1)) for k in KINDS}
     hit = hit.withColumns(pieces)
-    none = F.array().cast(f"array<{SPAN}>")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("i"), none.alias("out"))
-    spans = []
-    for rank, k in enumerate(KINDS):
-        matches = F.col(f"_m_{k.name}")
-        walked = F.aggregate(matches, begin, _placer(k, rank, text, F.col(f"_p_{k.name}")), lambda acc: acc["out"])
-        spans.append(F.when(F.size(matches) > 0, walked).otherwise(none))
+    spans = [_spans(k, rank, F.col(f"_m_{k.name}"), F.col(f"_p_{k.name}")) for rank, k in enumerate(KINDS)]
     return hit.select(*[col(c) for c in rest.columns], F.sort_array(F.concat(*spans)).alias("pii"))
 
 
