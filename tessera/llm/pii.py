@@ -34,6 +34,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"phone|tel|call|mobile|fax", True),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"iban|bank|account|konto", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social|security|insurance", False),
+    # a long word of letters and digits, which only its context makes a secret
+    Kind("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+", 0.3, r"token|secret|passw|credential|\bkey\b|api.?key", False),
 )
 #: Code points on each side of a span, no further than the next match of its kind reaches, in which context words count, what they add, and the least score of added kinds.
 CONTEXT, BONUS, LEAST = 40, 0.3, 0.5
@@ -108,7 +110,7 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row of docs with ``pii``: array<struct<start, rank, kind, end, score, base>> by place.
 
     Positions are code points, end exclusive. Kinds of the base set stay whatever their score; the
-    added kinds (iban by mod 97, ssn by context) stay from a score of 0.5. Null and empty texts have
+    added kinds (iban by mod 97, ssn and secret by context) stay from a score of 0.5. Null and empty texts have
     no spans. Repeated rows each get their spans; a column of docs named pii is replaced.
     """
     rest = without(docs, ["pii"])

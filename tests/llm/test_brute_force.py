@@ -502,3 +502,23 @@ def test_connected_chains_and_stars(spark):
     got = connected(spark.createDataFrame(links, "a long, b long")).collect()
     roots = {r.node: r.root for r in got}
     assert len({roots[i] for i in range(41)}) == 1 and len({roots[i] for i in range(100, 150)}) == 1 and roots[0] != roots[100]
+
+
+def test_secrets_need_their_context(spark):
+    code = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'token = "{code}" x', f"commit {code} x", f"{code} is the api key", "token = " + "a" * 40, "token = " + "1" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [[(s.kind, s.start, s.end) for s in r.pii] for r in pii.find_pii(df).orderBy("doc_id").collect()]
+    assert got == [[("secret", 9, 49)], [], [("secret", 0, 40)], [], []]
+
+
+def test_many_matches_in_one_text(spark):
+    """Places of more matches than a block holds, and pieces of unequal length between them."""
+    rng = random.Random(8)
+    parts = [("é" * rng.randrange(60) + " ", f"a{i}@b{i}.cd") for i in range(700)]
+    df = spark.createDataFrame([(1, "".join(a + b for a, b in parts))], "doc_id long, text string")
+    at, want = 0, []
+    for a, b in parts:
+        want.append((at + len(a), at + len(a) + len(b)))
+        at += len(a) + len(b)
+    assert [(s.start, s.end) for s in pii.find_pii(df).first().pii] == want
