@@ -9,9 +9,13 @@ A leaf is left out once the upper bound of its inner products is below the (k /
 far. What is lost then has that many better candidates, so of each k results at least k / factor are
 right, whatever the vectors are. Factor one leaves out only what cannot be among the best.
 
-Vectors are compared with those of their own length. Shards are by hash of the id, so equal vectors spread; inside a shard equal vectors are one entry
-with their smallest ids, of which no more than k + 1 can ever be returned. Queries go out in
-broadcast blocks of ``block`` rows, each against all shards.
+Vectors are compared with those of their own length. Shards are by hash of the id, so equal vectors
+spread; inside a shard equal vectors are one entry with their smallest ids, of which no more than
+k + 1 can ever be returned. A first pass over the leaves that are not left out finds each query's
+k-th score, a second one takes all vectors of these leaves that reach it, so ties are whole.
+
+Queries go out in broadcast blocks of ``block_bytes`` at most, each against all shards; one task
+searches one shard's tree at a time, for ``TOGETHER`` queries at a time.
 """
 
 from __future__ import annotations
@@ -20,18 +24,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, drop_stash, quoted, stash, table
+from tessera.llm.common import bound_batches, col, drop_stash, quoted, stash, table
 
 LEAF = 64
-SLACK = 12
+TOGETHER = 256
 BANDS = 4  # of norms, for each factor of two
 ROUNDING = 1e-7
+TIE = 1e-11  # more than products of one pair can differ by, at norms of one
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -87,44 +91,48 @@ class VPTree:
         self.nodes[place] = (vantage, most, first, middle, len(self.leaves), far[0], far[half - 1], far[half], far[-1])
 
     def search(self, queries: np.ndarray, take: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows in leaf order, scores of the queries at norm one), take columns, -1 where there are fewer.
+        """(query, row in leaf order) of the best ``take`` found and of all found that tie with the last of them.
 
-        The best ``sure`` are exact.
+        The best ``sure`` are exact. Queries have norm one.
         """
         nq = len(queries)
-        q = queries / norms(queries)[:, None]
         most = np.array(self.most)
         low = np.zeros((nq, len(self.leaves)))  # distances at largest norm one
         if self.nodes:
             place = np.empty(len(self.order), np.int64)
             place[self.order] = np.arange(len(self.order))
-            to = q @ (self.v[place[[n[0] for n in self.nodes]]] / np.array([n[1] for n in self.nodes])[:, None]).T
+            to = queries @ (self.v[place[[n[0] for n in self.nodes]]] / np.array([n[1] for n in self.nodes])[:, None]).T
             to = np.sqrt(np.maximum(2 - 2 * to, 0.0))
             for (_, _, first, middle, end, a, b, c, d), far in zip(self.nodes, to.T, strict=True):
                 inner, outer = np.maximum(far - b, a - far)[:, None], np.maximum(far - d, c - far)[:, None]
                 np.maximum(low[:, first:middle], inner, out=low[:, first:middle])
                 np.maximum(low[:, middle:end], outer, out=low[:, middle:end])
         high = (1 - low**2 / 2 + ROUNDING) * most
-        best, rows = np.full((nq, take), -np.inf), np.full((nq, take), -1, np.int64)
-        bar = np.full(nq, -np.inf)
+        best, bar = np.full((nq, take), -np.inf), np.full(nq, -np.inf)
+        visited = np.zeros(high.shape, bool)
 
         def visit(leaf: int, who: np.ndarray) -> None:
             a, b = self.leaves[leaf]
-            s = np.concatenate([best[who], q[who] @ self.v[a:b].T], axis=1)
-            r = np.concatenate([rows[who], np.broadcast_to(np.arange(a, b), (len(who), b - a))], axis=1)
-            top = np.argpartition(-s, (sure - 1, take - 1), axis=1)[:, :take]
-            best[who], rows[who] = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1)
+            s = np.concatenate([best[who], queries[who] @ self.v[a:b].T], axis=1)
+            best[who] = -np.partition(-s, (sure - 1, take - 1), axis=1)[:, :take]
             bar[who] = best[who, sure - 1]
+            visited[who, leaf] = True
 
         nearest = np.argsort(-high, axis=1, kind="stable")[:, :2]
         for turn in range(nearest.shape[1]):
             for leaf in np.unique(nearest[:, turn]):
                 visit(leaf, np.flatnonzero(nearest[:, turn] == leaf))
         for leaf in range(len(self.leaves)):
-            open_ = (high[:, leaf] >= bar) & ~(nearest == leaf).any(1)
-            if len(who := np.flatnonzero(open_)):
+            if len(who := np.flatnonzero((high[:, leaf] >= bar) & ~visited[:, leaf])):
                 visit(leaf, who)
-        return rows, best
+        found, rows = [], []
+        for leaf in np.flatnonzero(visited.any(0)):
+            a, b = self.leaves[leaf]
+            who = np.flatnonzero(visited[:, leaf])
+            x, y = np.nonzero(queries[who] @ self.v[a:b].T >= best[who, take - 1, None] - TIE * most[leaf])
+            found.append(who[x])
+            rows.append(y + a)
+        return np.concatenate(found), np.concatenate(rows)
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,6 +168,27 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
     return stash(sharded.groupBy("_d", "_shard").applyInArrow(build, "_d int, _tree binary"), "vp-index")
 
 
+def search_tree(tree: VPTree, ids: np.ndarray, starts: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
+    """(query_id, vec_id, score): the k nearest of each query in one tree, without its own id."""
+    take = min(k + 1, len(tree.v))  # one more, as the own id is left out
+    who, row = tree.search(q / norms(q)[:, None], take, min(take, math.ceil(k / factor) + 1))
+    step = 1 << 15
+    score = np.concatenate([exact_scores(q[who[i : i + step]], tree.v[row[i : i + step]]) for i in range(0, len(who), step)])
+    u = tree.order[row]
+    # an id among a query's best k is of one of its first k + 1 entries by score and smallest id
+    by = np.lexsort((ids[starts[u]], -score, who))
+    by = by[np.arange(len(by)) - np.searchsorted(who[by], who[by]) <= k]
+    who, u, score = who[by], u[by], score[by]
+    n = np.minimum(starts[u + 1] - starts[u], k + 1)
+    at = np.repeat(starts[u] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    who, score, vec = np.repeat(who, n), np.repeat(score, n), ids[at]
+    other = qid[who] != vec
+    who, score, vec = who[other], score[other], vec[other]
+    by = np.lexsort((vec, -score, who))
+    by = by[np.arange(len(by)) - np.searchsorted(who[by], who[by]) < k]
+    return pa.RecordBatch.from_arrays([pa.array(qid[who[by]]), pa.array(vec[by]), pa.array(score[by])], names=["query_id", "vec_id", "score"])
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -168,24 +197,26 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     shard_rows: int = 8192,
-    block: int = 4096,
+    block_bytes: int = 1 << 24,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, the query's own id left out.
 
     Rows with a null id, or a vector that is null, empty, zero, or holds null or non-finite components
-    take no part. The neighbours of a query are among vectors of its length. Ties go to the smaller id. Repeated rows of
-    one id are separate candidates; other columns are ignored; empty inputs give an empty result.
+    take no part. The neighbours of a query are among vectors of its length. Ties go to the smaller
+    id. Products beyond the range of doubles are infinite. Repeated rows of one id are separate
+    candidates; other columns are ignored; empty inputs give an empty result.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     rows = stash(usable(vectors, id_col, vec_col), "vectors")
     n = rows.count()
     schema = "query_id long, vec_id long, score double"
     wanted = usable(queries, id_col, vec_col)
-    n_queries = wanted.count()
+    held = wanted.agg(F.sum(F.size("_v") * 8 + 8)).first()[0]
     found = []
-    if n and n_queries:
+    if n and held:
         index = build_index(rows, max(8, math.ceil(n / shard_rows)))
-        blocks = math.ceil(n_queries / block)
+        blocks = math.ceil(held / block_bytes)
         for b in range(blocks):
             part = wanted.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(blocks)) == b).toArrow()
             length = pc.list_value_length(part["_v"]).to_numpy()
@@ -196,32 +227,18 @@ def nearest(
                 import pickle
 
                 for batch in batches:
-                    for d, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        if d not in sent.value:
-                            continue
-                        qid, q = sent.value[d]
-                        tree, ids, starts = pickle.loads(blob)
-                        take = min(k + 1 + SLACK, len(tree.v))
-                        near, _ = tree.search(q, take, min(take, max(1, math.ceil(k / factor)) + 1))  # one more, as the own id is left out
-                        who, what = np.nonzero(near >= 0)
-                        what = near[who, what]
-                        score = exact_scores(q[who], tree.v[what])
-                        u = tree.order[what]
-                        n = np.minimum(starts[u + 1] - starts[u], k + 1)
-                        at = np.repeat(starts[u] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        out = pd.DataFrame({"q": np.repeat(who, n), "vec_id": ids[at], "score": np.repeat(score, n)})
-                        out["query_id"] = qid[out["q"]]
-                        out = out[out["query_id"] != out["vec_id"]].sort_values(["q", "score", "vec_id"], ascending=[True, False, True])
-                        out = out[out.groupby("q").cumcount() < k]
-                        yield pa.RecordBatch.from_pandas(out[["query_id", "vec_id", "score"]], preserve_index=False)
-
-            found.append(stash(index.mapInArrow(search, schema), "vp-found"))
+                    for i in range(batch.num_rows):
+                        qid, q = sent.value.get(batch.column(0)[i].as_py(), ((), ()))
+                        if len(qid):
+                            tree, ids, starts = pickle.loads(batch.column(1)[i].as_buffer())
+                            for a in range(0, len(qid), TOGETHER):
+                                yield search_tree(tree, ids, starts, qid[a : a + TOGETHER], q[a : a + TOGETHER], k, factor)
+
+            found.append(stash(index.mapInArrow(search, schema), "vp-found")._stash_path)
             sent.destroy()
         drop_stash(index)
     drop_stash(rows)
-    every = spark.createDataFrame([], schema)
-    for f in found:
-        every = every.unionByName(f) if f is not found[0] else f
+    every = spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -290,6 +290,29 @@ def test_recall_with_mixed_norms_and_an_outlier(spark, outlier):
     assert hit / (20 * 160) >= 0.9
 
 
+@pytest.mark.parametrize("factor", [1.0, 1.2, 1.5])
+def test_recall_of_full_shards(factor):
+    """One shard of 8,192 vectors of 64 components, in 200 loose groups; of factor 1 everything is right."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(200, 64))[rng.integers(0, 200, 8192)] + rng.normal(0, 0.5, (8192, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids, q = np.arange(8192), np.arange(0, 8192, 20)
+    got = nearest_neighbours.search_tree(nearest_neighbours.VPTree(v), ids, np.arange(8193), q, v[q], 20, factor).to_pandas()
+    hit = 0
+    for i, own in got.groupby("query_id"):
+        score = v @ v[i]
+        score[i] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert len(got) == 20 * len(q) and hit / len(got) >= (1.0 if factor == 1 else 0.9)
+
+
+def test_ties_go_to_the_smaller_ids(spark):
+    """Vectors that differ in a component the queries lack all score the same."""
+    df = spark.createDataFrame([(i, [1.0, float(i % 997)]) if i else (0, [1.0, 0.0]) for i in range(3000)], "vec_id long, embedding array<double>")
+    got = nearest_neighbours.nearest(df, df.where("vec_id = 0"), k=20, factor=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {1.0}
+
+
 def test_longer_vector_displaces_no_others(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0, 0.0]), (3, [0.5, 0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r.vec_id, r.score) for r in nearest_neighbours.nearest(df, df).orderBy("query_id").collect()]
