@@ -1,6 +1,7 @@
 """Operators against plain versions on small tables, and round trips."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import random
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, pii, sharding, url_filters
+from tessera.llm.common import stash
 from tessera.llm.components import connected
 
 DATA = "/root/testdata/sf0.001"
@@ -65,7 +67,12 @@ def test_tree_layout():
     assert len(nodes) == 5
     for n in nodes:
         up = n["parent"]
-        assert n["ancestors"] == ([] if up < 0 else [*nodes[up]["ancestors"], [nodes[up]["token_start"], nodes[up]["token_end"]]])
+        chain, k = [], up
+        while k >= 0:
+            chain, k = [k, *chain], nodes[k]["parent"]
+        attended = [t for a, b in n["ancestors"] for t in range(a, b)]
+        assert attended == [t for k in chain for t in range(nodes[k]["token_start"], nodes[k]["token_end"])]
+        assert all(a[1] < b[0] for a, b in itertools.pairwise(n["ancestors"]))
         assert n["position"] == sum(b - a for a, b in n["ancestors"]) and (up < 0 or nodes[up]["start"] < n["start"] < n["exit"] <= nodes[up]["exit"])
     for leaf in tree["leaves"]:
         n = nodes[leaf["node"]]
@@ -73,6 +80,44 @@ def test_tree_layout():
         assert chat_formatting.read_turns(path) == turns[int(leaf["path"])]
 
 
+@pytest.mark.parametrize("part", [2, 5, 512])
+@pytest.mark.parametrize("tokenizer", [None, "/opt/tokenizers/*.json"])
+def test_hot_trees_write_shared_turns_once(spark, part, tokenizer):
+    """Whatever the size of pieces: one node for each distinct prefix, and positions, intervals and turns of each path."""
+    path = next(iter(sorted(glob.glob(tokenizer))), None) if tokenizer else None
+    if tokenizer and not path:
+        pytest.skip("no tokenizer here")
+    rng = random.Random(part)
+    said = {i: [("user", "hi")] + [(rng.choice(["user", "assistant"]), rng.choice("abc<|\\é")) for _ in range(rng.randrange(6))] for i in range(60)}
+    said[60], said[61] = [("user", "hi")], [("user", "other"), ("assistant", "x")]
+    df = spark.createDataFrame([(i, k, r, t) for i, turns in said.items() for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    trees, index = chat_formatting.chat_format(df, part=part, tokenizer_path=path)
+    trees = stash(trees, "test-trees")
+    pieces = {t.piece: t for t in trees.collect()}
+    prefixes = {tuple(turns[: k + 1]) for turns in said.values() for k in range(len(turns))}
+    assert sum(len(t.nodes) for t in pieces.values()) == len(prefixes)
+    assert (part == 512) == all(not t.above for t in pieces.values())
+    leaf = {}
+    for t in pieces.values():
+        above = [pieces[p] for p in t.above]
+        before = sum(p.nodes[0].token_end for p in above)
+        for n in t.nodes:
+            assert n.position == before + sum(b - a for a, b in n.ancestors)
+            if path:
+                assert t.position_ids[n.token_start : n.token_end] == list(range(n.position, n.position + n.token_end - n.token_start))
+        for x in t.leaves:
+            chain, k = [], x.node
+            while k >= 0:
+                chain, k = [t.nodes[k], *chain], t.nodes[k].parent
+            leaf[x.path] = "".join(p.text for p in above) + "".join(t.text[n.start : n.end] for n in chain)
+    of = {r.conv_id: r.path for r in index.collect()}
+    assert {i: chat_formatting.read_turns(leaf[of[i]]) for i in said} == said
+    read = {r.path: r for r in chat_formatting.read_back(trees).collect()}
+    for i, turns in said.items():
+        lost = "".join(t for r, t in turns if r == "assistant")
+        assert (read[of[i]].n_turns, read[of[i]].loss_sha256) == (len(turns), hashlib.sha256(lost.encode()).hexdigest())
+
+
 def test_conversations_against_plain_loops(spark):
     got = chat_formatting.op2_chat_prefix_tree(spark, DATA).toPandas().set_index("conv_id")
     said = spark.read.parquet(f"{DATA}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])

@@ -91,7 +91,7 @@ def test_conversations(spark):
     got = {r.conv_id: read[r.path] for r in index.collect()}
     assert {k: v.n_turns for k, v in got.items()} == {1: 2, 2: 2, 3: 2, None: 2}
     assert got[1].loss_chars == len("a <|im_end|> \\ b") and got[2].loss_chars == 0
-    text = {t.root: t for t in trees.collect()}
+    text = {t.piece: t for t in trees.collect()}
     shared = [t for t in text.values() if len(t.leaves) == 2]
     assert len(shared) == 1 and shared[0].text.count("<|im_start|>user\nhi") == 1
     assert chat_formatting.format_trees(chat_formatting.conversations_of(df.where("false"), "conv_id", "turn", "role", "text")).collect() == []
