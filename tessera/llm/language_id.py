@@ -56,10 +56,13 @@ def _script(char: str) -> int:
     return _SCRIPT_NAMES.index(SCRIPTS[bisect(_STARTS, ord(char)) - 1][1])
 
 
+_LATIN = _script("a")
+
+
 def script_of(word: str) -> int:
     """The script of most of a word's letters, the first by name where two have as many."""
-    if word.isascii():
-        return _script("a")
+    if word.isascii() or max(word) < "\u0370":  # all Latin
+        return _LATIN
     count = Counter(map(_script, word))
     return max(sorted(count), key=count.get)
 
