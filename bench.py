@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from tessera.plans.queries import QUERIES
 
 HEADLINE = (
+    "valuation_tiers", "comparable_match", "target_alerts", "type_suggest_topk",
     "price_basis", "market_stats_by_type", "dominant_basis", "evidence_quality", "dedupe_sales", "source_conflicts", "iqr_outliers", "fx_normalise", "liquidity", "trend",
     "fee_rule_asof", "buyer_cost", "collection_facets", "collection_value_by_currency", "knowledge_consensus", "trust_levels", "fingerprint_topk", "master_fingerprint",
     "upsert_latest", "cascade_delete", "html_extract", "running_cap", "history_topn", "latency_p50_p90", "text_fold",

@@ -60,7 +60,7 @@ def grade_band(grade: Column) -> Column:
     # fixed values: what the bands are called
     band = F.lit(None).cast("string")
     for name, pattern in (
-        ("F", r"\bF\b|FINE|SLAB"),
+        ("F", r"\bF\b|FINE|SLAB|WYRAZNIE ZUZYT"),
         ("VF", r"\bVF\b|VERY FINE|DOBRZE ZACHOWAN"),
         ("XF", r"\bXF\b|\bEF\b|EXTREMELY FINE|BARDZO DOBRZE ZACHOWAN"),
         ("AU", r"\bAU\b|ABOUT UNC|ALMOST UNC|PRAWIE MENNICZ|NIEMAL MENNICZ"),
@@ -119,9 +119,12 @@ def freshness(day: Column, as_of: str) -> Column:
     return F.when(day.isNull(), "unknown").when(days <= 30, "fresh").when(days <= 180, "aging").otherwise("stale")
 
 
+SALE_FIELDS = ("house", "ruler", "nominal", "year", "mint", "variant", "catalog_ref")
+
+
 def sale_key(price: Column) -> Column:
     """Ten parts that tell one sale: day, house, lot identity, basis and price."""
-    return key_of(F.date_format("sold_at", "yyyy-MM-dd"), *(fold_plain(F.col(c).cast("string")) for c in ("house", "ruler", "nominal", "year", "mint", "variant", "catalog_ref")), F.col("basis"), price)
+    return key_of(F.date_format("sold_at", "yyyy-MM-dd"), *(fold_plain(F.col(c).cast("string")) for c in SALE_FIELDS), F.col("basis"), price)
 
 
 def dedupe(facts: DataFrame, key: Column, order: list[Column], parts: int = 5, id_col: str = "fact_id") -> DataFrame:
@@ -138,11 +141,16 @@ def dedupe(facts: DataFrame, key: Column, order: list[Column], parts: int = 5, i
 
 
 def conflicts(facts: DataFrame, *by: str) -> DataFrame:
-    """Sale groups in which more than one hammer, realized or total price, basis or currency is given."""
-    distinct = {c: F.count_distinct(F.when(F.col(c) > 0, F.col(c))).alias(f"n_{c}") for c in ("hammer_price", "realized_price", "total_price")}
-    out = facts.groupBy(*by).agg(F.count("*").alias("n"), *distinct.values(), F.count_distinct("basis").alias("n_basis"), F.count_distinct("currency").alias("n_currency"))
-    clash = " OR ".join(f"n_{c} > 1" for c in ("hammer_price", "realized_price", "total_price", "basis", "currency"))
-    return out.where(f"n > 1 AND ({clash})")
+    """Sale groups in which more than one hammer, realized or total price, basis or currency is given.
+
+    Least and largest values tell which groups clash; distinct values are counted in these alone.
+    """
+    given = {**{c: F.when(F.col(c) > 0, F.col(c)) for c in ("hammer_price", "realized_price", "total_price")}, "basis": F.col("basis"), "currency": F.col("currency")}
+    ends = facts.groupBy(*by).agg(*(f(x).alias(f"{e}_{c}") for c, x in given.items() for e, f in (("min", F.min), ("max", F.max))))
+    clash = ends.where(" OR ".join(f"min_{c} <> max_{c}" for c in given)).select(*(F.col(c).alias(f"_{c}") for c in by))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    rows = facts.join(clash, on, "left_semi")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_distinct(x).alias(f"n_{c}") for c, x in given.items()))
 
 
 def iqr_outliers(priced: DataFrame, *by: str, least: int = 4) -> DataFrame:

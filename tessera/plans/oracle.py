@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import MARKED, PLAIN
+from tessera.plans import records_sql
 
 FACTS = """facts AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT)) AS fact_id,
  l_orderkey AS lot_key, l_partkey AS item_id, 'S' || (l_suppkey % 6) AS source, CASE WHEN l_orderkey % 5 <> 0 THEN 'https://lots.example/' || l_orderkey END AS source_url,
@@ -52,6 +53,25 @@ PAIRS = """pairs AS (SELECT c.coin_id, c.band IS NOT NULL AS banded, f.*, abs(c.
  FROM coins c JOIN priced f ON c.nominal = f.nominal AND coalesce(c.ruler = f.ruler, true) AND coalesce(c.variant = f.variant, true) AND coalesce(c.catalog_ref = f.catalog_ref, true)),
  scored AS (SELECT *, CASE WHEN similarity >= 85 THEN CASE WHEN NOT specific OR coalesce(dist >= 2, false) THEN 'good' ELSE 'strict' END WHEN similarity >= 70 THEN 'good' ELSE 'indicative' END AS quality FROM pairs WHERE similarity >= 55)"""
 
+
+
+def appraised_sql(base: str, value: str = "price", facts: str | None = None, more: str | None = None, extra: str = "") -> str:
+    """Valuation of every coin from the rows of base; facts replaces the facts, more adds tables."""
+    head = PRICED.replace("FROM facts)", f"FROM ({facts}))") if facts else PRICED
+    last = ", ".join(f"coalesce({HALF.format(f'quantile_cont(v, {p})')}, 0) AS {n}" for n, p in (("low", 0.1), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 0.9)))
+    return f"""WITH {head}, {EVIDENCE}, {COINS}, {PAIRS}{", " + more if more else ""}, base AS ({base}),
+ a AS (SELECT *, count(*) FILTER (dist = 0) OVER w AS same, count(*) FILTER (coalesce(dist <= 1, true)) OVER w AS near FROM base WINDOW w AS (PARTITION BY coin_id)),
+ b AS (SELECT *, CASE WHEN NOT banded THEN true WHEN same >= 3 THEN coalesce(dist = 0, false) ELSE near >= 4 AND coalesce(dist <= 1, true) END AS pool FROM a),
+ c AS (SELECT *, count(*) FILTER (pool AND quality = 'strict') OVER w AS s, count(*) FILTER (pool AND quality IN ('strict', 'good')) OVER w AS g FROM b WINDOW w AS (PARTITION BY coin_id)),
+ d AS (SELECT *, pool AND CASE WHEN s >= 3 THEN quality = 'strict' ELSE g >= 4 AND quality IN ('strict', 'good') END AS chosen FROM c),
+ e AS (SELECT *, CASE WHEN count(*) FILTER (chosen AND basis = 'hammer') OVER w >= 3 THEN 'hammer' WHEN count(*) FILTER (chosen AND basis = 'realized') OVER w >= 3 THEN 'realized' WHEN count(*) FILTER (chosen AND basis = 'total') OVER w >= 3 THEN 'total' END AS main FROM d WINDOW w AS (PARTITION BY coin_id)),
+ f AS (SELECT *, CASE WHEN banded AND same < 3 AND near < 4 THEN 'insufficient-condition' WHEN s < 3 AND g < 4 THEN 'insufficient' WHEN main IS NULL THEN 'insufficient-price-basis' ELSE CASE WHEN s >= 3 THEN 'strict' ELSE 'strict+good' END || CASE WHEN banded THEN '-condition' ELSE '' END END AS t, CASE WHEN chosen AND basis = main THEN {value} END AS v FROM e),
+ o AS (SELECT coin_id AS i, count(*) AS records, count(*) FILTER (quality = 'strict') AS n_strict, count(*) FILTER (quality = 'good') AS n_good, count(*) FILTER (quality = 'indicative') AS n_indicative, count(v) AS n, min(t) AS tier, min(CASE WHEN t LIKE 'strict%' THEN main END) AS basis, {last} FROM f GROUP BY 1),
+ r AS (SELECT c.coin_id, coalesce(records, 0) AS records, coalesce(n_strict, 0) AS n_strict, coalesce(n_good, 0) AS n_good, coalesce(n_indicative, 0) AS n_indicative, coalesce(n, 0) AS n, coalesce(tier, 'none') AS tier, basis, coalesce(low, 0) AS low, coalesce(q1, 0) AS q1, coalesce(median, 0) AS median, coalesce(q3, 0) AS q3, coalesce(high, 0) AS high,
+ CASE WHEN records IS NULL THEN 'none' WHEN tier IN ('strict', 'strict-condition') THEN 'strong' WHEN tier LIKE 'strict+good%' THEN 'usable' ELSE 'limited' END AS quality FROM coins c LEFT JOIN o ON c.coin_id = i)
+ SELECT *, quality IN ('strong', 'usable') AND n > 0 AS can_estimate{extra} FROM r"""
+
+
 PRINTS = """feat AS (SELECT unnest(['punctuationPattern', 'dateSpacing', 'datePosition', 'legendStartClock', 'legendEndClock', 'portraitOrientation', 'crownShape', 'shieldPosition', 'mintMarkPosition', 'eagleTail', 'wingPattern', 'featherPattern']) AS feature,
  unnest([1.4, 1.3, 1.0, 0.8, 0.8, 0.7, 1.0, 0.8, 1.2, 1.3, 1.3, 1.4])::DOUBLE AS w, unnest(range(1, 13)) AS k),
  prints AS (SELECT vec_id AS print_id, CAST(label AS BIGINT) AS identity, feature, w, round(CAST(embedding[k] AS DOUBLE) * 20, 0) + 0.0 AS value, CAST(60 + vec_id % 41 AS DOUBLE) AS confidence FROM embeddings, feat),
@@ -90,15 +110,25 @@ ORACLE_SQL = {
  c AS (SELECT item_id, n_recent, n_older, CASE WHEN n_recent >= 2 AND n_older >= 2 AND o > 0 THEN CAST(floor((r - o) / o * 100 + 0.5) AS BIGINT) END AS change_pct FROM g)
  SELECT *, CASE WHEN change_pct IS NULL THEN 'insufficient' WHEN change_pct >= 15 THEN 'up' WHEN change_pct <= -15 THEN 'down' ELSE 'stable' END AS trend FROM c""",
     "comparable_match": f"WITH {PRICED}, {COINS}, {PAIRS} SELECT coin_id, fact_id, CAST(similarity AS INTEGER) AS similarity, quality FROM scored",
-    "valuation_tiers": f"""WITH {PRICED}, {COINS}, {PAIRS}, base AS (SELECT * FROM scored WHERE currency = 'PLN' AND age <= 3652.5 AND price > 0),
- per AS (SELECT coin_id AS i, count(*) FILTER (dist = 0) AS same, count(*) FILTER (coalesce(dist <= 1, true)) AS near FROM base GROUP BY 1),
- pool AS (SELECT base.* FROM base JOIN per ON coin_id = i WHERE coalesce(CASE WHEN NOT banded THEN true WHEN same >= 3 THEN dist = 0 WHEN near >= 4 THEN coalesce(dist <= 1, true) ELSE false END, false)),
- q AS (SELECT coin_id AS i, count(*) FILTER (quality = 'strict') AS s, count(*) FILTER (quality IN ('strict', 'good')) AS b FROM pool GROUP BY 1),
- t AS (SELECT pool.*, CASE WHEN s >= 3 THEN 'strict' WHEN b >= 4 THEN 'strict+good' END AS tier FROM pool JOIN q ON coin_id = i),
- u AS (SELECT * FROM t WHERE tier IS NOT NULL AND (quality = 'strict' OR (tier = 'strict+good' AND quality = 'good'))),
- d AS (SELECT coin_id AS i, CASE WHEN count(*) FILTER (basis = 'hammer') >= 3 THEN 'hammer' WHEN count(*) FILTER (basis = 'realized') >= 3 THEN 'realized' WHEN count(*) FILTER (basis = 'total') >= 3 THEN 'total' END AS main FROM u GROUP BY 1),
- r AS (SELECT coin_id, tier, basis, count(*) AS n, {stats()} FROM u JOIN d ON coin_id = i AND basis = main GROUP BY 1, 2, 3)
- SELECT c.coin_id, coalesce(tier, 'insufficient') AS tier, basis, coalesce(n, 0) AS n, low, median, high FROM coins c LEFT JOIN r ON c.coin_id = r.coin_id""",
+    "valuation_tiers": appraised_sql("SELECT * FROM scored WHERE currency = 'PLN' AND age <= 3652.5 AND price > 0", extra=", CASE WHEN quality IN ('strong', 'usable') AND n > 0 THEN low || '–' || high || ' PLN' END AS price_range"),
+    "valuation_gated": appraised_sql(
+        "SELECT scored.* FROM scored JOIN (SELECT fact_id AS e FROM ev WHERE score >= 65 AND source_url IS NOT NULL AND ruler IS NOT NULL AND greatest(coalesce(hammer_price, 0), coalesce(realized_price, 0), coalesce(total_price, 0)) > 0) ON fact_id = e WHERE currency = 'PLN' AND age <= 3652.5 AND price > 0"
+    ),
+    "valuation_unique": appraised_sql(
+        "SELECT * EXCLUDE (rn) FROM (SELECT scored.*, row_number() OVER (PARTITION BY coin_id, CAST(sold_at AS DATE), house, ruler, nominal, year, mint, variant, catalog_ref, basis, price ORDER BY score DESC, source_url IS NULL, fact_id) AS rn FROM scored JOIN (SELECT fact_id AS e, score FROM ev) ON fact_id = e WHERE currency = 'PLN' AND age <= 3652.5 AND price > 0) WHERE rn = 1",
+        facts="SELECT * FROM facts UNION ALL SELECT * REPLACE (fact_id || '-m' AS fact_id, CAST(NULL AS VARCHAR) AS source_url) FROM facts WHERE lot_key % 3 = 0",
+    ),
+    "valuation_undisputed": appraised_sql(
+        "SELECT *, coalesce(min(hammer_price) OVER w <> max(hammer_price) OVER w, false) OR coalesce(min(realized_price) OVER w <> max(realized_price) OVER w, false) OR coalesce(min(total_price) OVER w <> max(total_price) OVER w, false) OR min(basis) OVER w <> max(basis) OVER w OR min(currency) OVER w <> max(currency) OVER w AS bad FROM scored WHERE currency = 'PLN' AND age <= 3652.5 AND price > 0 WINDOW w AS (PARTITION BY coin_id, CAST(sold_at AS DATE), house, ruler, nominal, year, mint, variant, catalog_ref)",
+        facts="SELECT * FROM facts UNION ALL SELECT * REPLACE (fact_id || '-m' AS fact_id, hammer_price + 1 AS hammer_price, realized_price + 1 AS realized_price, total_price + 1 AS total_price) FROM facts WHERE lot_key % 4 = 0",
+        value="CASE WHEN NOT bad THEN price END",
+    ),
+    "valuation_fx": appraised_sql(
+        "SELECT scored.*, price * rate AS price_to FROM scored JOIN fx ON fact_id = fx_id WHERE age <= 3652.5 AND price > 0",
+        value="price_to",
+        more="""rates AS (SELECT currency AS cur, CAST(DATE '1995-01-01' + CAST(id * 4 AS INTEGER) AS DATE) AS d, base + (id % 10) / 10.0::DOUBLE AS rate FROM range(0, 640) t(id), (VALUES ('EUR', 4.0::DOUBLE), ('USD', 3.5::DOUBLE), ('GBP', 5.0::DOUBLE)) v(currency, base)),
+ fx AS (SELECT fact_id AS fx_id, arg_min(rate, abs(date_diff('day', CAST(sold_at AS DATE), d)) * 10 + CASE WHEN d > CAST(sold_at AS DATE) THEN 1 ELSE 0 END) AS rate FROM priced JOIN rates ON currency = cur AND abs(date_diff('day', CAST(sold_at AS DATE), d)) <= 3 GROUP BY 1 UNION ALL SELECT fact_id, 1.0 FROM priced WHERE currency = 'PLN')""",
+    ),
     "target_alerts": f"""WITH {FACTS}, {COINS}, p AS (SELECT c.coin_id AS target_id, fact_id, CASE WHEN c.ruler = f.ruler THEN 25 ELSE 0 END + 30 + 25 + 10 AS confidence FROM coins c JOIN facts f ON c.year = f.year AND c.variant = f.variant AND coalesce(c.ruler = f.ruler, true) AND c.nominal = f.nominal)
  SELECT target_id, fact_id, CAST(confidence AS INTEGER) AS confidence, confidence >= 70 AS strong FROM p WHERE confidence >= 70""",
     "type_suggest_topk": f"""WITH {COINS}, p AS (SELECT a.coin_id, t.coin_id AS type_id, CASE WHEN a.year = t.year THEN 45 ELSE 0 END + CASE WHEN a.ruler = t.ruler THEN 20 ELSE 0 END + CASE WHEN a.nominal = t.nominal THEN 20 ELSE 0 END + CASE WHEN a.mint = t.mint THEN 10 ELSE 0 END AS score
@@ -156,3 +186,4 @@ ORACLE_SQL = {
     "text_fold": f"SELECT doc_id, trim(regexp_replace(translate({STRIP.format('text')}, 'ł', 'l'), '[^a-z0-9]+', ' ', 'g')) AS folded, {STRIP.format('trim(text)')} AS comparable FROM documents",
     "sentinel_canonical": f"WITH {COINS} SELECT CASE WHEN mint <> 'unknown' THEN mint END AS mint, count(*) AS n FROM coins GROUP BY 1",
 }
+ORACLE_SQL |= records_sql.ORACLE_SQL

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import collection, cost, extract, fingerprint, ingest, knowledge, lifecycle, market, match
-from tessera.plans.valuation import valuation
+from tessera.plans import records
+from tessera.plans.valuation import appraised, disputed, price_range, unique_sales, valuation
+from tessera.plans.valuation import records as comparable_records
 from tessera.sources.market_tables import AS_OF, coins, facts, fee_rules, observations, read
 from tessera.streaming import jobs
 
@@ -77,11 +79,15 @@ def iqr_outliers(spark, sf_dir):
     return market.iqr_outliers(priced(spark, sf_dir), "item_id").where("outlier").select("fact_id", "item_id", "price")
 
 
-def fx_normalise(spark, sf_dir):
-    # a rate every fourth day of each currency, so that some sales have one, some a near one, some none
+def _rates(spark):
+    """A rate every fourth day of each currency, so that some sales have one, some a near one, some none."""
     days = spark.range(0, 640).select(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") * 4).cast("int")).alias("rate_day"), "id")
     rates = days.select("rate_day", F.explode(F.array(*(F.struct(F.lit(c).alias("currency"), F.lit(r).alias("base")) for c, r in (("EUR", 4.0), ("USD", 3.5), ("GBP", 5.0))))).alias("r"), "id")
-    rates = rates.select("r.currency", "rate_day", (F.col("r.base") + (F.col("id") % 10) / 10.0).alias("rate"))
+    return rates.select("r.currency", "rate_day", (F.col("r.base") + (F.col("id") % 10) / 10.0).alias("rate"))
+
+
+def fx_normalise(spark, sf_dir):
+    rates = _rates(spark)
     out = market.converted(priced(spark, sf_dir).select("fact_id", "sold_at", "currency", "price"), rates, "PLN", most_days=1)
     return out.groupBy("currency").agg(F.count("*").alias("n"), F.round(F.sum("price_to"), 0).alias("total"))
 
@@ -100,7 +106,38 @@ def comparable_match(spark, sf_dir):
 
 
 def valuation_tiers(spark, sf_dir):
-    return valuation(banded_coins(spark, sf_dir), facts(spark, sf_dir), as_of=AS_OF, currency="PLN", years=10).select("coin_id", "tier", "basis", "n", "low", "median", "high")
+    out = valuation(banded_coins(spark, sf_dir), facts(spark, sf_dir), as_of=AS_OF, currency="PLN", years=10)
+    return out.withColumn("price_range", price_range("PLN"))
+
+
+def valuation_gated(spark, sf_dir):
+    return valuation(banded_coins(spark, sf_dir), facts(spark, sf_dir), as_of=AS_OF, currency="PLN", years=10, gated=True)
+
+
+def valuation_unique(spark, sf_dir):
+    """Every sale once: the facts are given twice, the second time without a link."""
+    every = facts(spark, sf_dir)
+    mirror = every.where("lot_key % 3 = 0").withColumns({"fact_id": F.concat("fact_id", F.lit("-m")), "source_url": F.lit(None).cast("string")})
+    coins_ = banded_coins(spark, sf_dir)
+    return appraised(coins_, unique_sales(comparable_records(coins_, every.unionByName(mirror), AS_OF, "PLN")))
+
+
+def valuation_undisputed(spark, sf_dir):
+    """Some facts are given twice, the second time with another price; such sales are left out of the statistics."""
+    every = facts(spark, sf_dir)
+    more = {c: F.col(c) + 1 for c in ("hammer_price", "realized_price", "total_price")}
+    mirror = every.where("lot_key % 4 = 0").withColumns({"fact_id": F.concat("fact_id", F.lit("-m")), **more})
+    coins_ = banded_coins(spark, sf_dir)
+    return appraised(coins_, disputed(comparable_records(coins_, every.unionByName(mirror), AS_OF, "PLN")), disputed=F.col("disputed"))
+
+
+def valuation_fx(spark, sf_dir):
+    """Prices of all currencies at the rate within three days of the sale; rows without one are left out."""
+    rates = _rates(spark)
+    coins_ = banded_coins(spark, sf_dir)
+    usable = market.converted(market.price_basis(facts(spark, sf_dir)), rates, "PLN").drop("price", "basis", "rate", "rate_day")
+    pairs = comparable_records(coins_, usable.drop("price_to"), AS_OF, None)
+    return appraised(coins_, pairs.join(usable.select("fact_id", "price_to"), "fact_id"), value="price_to")
 
 
 def target_alerts(spark, sf_dir):
@@ -332,11 +369,12 @@ def job_dedupe_stream(spark, sf_dir):
 
 NAMES = (
     price_basis, fact_validity, archive_search, market_stats_by_type, dominant_basis, evidence_quality, freshness_bands, grade_bands, dedupe_sales,
-    source_conflicts, iqr_outliers, fx_normalise, liquidity, trend, comparable_match, valuation_tiers, target_alerts, type_suggest_topk, same_variant,
+    source_conflicts, iqr_outliers, fx_normalise, liquidity, trend, comparable_match, valuation_tiers, valuation_gated, valuation_unique,
+    valuation_undisputed, valuation_fx, target_alerts, type_suggest_topk, same_variant,
     fee_rule_asof, buyer_cost, seller_net, purchasing_power, era_range_join, collection_search, collection_facets, collection_sort,
     collection_value_by_currency, roi_summary, value_breakdown, export_view, friend_view, album_rollup, knowledge_consensus, knowledge_audit,
     trust_levels, licence_gate, promotion, source_band, hard_negatives, fingerprint_similarity, fingerprint_topk, master_fingerprint, changed_fields,
     invalidate_derived, reanalysis_status, upsert_latest, cascade_delete, insert_absent, html_extract, running_cap, history_topn, latency_p50_p90,
     text_fold, sentinel_canonical, job_dedupe_stream,
 )
-QUERIES = {f.__name__: f for f in NAMES}
+QUERIES = {**{f.__name__: f for f in NAMES}, **records.QUERIES}

@@ -1,58 +1,106 @@
-"""Valuation of coins: comparables, evidence, tiers, dominant basis, statistics, one step after another."""
+"""Valuation of coins: comparables, evidence, tiers, dominant basis, statistics, one step after another.
+
+Every choice is a count over a coin's own pairs, so pairs are shuffled once, by coin.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import round_half_up
-from tessera.operators.market import evidence, grade_band, price_basis, search
+from tessera.functions.text import key_of, round_half_up
+from tessera.operators.market import SALE_FIELDS, evidence, grade_band, price_basis, sale_key, search
 from tessera.operators.match import comparables
 
+BASES = ("hammer", "realized", "total")
+CARRY = ("hammer_price", "realized_price", "total_price", "source_url", "evidence_score", *SALE_FIELDS)
+
+
+def _count(rule: Column) -> Column:
+    return F.count_if(rule).over(Window.partitionBy("coin_id"))
+
 
-def choose_condition(pairs: DataFrame) -> DataFrame:
-    """Rows of the coin's own grade band if there are three, else those at most one band off if four.
+def chosen(pairs: DataFrame) -> DataFrame:
+    """Adds tier and used: the rows that a coin's price comes from.
 
-    A coin without a known band keeps all its rows.
+    Rows of the coin's own grade band if there are three, else those at most one band off (or of none)
+    if four, else insufficient-condition; a coin without a band keeps all. Of these the strict rows if
+    there are three, else strict and good ones if four, else insufficient. Of these the first price
+    basis with three rows, else insufficient-price-basis. Tiers of a coin with a band end in -condition.
     """
-    per = pairs.groupBy("coin_id").agg(
-        F.count_if(F.col("band_distance") == 0).alias("n_same"),
-        F.count_if(F.coalesce(F.col("band_distance") <= 1, F.lit(True))).alias("n_near"),
-    )
-    rows = pairs.join(per, "coin_id")
-    pool = F.when(~F.col("banded"), F.lit(True)).when(F.col("n_same") >= 3, F.col("band_distance") == 0)
-    pool = pool.when(F.col("n_near") >= 4, F.coalesce(F.col("band_distance") <= 1, F.lit(True))).otherwise(False)
-    return rows.where(F.coalesce(pool, F.lit(False))).drop("n_same", "n_near")
+    near = F.coalesce(F.col("band_distance") <= 1, F.lit(True))
+    rows = pairs.withColumns({"_same": _count(F.col("band_distance") == 0), "_near": _count(near)})
+    pool = F.when(~F.col("banded"), F.lit(True)).when(F.col("_same") >= 3, F.coalesce(F.col("band_distance") == 0, F.lit(False))).otherwise((F.col("_near") >= 4) & near)
+    rows = rows.withColumn("_pool", pool)
+    strict, good = F.col("quality") == "strict", F.col("quality").isin("strict", "good")
+    rows = rows.withColumns({"_strict": _count(F.col("_pool") & strict), "_good": _count(F.col("_pool") & good)})
+    rows = rows.withColumn("_chosen", F.col("_pool") & F.when(F.col("_strict") >= 3, strict).otherwise((F.col("_good") >= 4) & good))
+    rows = rows.withColumns({f"_{b}": _count(F.col("_chosen") & (F.col("basis") == b)) for b in BASES})
+    main = F.coalesce(*(F.when(F.col(f"_{b}") >= 3, b) for b in BASES))
+    suffix = F.when(F.col("banded"), "-condition").otherwise("")
+    tier = F.when(F.col("banded") & (F.col("_same") < 3) & (F.col("_near") < 4), "insufficient-condition")
+    tier = tier.when((F.col("_strict") < 3) & (F.col("_good") < 4), "insufficient").when(F.col("_main").isNull(), "insufficient-price-basis")
+    tier = tier.when(F.col("_strict") >= 3, F.concat(F.lit("strict"), suffix)).otherwise(F.concat(F.lit("strict+good"), suffix))
+    rows = rows.withColumn("_main", main).withColumn("tier", tier)
+    used = F.coalesce(F.col("_chosen") & (F.col("basis") == F.col("_main")), F.lit(False))
+    return rows.withColumn("used", used).withColumn("main", F.col("_main")).drop(*(c for c in rows.columns if c.startswith("_")))
 
 
-def choose_quality(pairs: DataFrame) -> DataFrame:
-    """Strict rows if there are three, else strict and good ones if four; adds tier."""
-    per = pairs.groupBy("coin_id").agg(F.count_if(F.col("quality") == "strict").alias("n_strict"), F.count_if(F.col("quality").isin("strict", "good")).alias("n_both"))
-    rows = pairs.join(per, "coin_id")
-    tier = F.when(F.col("n_strict") >= 3, "strict").when(F.col("n_both") >= 4, "strict+good")
-    rows = rows.withColumn("tier", tier).where("tier IS NOT NULL")
-    return rows.where((F.col("quality") == "strict") | ((F.col("tier") == "strict+good") & (F.col("quality") == "good"))).drop("n_strict", "n_both")
+def appraised(coins: DataFrame, pairs: DataFrame, value: str = "price", disputed: Column | None = None) -> DataFrame:
+    """One row for each coin: counts of its records, tier, basis, statistics, quality and can_estimate.
 
+    Fixed values: quality is strong for strict tiers, usable for strict+good ones, limited else, none
+    without records. Disputed rows count for the tier but not for the statistics; where only such
+    rows are left there is no estimate. Statistics are zero without prices.
+    """
+    rows = chosen(pairs)
+    priced = F.when(F.col("used") & ~(F.lit(False) if disputed is None else disputed), F.col(value))
+    p = F.percentile(priced, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
+    quality = F.col("quality")
+    counts = [F.count("*").alias("records"), *(F.count_if(quality == q).alias(f"n_{q}") for q in ("strict", "good", "indicative"))]
+    own = rows.groupBy("coin_id").agg(*counts, F.first("tier").alias("tier"), F.first(F.when(F.col("tier").startswith("strict"), F.col("main"))).alias("basis"), F.count(priced).alias("n"), p.alias("p"))
+    out = coins.select("coin_id").join(own, "coin_id", "left")
+    level = F.when(F.col("records").isNull(), "none").when(F.col("tier").isin("strict", "strict-condition"), "strong").when(F.col("tier").startswith("strict+good"), "usable").otherwise("limited")
+    numbers = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("records", "n_strict", "n_good", "n_indicative", "n")}
+    stats = [F.coalesce(round_half_up(F.get("p", F.lit(i))), F.lit(0)).cast("long").alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))]
+    can = level.isin("strong", "usable") & (F.coalesce(F.col("n"), F.lit(0)) > 0)
+    return out.select("coin_id", *numbers.values(), F.coalesce("tier", F.lit("none")).alias("tier"), "basis", *stats, level.alias("quality"), can.alias("can_estimate"))
 
-def choose_basis(pairs: DataFrame) -> DataFrame:
-    """Rows of the first price basis with three rows."""
-    counts = [F.count_if(F.col("basis") == b).alias(f"n_{b}") for b in ("hammer", "realized", "total")]
-    per = pairs.groupBy("coin_id").agg(*counts)
-    first = F.coalesce(*(F.when(F.col(f"n_{b}") >= 3, b) for b in ("hammer", "realized", "total")))
-    return pairs.join(per.select("coin_id", first.alias("main")), "coin_id").where("basis = main").drop("main")
 
+def price_range(currency: str) -> Column:
+    return F.when(F.col("can_estimate"), F.concat(F.col("low").cast("string"), F.lit("–"), F.col("high").cast("string"), F.lit(f" {currency}")))
 
-def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str, years: float = 10, gated: bool = False) -> DataFrame:
-    """One row for each coin: tier, basis, n, low, median, high; tier is insufficient without prices.
 
-    With gated, only facts with complete core evidence that is strong or usable take part.
-    """
-    rows = price_basis(search(facts, as_of, years=years, currency=currency)).where("price > 0").withColumn("band", grade_band(F.col("grade")))
+def records(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False) -> DataFrame:
+    """Comparable rows of the period and currency. With gated, only those whose core evidence is complete and strong or usable."""
+    rows = evidence(price_basis(search(facts, as_of, years=years, currency=currency)).where("price > 0").withColumn("band", grade_band(F.col("grade"))))
     if gated:
-        rows = evidence(rows).where("core_complete AND evidence_level IN ('strong', 'usable')")
-    pairs = comparables(coins, rows).join(coins.select("coin_id", F.col("band").isNotNull().alias("banded")), "coin_id")
-    used = choose_basis(choose_quality(choose_condition(pairs)))
-    p = F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    stats = used.groupBy("coin_id", "tier", "basis").agg(F.count("*").alias("n"), p.alias("p"))
-    stats = stats.select("coin_id", "tier", "basis", "n", *(round_half_up(F.get("p", F.lit(i))).cast("long").alias(c) for i, c in enumerate(("low", "median", "high"))))
-    return coins.select("coin_id").join(stats, "coin_id", "left").withColumns({"tier": F.coalesce("tier", F.lit("insufficient")), "n": F.coalesce("n", F.lit(0).cast("long"))})
+        rows = rows.where("core_complete AND evidence_level IN ('strong', 'usable')")
+    return comparables(coins, rows, carry=CARRY)
+
+
+def unique_sales(pairs: DataFrame) -> DataFrame:
+    """Each coin's sales once: of rows with one sale key the best evidence, then one with a link, then the least id.
+
+    A key with fewer than five filled parts tells too little, so such a row stands alone.
+    """
+    key = sale_key(F.col("price"))
+    filled = F.size(F.filter(F.split(key, r"\|"), lambda x: x != ""))
+    alone = F.when(filled < 5, F.col("fact_id"))
+    best = Window.partitionBy("coin_id", key, alone).orderBy(F.desc("evidence_score"), F.col("source_url").isNull(), "fact_id")
+    return pairs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
+def disputed(pairs: DataFrame) -> DataFrame:
+    """Adds disputed: of one coin's rows of one sale, more than one hammer, realized or total price, basis or currency is given."""
+    sale = Window.partitionBy("coin_id", key_of(F.date_format("sold_at", "yyyy-MM-dd"), *(F.col(c) for c in SALE_FIELDS)))
+    prices = [F.when(F.col(f"{b}_price") > 0, F.col(f"{b}_price")) for b in BASES]
+    clash = F.lit(False)
+    for x in (*prices, F.col("basis"), F.col("currency")):
+        clash = clash | F.coalesce(F.min(x).over(sale) != F.max(x).over(sale), F.lit(False))
+    return pairs.withColumn("disputed", clash)
+
+
+def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str, years: float = 10, gated: bool = False) -> DataFrame:
+    """appraised() over the comparable records of a period and currency."""
+    return appraised(coins, records(coins, facts, as_of, currency, years, gated))

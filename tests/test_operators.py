@@ -78,7 +78,7 @@ def test_display_value(spark, row, value):
 
 def test_nominal_rank_and_years(spark):
     got = values(spark, [("półtalar",), ("talar",), ("10 złotych",), ("7 x",), ("",)], "n string", F.round(collection.nominal_rank(F.col("n")), 3))
-    assert [g[0] for g in got] == [110.0, 120.0, 110.414, 7.0, 0.0]
+    assert [g[0] for g in got] == [110.0, 120.0, 110.414, 7.0, float("-inf")]
     assert values(spark, [("XVI w.",), ("1608",), ("?",), ("XIX-XX w",)], "y string", collection.year_value(F.col("y"))) == [(1500,), (1608,), (None,), (1800,)]
 
 
@@ -131,10 +131,14 @@ def test_valuation_tiers(spark):
         return [(1, f"{quality}{i}", basis, distance, True, quality) for i in range(n)]
 
     schema = "coin_id int, fact_id string, basis string, band_distance int, banded boolean, quality string"
-    frame = lambda rows: spark.createDataFrame(rows, schema)
-    assert plan.choose_condition(frame(pairs(3, "strict", 0) + pairs(4, "good", 1))).count() == 3
-    assert plan.choose_condition(frame(pairs(2, "strict", 0) + pairs(2, "good", 1))).count() == 4
-    assert plan.choose_condition(frame(pairs(2, "strict", 0) + pairs(1, "good", 2))).count() == 0
-    assert {r.tier for r in plan.choose_quality(frame(pairs(3, "strict", 0) + pairs(4, "good", 0))).collect()} == {"strict"}
-    assert plan.choose_quality(frame(pairs(2, "strict", 0) + pairs(1, "good", 0))).count() == 0
-    assert {r.basis for r in plan.choose_basis(frame(pairs(2, "strict", 0, "hammer") + pairs(3, "good", 0, "realized"))).collect()} == {"realized"}
+
+    def got(*rows):
+        out = plan.chosen(spark.createDataFrame([r for part in rows for r in part], schema)).collect()
+        return {r.tier for r in out}.pop(), sum(r.used for r in out)
+
+    assert got(pairs(3, "strict", 0), pairs(4, "good", 1)) == ("strict-condition", 3)
+    assert got(pairs(2, "strict", 0), pairs(2, "good", 1)) == ("strict+good-condition", 4)
+    assert got(pairs(2, "strict", 0), pairs(1, "good", 2)) == ("insufficient-condition", 0)
+    assert got(pairs(3, "indicative", 0)) == ("insufficient", 0)
+    assert got(pairs(2, "strict", 0, "hammer"), pairs(3, "good", 0, "realized")) == ("strict+good-condition", 3)
+    assert got(pairs(2, "strict", 0, "hammer"), pairs(2, "good", 0, "realized")) == ("insufficient-price-basis", 0)
