@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import round_half_up
@@ -71,3 +71,47 @@ def learned_boost(count: Column, rank: Column) -> Column:
 
 def learned_penalty(count: Column) -> Column:
     return F.least(F.lit(30), 8 + 4 * count).cast("int")
+
+
+def clean_text(text: Column, longest: int) -> Column:
+    """Blanks collapsed, cut to so many characters; null is empty."""
+    return F.substring(F.regexp_replace(F.trim(F.coalesce(text.cast("string"), F.lit(""))), r"\s+", " "), 1, longest)
+
+
+def normalised(rows: DataFrame) -> DataFrame:
+    """Knowledge rows with texts cut (fixed values: 120 characters, links 500), the year as a number where it begins with one, the price with a decimal point."""
+    cut = {c: clean_text(F.col(c), 500 if c == "source_url" else 120) for c in ("ruler", "nominal", "variant", "catalog_ref", "source_url") if c in rows.columns}
+    year = clean_text(F.col("year"), 120)
+    price = F.replace(F.col("sale_price").cast("string"), F.lit(","), F.lit(".")).try_cast("double")
+    return rows.withColumns({**cut, "source": F.upper("source"), "year": F.coalesce(F.nullif(F.regexp_extract(year, r"^[+-]?\d+", 0).try_cast("long"), F.lit(0)).cast("string"), year), "sale_price": F.when(price != 0, price)})
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    """Rows with a link, someone who issued the coin, and a year, nominal, variant or reference."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    return rows.where(filled("source_url") & filled("ruler") & (filled("year") | filled("nominal") | filled("variant") | filled("catalog_ref")))
+
+
+def evidence_list(ai: Column, user: Column, expert: Column, provenance: Column, sources: Column) -> Column:
+    """Kinds and sources that speak for a row: AI result, user correction, expert, provenance in order, then sources not named yet."""
+    entry = lambda kind, source: F.struct(F.lit(kind).alias("kind"), source.cast("string").alias("source"))
+    none = F.lit(None)
+    own = F.array_compact(F.array(F.when(ai, entry("ai_result", none)), F.when(user, entry("user_correction", none)), F.when(expert, entry("expert_verification", none))))
+    more = F.array_distinct(F.array_except(sources, provenance))
+    return F.concat(own, F.transform(provenance, lambda s: entry("source", s)), F.transform(more, lambda s: entry("source", s)))
+
+
+def verified(rows: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
+    """Identities of which every source may be used."""
+    known = rows.join(sources.select("source", F.col("ingest").isin("ALLOW", "ALLOW_WITH_RIGHTS").alias("_ok")), "source", "left")
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_all")).where("_all").drop("_all")
+
+
+def ingested(rows: DataFrame, tiers: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows of known sources that are not red, once for each source and its id (or link): the latest, under the first one's id."""
+    known = rows.join(tiers.where("NOT startswith(tier, 'RED')").select("source"), "source")
+    key = ["source", "_key"]
+    keyed = known.withColumn("_key", F.coalesce(F.nullif(F.col("source_id"), F.lit("")), F.col("source_url")))
+    best = Window.partitionBy(*key)
+    ranked = keyed.withColumns({"_last": F.row_number().over(best.orderBy(*(c.desc() for c in order))), "_first": F.first("record_id").over(best.orderBy(*(c.asc() for c in order)))})
+    return ranked.where("_last = 1").withColumn("record_id", F.col("_first")).drop("_key", "_last", "_first")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import MARKED, PLAIN
-from tessera.plans import records_sql
+from tessera.plans import records, records_sql
 
 FACTS = """facts AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT)) AS fact_id,
  l_orderkey AS lot_key, l_partkey AS item_id, 'S' || (l_suppkey % 6) AS source, CASE WHEN l_orderkey % 5 <> 0 THEN 'https://lots.example/' || l_orderkey END AS source_url,
@@ -186,4 +186,4 @@ ORACLE_SQL = {
     "text_fold": f"SELECT doc_id, trim(regexp_replace(translate({STRIP.format('text')}, 'ł', 'l'), '[^a-z0-9]+', ' ', 'g')) AS folded, {STRIP.format('trim(text)')} AS comparable FROM documents",
     "sentinel_canonical": f"WITH {COINS} SELECT CASE WHEN mint <> 'unknown' THEN mint END AS mint, count(*) AS n FROM coins GROUP BY 1",
 }
-ORACLE_SQL |= records_sql.ORACLE_SQL
+ORACLE_SQL |= records_sql.oracle(FACTS, COINS, OBS, records.CLAIMS, records.REIGNS, records.TIERS)
