@@ -130,14 +130,15 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
     rule, says = rule_of(host_of(F.col("_url")), path_of(F.col("_url")), rules)
     urls = rest.groupBy(url.alias("_url")).agg(F.count("*").alias("_n")).where("_url IS NOT NULL").withColumn("_label", says)
     urls = urls.withColumns({"_allow": F.when(F.col("_label") == "allow", F.col("_n")).otherwise(0), "_block": F.when(F.col("_label") == "block", F.col("_n")).otherwise(0)})
-    # an even deal: rows of urls are small, and each becomes as many as it has symbols
-    urls = stash(urls.repartition(F.xxhash64("_url")), "urls")
+    urls = stash(urls, "urls")
+    # a few rows of urls fill a file, and each becomes as many rows as it has symbols: deal them out
+    dealt = urls.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_url")
     # n-grams of all urls have a row, as lower orders tell of those that the models did not see
     seen = {c: F.when(held_out(F.col("_url")), 0).otherwise(F.col(c)) for c in ("_allow", "_block")}
-    counts = grams(urls.withColumns(seen), "_url", ["_allow", "_block"]).groupBy("gram").agg(F.sum("_allow").alias("allow"), F.sum("_block").alias("block"))
+    counts = grams(dealt.withColumns(seen), "_url", ["_allow", "_block"]).groupBy("gram").agg(F.sum("_allow").alias("allow"), F.sum("_block").alias("block"))
     counts = stash(counts, "url-grams")
     ratios = stash(log_ratios(counts), "url-model")
-    scored = grams(urls, "_url", ["_url", "_label", "_allow", "_block"]).join(F.broadcast(ratios), "gram")
+    scored = grams(dealt, "_url", ["_url", "_label", "_allow", "_block"]).join(F.broadcast(ratios), "gram")
     scored = scored.groupBy("_url").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("_label").alias("_label"), F.first("_allow").alias("_allow"), F.first("_block").alias("_block"))
     scored = stash(scored, "url-scores")
     for used in (urls, counts, ratios):
