@@ -363,7 +363,10 @@ def job_dedupe_stream(spark, sf_dir):
     """The events as a stream in which a user's type of event is a job; run over what is there."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessera"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or "file:///tmp/checkpoints/tessera"
     return jobs.run_available(jobs.first_of_job(stream, ["user_id", "event_type"]), f"{folder}/jobs-{uuid.uuid4().hex}")
 
 
