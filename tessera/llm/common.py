@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +72,32 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 1 <<
             a = b
 
 
+def give_back() -> None:
+    """Hand memory that is free again from this Python worker to the system.
+
+    Workers are kept for later tasks, each in turn, with all that their allocators hold.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a task over batches, and give_back() at its end."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df less the columns whose names an operator is about to add (case-insensitive)."""
     gone = {n.lower() for n in names}

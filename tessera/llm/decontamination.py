@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, drop_stash, stash, table, without
+from tessera.llm.common import col, drop_stash, giving_back, stash, table, without
 
 #: Words are maximal runs of digits, a-z and bytes of non-ASCII characters, after A-Z is lowered.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -290,7 +290,7 @@ def decontaminate(
         sent, last = spark.sparkContext.broadcast(block), following is None
         fields = [held.schema[n] for n in (names if last else rest.columns)]
         schema = T.StructType([*fields, *(T.StructField(k, v[0]) for k, v in (adds if last else carried).items())])
-        out = held.mapInArrow(_pass(sent, text_col, [f.name for f in fields], adds if last else carried, before, last, clean, shard_bytes), schema)
+        out = held.mapInArrow(giving_back(_pass(sent, text_col, [f.name for f in fields], adds if last else carried, before, last, clean, shard_bytes)), schema)
         if last:
             return out
         out = stash(out, "decontaminate")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, drop_stash, id_number, slices, stash, table, without
+from tessera.llm.common import col, drop_stash, giving_back, id_number, slices, stash, table, without
 from tessera.llm.components import connected
 
 HEAVY = 1 << 18
@@ -439,7 +439,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     spark = docs.sparkSession
     plain = docs.select(col(id_col).alias("_name"), id_number(id_col).alias("_id"), text_hash(text_col).alias("_th"), col(text_col).cast("string").alias("_text"))
     kind = plain.schema["_name"].dataType.simpleString()
-    scanned = stash(plain.mapInArrow(_scan(size), f"shared boolean, _name {kind}, _id long, _th long, key long, n long, bitmap binary"), "jaccard-scan")
+    scanned = stash(plain.mapInArrow(giving_back(_scan(size)), f"shared boolean, _name {kind}, _id long, _th long, key long, n long, bitmap binary"), "jaccard-scan")
     rows = scanned.where("NOT shared")
     owners = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("_name").alias("least"), F.min(F.struct("_id", "_th", "n", "bitmap")).alias("o"))
     owners = stash(owners.select("key", "least", F.col("o._id").alias("_id"), F.col("o._th").alias("_th"), F.col("o.n").alias("n"), F.col("o.bitmap").alias("payload")), "jaccard-owners")
@@ -452,9 +452,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     rank[np.lexsort((token, n))] = np.arange(len(by))
     heavy = spark.sparkContext.broadcast((token[by], rank[by], common["label"].to_numpy()[by]))
 
-    first = plain.select("_text").mapInArrow(_prefixes(size, percent, heavy), "grouped boolean, label long, key long, n int")
+    first = plain.select("_text").mapInArrow(giving_back(_prefixes(size, percent, heavy)), "grouped boolean, label long, key long, n int")
     spread = F.when(F.col("grouped"), F.pmod(F.xxhash64("key"), F.lit(64))).otherwise(0)
-    met = first.repartition("label", spread).sortWithinPartitions("grouped", "label", "n", "key").mapInArrow(_groups(percent), "g long, key long").distinct()
+    met = first.repartition("label", spread).sortWithinPartitions("grouped", "label", "n", "key").mapInArrow(giving_back(_groups(percent)), "g long, key long").distinct()
     met = stash(met, "jaccard-groups")
     heavy.destroy()
     maybe = linked(met, owners.select("key", "n", "payload"), match_bitmaps, percent)
@@ -463,7 +463,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     wanted = stash(maybe.join(owners.drop("payload"), maybe["node"] == owners["key"]).select("root", "key", "_id", "_th", "n"), "jaccard-wanted")
     # one plan at every size: the texts go to the wanted names, which may be as many as there are copies
     found = plain.select("_id", "_th", "_text").join(wanted.select("_id", "_th", "key").hint("merge"), ["_id", "_th"])
-    sets = stash(found.select("key", "_text").mapInArrow(_sets(size), "key long, n long, payload binary"), "jaccard-sets")
+    sets = stash(found.select("key", "_text").mapInArrow(giving_back(_sets(size)), "key long, n long, payload binary"), "jaccard-sets")
     roots = linked(wanted.select(F.col("root").alias("g"), "key", "n"), sets, match_sets, percent, F.ceil(F.col("n") / WEIGHT))
 
     named = roots.withColumnRenamed("node", "key").join(owners.select("key", "least"), "key")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, slices, table, without
+from tessera.llm.common import col, give_back, giving_back, slices, table, without
 
 BUCKETS = 1 << 16
 HELD_LANGS = 64  # whose counts a task holds before it hands them on
@@ -159,7 +159,7 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return labelled.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return labelled.mapInArrow(giving_back(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -312,9 +312,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
 
     @F.arrow_udf(T.StructType([T.StructField(k, v[0]) for k, v in ADDS.items()]))
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            rows = [r for part in slices(iter([pa.RecordBatch.from_arrays([batch], ["t"])]), 1000, SLICE) for r in _predict(part.column(0).to_pylist(), sent.value, penalty, spans)]
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())], names=list(ADDS))
+        try:
+            for batch in texts:
+                rows = [r for part in slices(iter([pa.RecordBatch.from_arrays([batch], ["t"])]), 1000, SLICE) for r in _predict(part.column(0).to_pylist(), sent.value, penalty, spans)]
+                yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())], names=list(ADDS))
+        finally:
+            give_back()
 
     # not deterministic as far as the optimizer knows, or it would label texts twice to filter by the label
     out = rest.withColumn("_told", told.asNondeterministic()(col(text_col).cast("string")))

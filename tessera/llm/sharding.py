@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, id_number, table, without
+from tessera.llm.common import col, give_back, id_number, table, without
 
 RANGE = 1 << 28  # weight of a range
 LEAST_RANGES = 256
@@ -76,12 +76,15 @@ def divide(keyed: DataFrame, total: int, seed: int, room: int | None = None) ->
 def range_of(hashes: np.ndarray, ids: np.ndarray) -> Column:
     @F.pandas_udf("int")
     def find(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for h, i in parts:
-            h, i = h.to_numpy(np.int64), i.to_numpy(np.int64)
-            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for k in np.flatnonzero(low < high):  # only keys whose text is itself a boundary
-                low[k] += np.searchsorted(ids[low[k] : high[k]], i[k], "right")
-            yield pd.Series(low.astype(np.int32))
+        try:
+            for h, i in parts:
+                h, i = h.to_numpy(np.int64), i.to_numpy(np.int64)
+                low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+                for k in np.flatnonzero(low < high):  # only keys whose text is itself a boundary
+                    low[k] += np.searchsorted(ids[low[k] : high[k]], i[k], "right")
+                yield pd.Series(low.astype(np.int32))
+        finally:
+            give_back()
 
     return find("_h", "_id")
 
