@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, oracle, pii, sharding, url_filters
+from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, oracle, pii, sharding, url_filters, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_url_language_model": url_filters.op8_url_language_model,
     "op9_line_winnowing": line_dedup.op9_line_winnowing,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
