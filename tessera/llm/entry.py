@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, mixing, nearest_neighbours, oracle, pii, sharding, url_filters, whitening
+from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, nearest_neighbours, oracle, pii, sharding, url_filters, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_line_winnowing": line_dedup.op9_line_winnowing,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_log_frequency_filter": lm_scoring.op12_log_frequency_filter,
     "pipeline": corpus_pipeline.run,
 }
 
