@@ -40,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or "file:///tmp/checkpoints/tessera").rstrip("/")
 
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
+def stash(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out

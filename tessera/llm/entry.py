@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, nearest_neighbours, oracle, pii, sharding, url_filters, whitening
+from tessera.llm import chat_formatting, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, nearest_neighbours, oracle, pii, sharding, token_alignment, url_filters, whitening
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
     "op12_log_frequency_filter": lm_scoring.op12_log_frequency_filter,
+    "op13_segment_alignment": token_alignment.op13_segment_alignment,
     "pipeline": corpus_pipeline.run,
 }
 

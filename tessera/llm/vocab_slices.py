@@ -69,7 +69,7 @@ def vocab_slices(docs: DataFrame, text: F.Column, kept: dict[str, F.Column], spl
     empty = docs.sparkSession.createDataFrame([], schema)
     arrow = [pa.field("slice", pa.int64()), pa.field("words", pa.list_(pa.binary())), pa.field("seq", pa.binary()), pa.field("lengths", pa.binary())]
     arrow += [pa.field(n, pa.list_(_arrow(empty.schema[n].dataType.elementType))) for n in kept]
-    return stash(rows.mapInArrow(_encode(split, list(kept), arrow), schema), tag)
+    return stash(rows.mapInArrow(_encode(split, list(kept), arrow), schema), tag, compression="zstd")
 
 
 def _arrow(kind) -> pa.DataType:
