@@ -15,9 +15,9 @@ large as their levels need, so it grows with the text it was trained on and its
 goes to the workers in blocks of ``FILTER_BLOCK`` bytes at most, one after the other; each further block
 takes another pass over the slices, with the levels found so far beside them.
 
-``base_score`` needs exact counts of words: these are joined to slices of documents (see vocab_slices), so
-a frequent word meets its count once in each slice. Nothing here reaches the driver but totals and one
-block of the filter.
+``base_score`` needs exact counts of words: slices of documents (see vocab_slices) send what they have of
+each word to its bucket, where it is added up, and get the sum back. Nothing here reaches the driver but
+totals and one block of the filter.
 
 Odd rows: a null, empty or blank text is its end token alone. Null or repeated ids and repeated rows are
 scored (and learned from) as they are; a null id hashes as the empty text does. Without training texts
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, col, drop_stash, giving_back, stash, table
-from tessera.llm.vocab_slices import STRETCH, answers, documents, per_word, vocab_slices
+from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, parted, questions, vocab_slices, with_answers
 
 ORDER = 2
 BASE = 1.5  # of the levels
@@ -126,15 +126,38 @@ def _trained(seq: np.ndarray, starts: np.ndarray, train: np.ndarray) -> tuple[np
     return seq[np.repeat(train, counts)], np.concatenate([[0], np.cumsum(counts[train])])
 
 
-def _word_counts(batches):
+def _occurrences(row: dict) -> np.ndarray:
     """The training occurrences of each word of a slice."""
+    seq, _ = _trained(*documents(row["seq"], row["lengths"]), np.array(row["train"], bool))
+    return np.bincount(seq, minlength=len(row["words"]))
+
+
+@giving_back
+def _add_up(batches):
+    """What all slices have of each word, back to the slices; of each bucket also (slice -1) total and number."""
+    bucket, held = None, []
+
+    def told():
+        counts: dict[bytes, int] = {}
+        for r in held:
+            for word, n in zip(parted(r["words"], r["sizes"]), np.frombuffer(r["weights"], np.uint32).tolist()):
+                counts[word] = counts.get(word, 0) + n
+        seen = [n for n in counts.values() if n]
+        rows = [{"slice": -1, "ats": b"", "body": np.array([sum(seen), len(seen)], np.int64).tobytes(), "sizes": b""}]
+        for r in held:
+            words = parted(r["words"], r["sizes"])
+            rows.append({"slice": r["slice"], "ats": r["ats"], "body": np.fromiter(map(counts.__getitem__, words), np.int64, len(words)).tobytes(), "sizes": b""})
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int64()), ("ats", pa.binary()), ("body", pa.binary()), ("sizes", pa.binary())]))
+
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i].as_py() for n in ("slice", "seq", "lengths", "train")}
-            seq, _ = _trained(*documents(row["seq"], row["lengths"]), np.array(row["train"], bool))
-            words = batch.column("words").slice(i, 1)
-            counts = np.bincount(seq, minlength=len(words.flatten()))
-            yield pa.RecordBatch.from_arrays([pa.array([row["slice"]]), words, pa.array([counts])], names=["slice", "words", "tf"])
+        for row in batch.to_pylist():
+            if held and row["bucket"] != bucket:
+                yield told()
+                held = []
+            bucket = row["bucket"]
+            held.append(row)
+    if held:
+        yield told()
 
 
 def _ngram_counts(order: int, segments: int):
@@ -201,14 +224,18 @@ def _build(batches):
 class Block:
     """Some segments of the filter, end to end."""
 
-    def __init__(self, rows: list, segments: int):
+    def __init__(self, rows: Iterable, sizes: dict[int, int], segments: int):
+        """rows: segment and bits of the segments in sizes, which has their bytes."""
         self.segments = segments
         self.at, self.size = np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
         upto = 0
+        for s, n in sizes.items():
+            self.at[s], self.size[s] = 8 * upto, 8 * n
+            upto += n
+        self.bits = np.empty(upto, np.uint8)
         for r in rows:
-            self.at[r["segment"]], self.size[r["segment"]] = upto, 8 * len(r["bits"])
-            upto += 8 * len(r["bits"])
-        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8)
+            at = int(self.at[r["segment"]]) // 8
+            self.bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """How many levels of each n-gram are members, from the first on; 0 where the segment is elsewhere."""
@@ -261,8 +288,8 @@ def _score(block, order: int, n_train: int, n_words: int, id_type: pa.DataType):
                 counts = np.split(COUNT_OF[levels], np.cumsum([len(h) for h in known])[:-1])
 
                 exact = np.zeros(len(hashes))
-                found = batch.column("found").slice(i, 1).flatten()
-                exact[found.field("at").to_numpy()] = found.field("n").to_numpy()
+                for r in batch.column("found")[i].as_py():
+                    exact[np.frombuffer(r["ats"], np.uint32)] = np.frombuffer(r["body"], np.int64)
                 exact[-1] = batch.column("ends")[i].as_py()
                 base = np.log10(exact + 1) - math.log10(n_train + n_words + 1)
 
@@ -285,27 +312,23 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     bound_batches(spark)
     sliced = vocab_slices(docs, col(text_col), {"id": col(id_col), "train": F.coalesce(train, F.lit(False))}, split_words, "lm-slices")
-    counted = sliced.select("slice", "words", "seq", "lengths", "train").mapInArrow(_word_counts, "slice long, words array<binary>, tf array<long>")
-    counts = stash(per_word(counted, "tf").where("tf > 0").groupBy("word").agg(F.sum("tf").alias("n")), "lm-words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = stash(questions(sliced.select("slice", "words", "seq", "lengths", "train"), _occurrences).mapInArrow(_add_up, ANSWERS), "lm-words", compression="zstd")
+    total = np.array([np.frombuffer(r.body, np.int64) for r in counts.where("slice = -1").select("body").toLocalIterator()]).reshape(-1, 2).sum(axis=0).tolist()
     ends = sliced.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
     n_train, n_words = total[0] + ends, total[1] + (ends > 0)
 
     segments = max(8, -(-n_train * order // SEGMENT))
     packed = sliced.select("words", "seq", "lengths", "train").mapInArrow(_ngram_counts(order, segments), "segment long, keys binary, counts binary")
     filters = stash(packed.repartition(segments, "segment").mapInArrow(_build, "segment long, bits binary"), "lm-filter")
-    sizes = filters.select("segment", F.length("bits").alias("size")).orderBy("segment").collect()
-    blocks, size = [[]], 0
-    for r in sizes:
-        if blocks[-1] and size + r["size"] > FILTER_BLOCK:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r["segment"])
-        size += r["size"]
-
-    def sent(block: list[int]):
-        rows = filters.where(F.col("segment").between(block[0], block[-1])).collect() if block else []
-        return spark.sparkContext.broadcast(Block(rows, segments))
+    blocks: list[dict[int, int]] = [{}]
+    for r in filters.select("segment", F.length("bits").alias("size")).orderBy("segment").collect():
+        if blocks[-1] and sum(blocks[-1].values()) + r["size"] > FILTER_BLOCK:
+            blocks.append({})
+        blocks[-1][r["segment"]] = r["size"]
+
+    def sent(block: dict[int, int]):
+        rows = filters.where(F.col("segment").between(min(block), max(block))).toLocalIterator() if block else []
+        return spark.sparkContext.broadcast(Block(rows, block, segments))
 
     probed = sliced.withColumn("levels", F.lit(None).cast("binary"))
     for k, block in enumerate(blocks[:-1]):
@@ -313,9 +336,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         if k:
             drop_stash(former)
 
-    found = answers(per_word(sliced.select("slice", "words")).join(counts, "word"), "n")
-    both = probed.join(found, "slice", "left").withColumn("ends", F.lit(ends).cast("long"))
-    both = both.withColumn("found", F.coalesce("found", F.array().cast(both.schema["found"].dataType)))
+    both = with_answers(probed, counts.where("slice >= 0")).withColumn("ends", F.lit(ends).cast("long"))
     kind = docs.select(col(id_col)).schema[0].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

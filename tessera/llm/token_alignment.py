@@ -4,8 +4,8 @@ A text is cut before each run of white space that begins with a space and follow
 can reach across such a cut: ``splitter`` makes sure from both vocabularies that no entry has a space
 after something that is not white space, and that the tokenizers' other steps work inside such segments;
 otherwise a text stays one segment. Documents become slices (see vocab_slices): each distinct segment of a
-slice goes once to the task of its hash, where equal segments meet and are tokenised and aligned once, and
-the alignment comes back to the slice, in which all documents are composed by counting.
+slice goes once to the bucket of its hash, where equal segments meet and are tokenised and aligned once,
+and the alignment comes back to the slice, in which all documents are composed by counting.
 
 An alignment is one list of both tokenizers' tokens by where they end. At each end one pair of tokens that
 overlap is over, so the list holds all links as well; where both end, a group is cut.
@@ -21,6 +21,7 @@ long it is.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import json
@@ -33,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, col, giving_back, slices, stash, table
-from tessera.llm.vocab_slices import STRETCH, answers, documents, per_word, summed, vocab_slices
+from tessera.llm.common import bound_batches, col, giving_back, stash, table
+from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, joined, packed, parted, questions, summed, unpacked, vocab_slices, with_answers
 
 PAIR_BYTES = 64 << 20
 PAIR_WIDTH = 17
+VOCABULARY = 1 << 16  # ids whose endings are made beforehand
 TOGETHER = 4096  # segments that are tokenised at a time
 #: Before a space, unless white space stands before it, or what some engine may take for it. Not before the
 #: text's last character: the second tokenizer gives an empty string no space.
@@ -129,38 +131,30 @@ def one_segment(text: str) -> Iterator[list[bytes]]:
 
 
 def _tokenise(sent):
-    """slice, at, word sorted by word inside tasks -> slice, at, code; equal words are tokenised once."""
+    """Packed alignments for packed segments; the distinct ones of a bucket are tokenised once."""
 
     @giving_back
     def run(batches):
-        tokenizers = Tokenizers(*sent.value)
-        last: tuple[bytes, bytes] | None = None
-        for batch in slices(batches, rows=TOGETHER * 4):
-            words = batch.column("word").to_pylist()
-            new = [w for k, w in enumerate(words) if w != (words[k - 1] if k else last and last[0])]
-            codes: list[bytes] = []
-            a = 0
-            while a < len(new):
-                codes += tokenizers.codes(new[a : a + TOGETHER])
-                a += TOGETHER
-            known = dict(zip(new, codes))
-            if last:
-                known.setdefault(*last)
-            last = words[-1], known[words[-1]]
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("at"), pa.array([known[w] for w in words], pa.binary())], names=["slice", "at", "code"])
+        tokenizers, bucket, known = Tokenizers(*sent.value), None, {}
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                if row["bucket"] != bucket:
+                    bucket, known = row["bucket"], {}
+                words = parted(row["words"], row["sizes"])
+                new = [w for w in words if w not in known]
+                for a in range(0, len(new), TOGETHER):
+                    known.update(zip(new[a : a + TOGETHER], tokenizers.codes(new[a : a + TOGETHER])))
+                body, sizes = joined([known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array([row["slice"]]), pa.array([row["ats"]]), pa.array([body]), pa.array([sizes])], names=["slice", "ats", "body", "sizes"])
 
     return run
 
 
-def _written(events: list[int]) -> str:
-    """Groups as a1,a2|b1;a3|b2,b3."""
-    groups, a, b = [], [], []
-    for e in events:
-        (b if e & OF_B else a).append(str(e & ID))
-        if e & FINAL and e & OF_B:
-            groups.append(f"{','.join(a)}|{','.join(b)}")
-            a, b = [], []
-    return ";".join(groups)
+@functools.cache
+def _endings(n: int) -> list[str]:
+    """Each id with what can stand behind it."""
+    return [f"{i}{after}" for i in range(n) for after in (",", "|", ";", "")]
 
 
 def _following(mask: np.ndarray) -> np.ndarray:
@@ -172,10 +166,13 @@ def _following(mask: np.ndarray) -> np.ndarray:
 class Aligned:
     """The alignments of a slice's words, in their order."""
 
-    def __init__(self, ats: np.ndarray, codes: list[bytes]):
-        by = np.argsort(ats)
-        self.valid = np.array([codes[i] != UNLIKE for i in by], bool)
-        codes = [codes[i] if ok else b"" for i, ok in zip(by, self.valid)]
+    def __init__(self, found: list[dict]):
+        codes: list[bytes] = [b""] * sum(len(r["ats"]) // 4 for r in found)
+        for r in found:
+            for at, code in zip(np.frombuffer(r["ats"], np.uint32).tolist(), parted(r["body"], r["sizes"])):
+                codes[at] = code
+        self.valid = np.array([c != UNLIKE for c in codes], bool)
+        codes = [c if ok else b"" for c, ok in zip(codes, self.valid.tolist())]
         self.events = np.frombuffer(b"".join(codes), np.uint32)
         sizes = np.array([len(c) // 4 for c in codes], np.int64)
         self.cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -188,8 +185,19 @@ class Aligned:
         self.pairs, self.links = np.unique(pairs, return_inverse=True)
 
     def texts(self) -> list[str]:
-        events, cuts = self.events.tolist(), self.cuts.tolist()
-        return [_written(events[x:y]) for x, y in zip(cuts, cuts[1:])]
+        """Each word's groups as a1,a2|b1;a3|b2,b3."""
+        if not len(self.events):
+            return [""] * len(self.valid)
+        of_b, final = (self.events & OF_B) > 0, (self.events & FINAL) > 0
+        group = np.concatenate([[0], np.cumsum(final & of_b)[:-1]])
+        by = np.argsort(2 * group + of_b, kind="stable")  # words keep their places
+        of_b, group = of_b[by], group[by]
+        after = np.where(np.append(group[1:] != group[:-1], True), 2, np.where(np.append(of_b[1:] != of_b[:-1], False), 1, 0))
+        after[self.cuts[1:][np.diff(self.cuts) > 0] - 1] = 3
+        ids = (self.events[by] & ID).astype(np.int64)
+        parts = list(map(_endings(int(ids.max()) + 1 if ids.max() >= VOCABULARY else VOCABULARY).__getitem__, (4 * ids + after).tolist()))
+        cuts = self.cuts.tolist()
+        return ["".join(parts[x:y]) for x, y in zip(cuts, cuts[1:])]
 
 
 def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -203,8 +211,7 @@ def _compose(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             part = batch.slice(i, 1)
-            found = part.column("found").flatten()
-            own = Aligned(found.field("at").to_numpy(), found.field("code").to_pylist())
+            own = Aligned(part.column("found")[0].as_py())
             seq, starts = documents(part.column("seq")[0].as_py(), part.column("lengths")[0].as_py())
             counts = np.diff(starts)
             whole = summed((~own.valid[seq]).astype(np.int64), starts) == 0
@@ -222,8 +229,8 @@ def _compose(batches):
             n = own.n_links[words]
             met = np.unique((np.repeat(inside >> 32, n) << 32) | spread(own.links, np.concatenate([[0], np.cumsum(own.n_links)])[words], n))
             n_docs = np.bincount(met & 0xFFFFFFFF, minlength=len(own.pairs))
-            lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (*(summed(x[seq], starts) for x in (own.n_a, own.n_b, own.n_groups, own.n_links)), own.pairs, n_docs)]
-            binaries = [pa.array([x.tobytes()], pa.binary()) for x in (seq.astype(np.uint32), counts.astype(np.int64), own.links.astype(np.uint32), own.n_links.astype(np.uint32))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (*(summed(x[seq], starts) for x in (own.n_a, own.n_b, own.n_groups, own.n_links)), own.pairs, n_docs)]
+            binaries = [pa.array([x], pa.binary()) for x in (packed(seq.astype(np.uint32)), counts.astype(np.int64).tobytes(), packed(own.links.astype(np.uint32)), own.n_links.astype(np.uint32).tobytes())]
             yield pa.RecordBatch.from_arrays([part.column("slice"), part.column("id"), pa.array([digests]), *lists, *binaries], names=["slice", "id", "digest", "n_a", "n_b", "n_groups", "n_links", "pairs", "n_docs", "seq", "lengths", "links", "word_links"])
 
 
@@ -237,14 +244,16 @@ def _finish(sent):
                 part = batch.slice(i, 1)
                 pairs = part.column("pairs").flatten().to_numpy()
                 if sent is None:
+                    counts, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
                     found = part.column("found").flatten()
-                    by = np.argsort(found.field("at").to_numpy())
-                    counts, best = found.field("n").to_numpy()[by], found.field("best").to_numpy(zero_copy_only=False)[by]
+                    at = found.field("at").to_numpy()
+                    counts[at], best[at] = found.field("n").to_numpy(), found.field("best").to_numpy(zero_copy_only=False)
                 else:
                     keys, counts, best = sent.value
                     at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)  # a pair of texts without tokens has no key
                     counts, best = (counts[at], best[at]) if len(keys) else (np.zeros(len(pairs)), np.zeros(len(pairs)))
-                links, word_links = (np.frombuffer(part.column(x)[0].as_py(), np.uint32).astype(np.int64) for x in ("links", "word_links"))
+                word_links = np.frombuffer(part.column("word_links")[0].as_py(), np.uint32).astype(np.int64)
+                links = unpacked(part.column("links")[0].as_py(), int(word_links.sum())).astype(np.int64)
                 cuts = np.concatenate([[0], np.cumsum(word_links)])
                 seq, starts = documents(part.column("seq")[0].as_py(), part.column("lengths")[0].as_py())
                 told = [pa.array(summed(summed(x.astype(np.int64)[links], cuts)[seq], starts)) for x in (best, counts)]
@@ -271,10 +280,8 @@ def align(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col: s
     bound_batches(spark)
     sent = spark.sparkContext.broadcast((a, b))
     sliced = vocab_slices(docs, col(text_col), {"id": col(id_col)}, splitter(a, b), "alignment-segments")
-    words = per_word(sliced.select("slice", "words")).repartition("word").sortWithinPartitions("word")
-    codes = words.mapInArrow(_tokenise(sent), "slice long, at int, code binary")
-    both = sliced.select("slice", "seq", "lengths", "id").join(answers(codes, "code"), "slice", "left")
-    both = both.withColumn("found", F.coalesce("found", F.array().cast(both.schema["found"].dataType)))
+    codes = questions(sliced.select("slice", "words")).mapInArrow(_tokenise(sent), ANSWERS)
+    both = with_answers(sliced.select("slice", "seq", "lengths", "id"), codes)
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     lists = "n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, pairs array<long>, n_docs array<long>"
     composed = stash(both.mapInArrow(_compose, f"slice long, id array<{kind}>, digest array<string>, {lists}, seq binary, lengths binary, links binary, word_links binary"), "alignment-slices", compression="zstd")
@@ -287,8 +294,8 @@ def align(docs: DataFrame, a: str, b: bytes, id_col: str = "doc_id", text_col: s
         return rows.mapInArrow(_finish(spark.sparkContext.broadcast(tuple(found[x].to_numpy() for x in ("pair", "n", "best")))), final)
     own = composed.select("slice", F.posexplode("pairs").alias("at", "pair"))
     # pairs that only texts without tokens have are in no document
-    told = own.join(counts, "pair", "left").select("slice", "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best"))
-    both = composed.drop("n_docs").join(answers(told, "n", "best"), "slice", "left")
+    told = own.join(counts, "pair").groupBy("slice").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
+    both = composed.drop("n_docs").join(told, "slice", "left")
     return both.withColumn("found", F.coalesce("found", F.array().cast(both.schema["found"].dataType))).drop("slice").mapInArrow(_finish(None), final)
 
 

@@ -2,9 +2,13 @@
 
 A slice holds some documents in the order they are read, of about ``SLICE`` bytes of text; a longer
 document is a slice of its own. One row has its distinct words once, and each document as numbers into
-these. A word that is in every document so meets the corpus once a slice and not once a document: what is
-known of a word is joined to slices, and documents are composed inside them. Slices are written down, so
-that their numbers stay the same whatever is run again.
+these. A word that is in every document so meets the corpus once a slice and not once a document.
+
+What the corpus knows of words is asked for by bucket, a hash of the word: each slice sends one packed row
+to each bucket that it has words of, equal words meet in the one task that has their bucket, and answers
+come back packed as well. Buckets grow in number with the words, so a task's share stays bounded; a word
+that is in every slice adds one entry a slice to its bucket. Slices are written down, so that their
+numbers stay the same whatever is run again.
 """
 
 from __future__ import annotations
@@ -15,13 +19,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import col, giving_back, slices, stash
 
-SLICE = 8 << 20
+SLICE = 4 << 20
+BUCKET = 400_000  # words of all slices in a bucket
 STRETCH = 1 << 20  # characters of a text that are split at a time
 
 
@@ -36,7 +42,7 @@ def _encode(split: Callable[[str], Iterator[list[bytes]]], kept: Sequence[str],
 
         def row():
             words = list(vocab)
-            values = [task + next(numbers), words, np.concatenate(runs).tobytes() if runs else b"", np.array(lengths, np.int64).tobytes(), *columns]
+            values = [task + next(numbers), words, packed(np.concatenate(runs) if runs else np.zeros(0, np.uint32)), np.array(lengths, np.int64).tobytes(), *columns]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, fields)], schema=pa.schema(fields))
 
         vocab, runs, lengths, columns, size = fresh()
@@ -62,7 +68,7 @@ def _encode(split: Callable[[str], Iterator[list[bytes]]], kept: Sequence[str],
 
 
 def vocab_slices(docs: DataFrame, text: F.Column, kept: dict[str, F.Column], split: Callable[[str], Iterator[list[bytes]]], tag: str) -> DataFrame:
-    """Written rows slice, words, seq (u32 into words), lengths (i64, words of each document), and a list for each of kept."""
+    """Written rows slice, words, seq and lengths (see documents()), and a list for each of kept."""
     rows = docs.select(text.alias("_text"), *[c.alias(f"_{k}") for k, c in enumerate(kept.values())])
     kinds = [rows.schema[f"_{k}"].dataType.simpleString() for k in range(len(kept))]
     schema = "slice long, words array<binary>, seq binary, lengths binary" + "".join(f", {n} array<{k}>" for n, k in zip(kept, kinds))
@@ -78,26 +84,72 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def per_word(sliced: DataFrame, *lists: str) -> DataFrame:
-    """Rows slice, at, word of all slices, and further columns from lists that run beside the words."""
-    zipped = F.arrays_zip("words", *lists) if lists else None
-    if zipped is None:
-        return sliced.select("slice", F.posexplode("words").alias("at", "word"))
-    return sliced.select("slice", F.posexplode(zipped).alias("at", "_own")).select("slice", "at", F.col("_own.words").alias("word"), *[F.col(f"_own.{x}").alias(x) for x in lists])
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
 
 
-def answers(found: DataFrame, *values: str) -> DataFrame:
-    """One row a slice: what was found for its words, as lists beside ``ats``, in any order."""
-    return found.groupBy("slice").agg(F.collect_list(F.struct("at", *values)).alias("found"))
+def unpacked(data: bytes, n: int, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind)
 
 
 def documents(seq: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words of a slice, and where each document's start; the last entry is the end."""
     counts = np.frombuffer(lengths, np.int64)
-    return np.frombuffer(seq, np.uint32), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return unpacked(seq, int(counts.sum())), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of values over each document."""
     upto = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return upto[starts[1:]] - upto[starts[:-1]]
+
+
+def joined(values: list[bytes]) -> tuple[bytes, bytes]:
+    """All values end to end, and their sizes."""
+    return b"".join(values), np.fromiter(map(len, values), np.uint32, len(values)).tobytes()
+
+
+def parted(data: bytes, sizes: bytes) -> list[bytes]:
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)]).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+QUESTIONS = "bucket int, slice long, ats binary, words binary, sizes binary, weights binary"
+ANSWERS = "slice long, ats binary, body binary, sizes binary"
+
+
+def questions(sliced: DataFrame, weigh: Callable[[dict], np.ndarray] | None = None) -> DataFrame:
+    """Packed rows of all words with their places in slices, each bucket in one task, one after the other.
+
+    weigh gives a u32 beside each word of a slice's row (as a dict of its columns).
+    """
+    total = sliced.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    buckets = max(8, -(-total // BUCKET))
+
+    @giving_back
+    def run(batches):
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                words = row["words"]
+                if not words:
+                    continue
+                weights = weigh(row) if weigh else None
+                bucket = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int32)
+                by = np.argsort(bucket, kind="stable")
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])
+                parts = [by[a:b] for a, b in zip(cuts, cuts[1:])]
+                bodies = [joined([words[k] for k in part.tolist()]) for part in parts]
+                columns = [bucket[by[cuts[:-1]]], [row["slice"]] * len(parts), [p.astype(np.uint32).tobytes() for p in parts], [b for b, _ in bodies], [s for _, s in bodies], [weights[p].astype(np.uint32).tobytes() if weigh else None for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "slice", "ats", "words", "sizes", "weights"])
+
+    return sliced.mapInArrow(run, QUESTIONS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def answers(found: DataFrame) -> DataFrame:
+    """One row a slice: found, the packed answers of all buckets to it."""
+    return found.groupBy("slice").agg(F.collect_list(F.struct("ats", "body", "sizes")).alias("found"))
+
+
+def with_answers(sliced: DataFrame, found: DataFrame) -> DataFrame:
+    both = sliced.join(answers(found), "slice", "left")
+    return both.withColumn("found", F.coalesce("found", F.array().cast(both.schema["found"].dataType)))

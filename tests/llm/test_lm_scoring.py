@@ -81,7 +81,7 @@ def test_filter_reads_back_levels_and_rarely_errs():
         own = ((hashes[:30_000] >> np.uint64(32)) % np.uint64(4)) == s
         keys = (hashes[:30_000] & lm_scoring.LOW).astype(np.uint32)[own]
         rows.append({"segment": s, "bits": lm_scoring.segment_bits(np.repeat(keys, 2), np.stack([counts[own] - counts[own] // 2, counts[own] // 2]).T.ravel()).tobytes()})
-    levels = lm_scoring.Block(rows, 4).levels(hashes)
+    levels = lm_scoring.Block(rows, {r["segment"]: len(r["bits"]) for r in rows}, 4).levels(hashes)
     true = lm_scoring.level_of(counts)
     assert (levels[:30_000] >= true).all() and (levels[:30_000] > true).mean() < 0.05
     assert 0 < (levels[30_000:] > 0).mean() < 0.05  # 2^-6 by design
