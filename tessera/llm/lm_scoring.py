@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, col, drop_stash, giving_back, stash, table
-from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, parted, questions, vocab_slices, with_answers
+from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, packed, parted, questions, unpacked, vocab_slices, with_answers
+from tessera.llm.vocab_slices import places as word_places
 
 ORDER = 2
 BASE = 1.5  # of the levels
@@ -140,13 +141,13 @@ def _add_up(batches):
     def told():
         counts: dict[bytes, int] = {}
         for r in held:
-            for word, n in zip(parted(r["words"], r["sizes"]), np.frombuffer(r["weights"], np.uint32).tolist()):
+            for word, n in zip(parted(r["words"], r["sizes"]), unpacked(r["weights"]).tolist()):
                 counts[word] = counts.get(word, 0) + n
         seen = [n for n in counts.values() if n]
-        rows = [{"slice": -1, "ats": b"", "body": np.array([sum(seen), len(seen)], np.int64).tobytes(), "sizes": b""}]
+        rows = [{"slice": -1, "ats": b"", "body": packed(np.array([sum(seen), len(seen)], np.int64)), "sizes": b""}]
         for r in held:
             words = parted(r["words"], r["sizes"])
-            rows.append({"slice": r["slice"], "ats": r["ats"], "body": np.fromiter(map(counts.__getitem__, words), np.int64, len(words)).tobytes(), "sizes": b""})
+            rows.append({"slice": r["slice"], "ats": r["ats"], "body": packed(np.fromiter(map(counts.__getitem__, words), np.int64, len(words))), "sizes": b""})
         return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int64()), ("ats", pa.binary()), ("body", pa.binary()), ("sizes", pa.binary())]))
 
     for batch in batches:
@@ -289,7 +290,7 @@ def _score(block, order: int, n_train: int, n_words: int, id_type: pa.DataType):
 
                 exact = np.zeros(len(hashes))
                 for r in batch.column("found")[i].as_py():
-                    exact[np.frombuffer(r["ats"], np.uint32)] = np.frombuffer(r["body"], np.int64)
+                    exact[word_places(r["ats"])] = unpacked(r["body"], np.int64)
                 exact[-1] = batch.column("ends")[i].as_py()
                 base = np.log10(exact + 1) - math.log10(n_train + n_words + 1)
 
@@ -313,7 +314,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     bound_batches(spark)
     sliced = vocab_slices(docs, col(text_col), {"id": col(id_col), "train": F.coalesce(train, F.lit(False))}, split_words, "lm-slices")
     counts = stash(questions(sliced.select("slice", "words", "seq", "lengths", "train"), _occurrences).mapInArrow(_add_up, ANSWERS), "lm-words", compression="zstd")
-    total = np.array([np.frombuffer(r.body, np.int64) for r in counts.where("slice = -1").select("body").toLocalIterator()]).reshape(-1, 2).sum(axis=0).tolist()
+    total = np.array([unpacked(r.body, np.int64) for r in counts.where("slice = -1").select("body").toLocalIterator()]).reshape(-1, 2).sum(axis=0).tolist()
     ends = sliced.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
     n_train, n_words = total[0] + ends, total[1] + (ends > 0)
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, col, giving_back, stash, table
-from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, joined, packed, parted, questions, summed, unpacked, vocab_slices, with_answers
+from tessera.llm.vocab_slices import ANSWERS, STRETCH, documents, joined, packed, parted, places, questions, summed, unpacked, vocab_slices, with_answers
 
 PAIR_BYTES = 64 << 20
 PAIR_WIDTH = 17
@@ -44,6 +44,7 @@ TOGETHER = 4096  # segments that are tokenised at a time
 #: Before a space, unless white space stands before it, or what some engine may take for it. Not before the
 #: text's last character: the second tokenizer gives an empty string no space.
 CUT = re.compile(r"(?<=[^\s\x85\u180e\u200b\ufeff])(?= (?!\Z))")
+SPACED = re.compile(r"[\s\x85\u180e\u200b\ufeff] ")
 OF_B, FINAL, ID = 1 << 30, 1 << 31, (1 << 30) - 1
 UNLIKE = np.array([0xFFFFFFFF], np.uint32).tobytes()  # tokens that are not the text
 
@@ -79,11 +80,11 @@ class Tokenizers:
         self.b_size = np.array([len(x) for x in self.b_bytes])
 
     def codes(self, segments: list[bytes]) -> list[bytes]:
-        """The alignment of each segment; each begins with a space, which the second tokenizer adds itself."""
+        """The alignment of each segment; a space comes before each, which the second tokenizer adds itself."""
         texts = [s.decode() for s in segments]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        same = [b"".join([self.a_bytes[i] for i in x]) == s == b"".join([self.b_bytes[i] for i in y]) for s, x, y in zip(segments, a, b)]
+        a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        same = [b"".join([self.a_bytes[i] for i in x]) == b" " + s == b"".join([self.b_bytes[i] for i in y]) for s, x, y in zip(segments, a, b)]
         a, b = [x for x, ok in zip(a, same) if ok], [y for y, ok in zip(b, same) if ok]
         counts = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64)
         a_ids, b_ids = (np.fromiter(itertools.chain.from_iterable(own), np.int64) for own in (a, b))
@@ -117,17 +118,22 @@ def splitter(a: str, b: bytes) -> Callable[[str], Iterator[list[bytes]]]:
 
 
 def cut_segments(text: str) -> Iterator[list[bytes]]:
+    """Segments less the space that each begins with; the first one's is the space before the text."""
     text = f" {text}" if text else ""
     a = 0
     while a < len(text):
         cut = CUT.search(text, a + STRETCH) if len(text) - a > STRETCH else None
         b = cut.start() if cut else len(text)
-        yield [s.encode() for s in CUT.split(text[a:b])]
+        part = text[a:b]
+        if part.endswith(" ") or SPACED.search(part):
+            yield [s[1:].encode() for s in CUT.split(part)]
+        else:  # every space is a cut
+            yield part[1:].encode().split(b" ")
         a = b
 
 
 def one_segment(text: str) -> Iterator[list[bytes]]:
-    yield [f" {text}".encode()] if text else []
+    yield [text.encode()] if text else []
 
 
 def _tokenise(sent):
@@ -167,9 +173,10 @@ class Aligned:
     """The alignments of a slice's words, in their order."""
 
     def __init__(self, found: list[dict]):
-        codes: list[bytes] = [b""] * sum(len(r["ats"]) // 4 for r in found)
-        for r in found:
-            for at, code in zip(np.frombuffer(r["ats"], np.uint32).tolist(), parted(r["body"], r["sizes"])):
+        parts = [(places(r["ats"]), parted(r["body"], r["sizes"])) for r in found]
+        codes: list[bytes] = [b""] * sum(len(own) for _, own in parts)
+        for ats, own in parts:
+            for at, code in zip(ats.tolist(), own):
                 codes[at] = code
         self.valid = np.array([c != UNLIKE for c in codes], bool)
         codes = [c if ok else b"" for c, ok in zip(codes, self.valid.tolist())]
@@ -230,7 +237,7 @@ def _compose(batches):
             met = np.unique((np.repeat(inside >> 32, n) << 32) | spread(own.links, np.concatenate([[0], np.cumsum(own.n_links)])[words], n))
             n_docs = np.bincount(met & 0xFFFFFFFF, minlength=len(own.pairs))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (*(summed(x[seq], starts) for x in (own.n_a, own.n_b, own.n_groups, own.n_links)), own.pairs, n_docs)]
-            binaries = [pa.array([x], pa.binary()) for x in (packed(seq.astype(np.uint32)), counts.astype(np.int64).tobytes(), packed(own.links.astype(np.uint32)), own.n_links.astype(np.uint32).tobytes())]
+            binaries = [pa.array([x], pa.binary()) for x in (packed(seq.astype(np.uint32)), counts.astype(np.int64).tobytes(), packed(own.links.astype(np.uint32)), packed(own.n_links.astype(np.uint32)))]
             yield pa.RecordBatch.from_arrays([part.column("slice"), part.column("id"), pa.array([digests]), *lists, *binaries], names=["slice", "id", "digest", "n_a", "n_b", "n_groups", "n_links", "pairs", "n_docs", "seq", "lengths", "links", "word_links"])
 
 
@@ -252,8 +259,8 @@ def _finish(sent):
                     keys, counts, best = sent.value
                     at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)  # a pair of texts without tokens has no key
                     counts, best = (counts[at], best[at]) if len(keys) else (np.zeros(len(pairs)), np.zeros(len(pairs)))
-                word_links = np.frombuffer(part.column("word_links")[0].as_py(), np.uint32).astype(np.int64)
-                links = unpacked(part.column("links")[0].as_py(), int(word_links.sum())).astype(np.int64)
+                word_links = unpacked(part.column("word_links")[0].as_py()).astype(np.int64)
+                links = unpacked(part.column("links")[0].as_py()).astype(np.int64)
                 cuts = np.concatenate([[0], np.cumsum(word_links)])
                 seq, starts = documents(part.column("seq")[0].as_py(), part.column("lengths")[0].as_py())
                 told = [pa.array(summed(summed(x.astype(np.int64)[links], cuts)[seq], starts)) for x in (best, counts)]

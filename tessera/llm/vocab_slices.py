@@ -84,18 +84,21 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+def packed(values: np.ndarray | bytes) -> bytes:
+    """Compressed, with the plain size before it."""
+    data = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int, kind: type = np.uint32) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) if n else b"", kind)
+def unpacked(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b"", kind)
 
 
 def documents(seq: bytes, lengths: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all words of a slice, and where each document's start; the last entry is the end."""
     counts = np.frombuffer(lengths, np.int64)
-    return unpacked(seq, int(counts.sum())), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    return unpacked(seq), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
 
 
 def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -106,12 +109,18 @@ def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def joined(values: list[bytes]) -> tuple[bytes, bytes]:
     """All values end to end, and their sizes."""
-    return b"".join(values), np.fromiter(map(len, values), np.uint32, len(values)).tobytes()
+    return packed(b"".join(values)), packed(np.fromiter(map(len, values), np.uint32, len(values)))
 
 
 def parted(data: bytes, sizes: bytes) -> list[bytes]:
-    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)]).tolist()
-    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    whole = unpacked(data, np.uint8).tobytes()
+    cuts = np.concatenate([[0], np.cumsum(unpacked(sizes), dtype=np.int64)]).tolist()
+    return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def places(ats: bytes) -> np.ndarray:
+    """Where in its slice each of a packed row's words stands."""
+    return np.cumsum(unpacked(ats), dtype=np.int64)
 
 
 QUESTIONS = "bucket int, slice long, ats binary, words binary, sizes binary, weights binary"
@@ -139,7 +148,7 @@ def questions(sliced: DataFrame, weigh: Callable[[dict], np.ndarray] | None = No
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[by])) + 1, [len(by)]])
                 parts = [by[a:b] for a, b in zip(cuts, cuts[1:])]
                 bodies = [joined([words[k] for k in part.tolist()]) for part in parts]
-                columns = [bucket[by[cuts[:-1]]], [row["slice"]] * len(parts), [p.astype(np.uint32).tobytes() for p in parts], [b for b, _ in bodies], [s for _, s in bodies], [weights[p].astype(np.uint32).tobytes() if weigh else None for p in parts]]
+                columns = [bucket[by[cuts[:-1]]], [row["slice"]] * len(parts), [packed(np.diff(p, prepend=0).astype(np.uint32)) for p in parts], [b for b, _ in bodies], [s for _, s in bodies], [packed(weights[p].astype(np.uint32)) if weigh else None for p in parts]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 4))], names=["bucket", "slice", "ats", "words", "sizes", "weights"])
 
     return sliced.mapInArrow(run, QUESTIONS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
