@@ -49,3 +49,18 @@ def cost_for_house(sales: DataFrame, rules: DataFrame, id_col: str = "fact_id")
 def purchasing_power(amount: Column, factor: Column, source: Column, as_of: Column) -> Column:
     """The amount in today's money; null unless the factor's source and day are known."""
     return F.when(source.isNotNull() & as_of.isNotNull() & (factor > 0), amount * factor)
+
+
+def record_cost(records: DataFrame, rules: DataFrame, id_col: str = "fact_id") -> DataFrame:
+    """result_basis and result_value of each record, and what its buyer paid: complete, premium, vat and total.
+
+    The result is the first of hammer, realized and total price above zero, else the plain amount. The
+    buyer's cost needs a hammer price and a rule of the house.
+    """
+    basis, value = F.lit("unknown"), F.col("amount")
+    for name in ("total", "realized", "hammer"):  # the last one wraps the others, so it is asked first
+        known = F.col(f"{name}_price") > 0
+        basis, value = F.when(known, name).otherwise(basis), F.when(known, F.col(f"{name}_price")).otherwise(value)
+    out = cost_for_house(records.withColumns({"result_basis": basis, "result_value": value}), rules, id_col)
+    complete = F.col("complete") & F.coalesce(F.col("hammer_price") > 0, F.lit(False))
+    return out.withColumns({"complete": complete, **{k: F.when(complete, F.col(k)) for k in ("premium", "vat", "total")}})

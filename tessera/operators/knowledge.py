@@ -101,9 +101,14 @@ def evidence_list(ai: Column, user: Column, expert: Column, provenance: Column,
     return F.concat(own, F.transform(provenance, lambda s: entry("source", s)), F.transform(more, lambda s: entry("source", s)))
 
 
-def verified(rows: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
-    """Identities of which every source may be used."""
-    known = rows.join(sources.select("source", F.col("ingest").isin("ALLOW", "ALLOW_WITH_RIGHTS").alias("_ok")), "source", "left")
+def verified(rows: DataFrame, sources: DataFrame, *by: str, rights: str | None = None) -> DataFrame:
+    """Identities of which every source may be used; one allowed with rights needs the row's rights statement.
+
+    rights names the column of that statement; without it no row has any.
+    """
+    stated = F.coalesce(F.trim(F.col(rights).cast("string")), F.lit("")) != "" if rights else F.lit(False)
+    allowed = (F.col("ingest") == "ALLOW") | ((F.col("ingest") == "ALLOW_WITH_RIGHTS") & stated)
+    known = rows.join(sources.select("source", "ingest"), "source", "left").withColumn("_ok", allowed)
     return known.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(F.coalesce("_ok", F.lit(False))).alias("_all")).where("_all").drop("_all")
 
 
@@ -115,3 +120,11 @@ def ingested(rows: DataFrame, tiers: DataFrame, order: list[Column]) -> DataFram
     best = Window.partitionBy(*key)
     ranked = keyed.withColumns({"_last": F.row_number().over(best.orderBy(*(c.desc() for c in order))), "_first": F.first("record_id").over(best.orderBy(*(c.asc() for c in order)))})
     return ranked.where("_last = 1").withColumn("record_id", F.col("_first")).drop("_key", "_last", "_first")
+
+
+def registered_types(rows: DataFrame) -> DataFrame:
+    """Verified rows as types: one for each type_id, the first by record_id; the year is the first four digits in a row."""
+    year = F.nullif(F.regexp_extract(F.coalesce(F.col("year").cast("string"), F.lit("")), r"[0-9]{4}", 0), F.lit("")).cast("int")
+    kept = rows.where(F.col("status") == "verified").withColumns({"type_id": F.coalesce(F.nullif(F.col("type_id"), F.lit("")), F.concat(F.lit("verified_"), F.col("record_id").cast("string"))), "year": F.nullif(year, F.lit(0))})
+    rest = [c for c in kept.columns if c not in ("type_id", "status")]
+    return kept.groupBy("type_id").agg(F.min_by(F.struct(*rest), "record_id").alias("_first")).select("type_id", "_first.*")

@@ -21,10 +21,13 @@ def identity_key(*columns: Column) -> Column:
 
 
 def invalidate(rows: DataFrame, derived: tuple[str, ...], changed: str = "changed") -> DataFrame:
-    """Derived columns become null and the row stale where fields changed; doing it again changes nothing."""
+    """Derived columns become null and the row stale where fields changed; doing it again changes nothing.
+
+    A row that needs a new analysis already still does.
+    """
     hit = F.size(changed) > 0
     out = rows.withColumns({c: F.when(~hit, F.col(c)) for c in derived})
-    return out.withColumns({"stale": F.col("stale") | hit, "needs_reanalysis": hit})
+    return out.withColumns({"stale": F.col("stale") | hit, "needs_reanalysis": F.coalesce(F.col("needs_reanalysis"), F.lit(False)) | hit if "needs_reanalysis" in rows.columns else hit})
 
 
 def resolution(current: Column, *done: Column) -> Column:
@@ -44,3 +47,30 @@ def reference_accepted(reference: Column, variant: Column, confidence: Column, d
     """
     ok = reference.isNotNull() & ~is_unknown(variant) & (confidence >= 80) & ((diagnostics >= 2) | (features >= 3)) & rarity.rlike("^(R|R[1-8])$")
     return F.coalesce(ok, F.lit(False))
+
+
+def market_refreshed(coins: DataFrame, valuations: DataFrame) -> DataFrame:
+    """Coins that wait for the market after a correction, patched by a valuation made for what they are now.
+
+    coins: coin_id, accepted, needs_reanalysis, identity_key (as it is now), detail_key (that the last detail
+    analysis was made for), market_median, stale; valuations: coin_id, identity_key, n, median, quality.
+    A valuation of an earlier identity changes nothing, nor does one of a coin that is not accepted, does not
+    wait, or whose detail analysis is of another identity. One without sales leaves no median. ``refreshed``
+    says which rows were patched. A coin has one valuation at most for each key.
+    """
+    v = valuations.select("coin_id", "identity_key", F.col("n").alias("_n"), F.col("median").alias("_median"), F.col("quality").alias("_quality"), F.lit(True).alias("_hit"))
+    waits = F.coalesce(F.col("accepted") & F.col("needs_reanalysis") & (F.col("detail_key") == F.col("identity_key")), F.lit(False))
+    rows = coins.join(v, ["coin_id", "identity_key"], "left")
+    hit = waits & F.coalesce("_hit", F.lit(False))
+    patch = {
+        "market_median": F.when(F.col("_n") > 0, F.col("_median")),
+        "valuation_quality": F.coalesce("_quality", F.lit("none")),
+        "auction_records": F.coalesce("_n", F.lit(0)),
+        "market_key": F.col("identity_key"),
+        "needs_reanalysis": F.lit(False),
+        "stale": F.lit(False),
+    }
+    out = rows.withColumn("refreshed", hit)
+    for name, value in patch.items():
+        out = out.withColumn(name, F.when(F.col("refreshed"), value).otherwise(F.col(name) if name in coins.columns else F.lit(None)))
+    return out.drop("_n", "_median", "_quality", "_hit")

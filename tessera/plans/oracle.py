@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import MARKED, PLAIN
-from tessera.plans import intake_sql, records, records_sql
+from tessera.plans import intake_sql, records, records_sql, streams
 
 FACTS = """facts AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT)) AS fact_id,
  l_orderkey AS lot_key, l_partkey AS item_id, 'S' || (l_suppkey % 6) AS source, CASE WHEN l_orderkey % 5 <> 0 THEN 'https://lots.example/' || l_orderkey END AS source_url,
@@ -188,3 +188,4 @@ ORACLE_SQL = {
 }
 ORACLE_SQL |= records_sql.oracle(FACTS, COINS, OBS, records.CLAIMS, records.REIGNS, records.TIERS)
 ORACLE_SQL |= intake_sql.oracle(FACTS, COINS)
+ORACLE_SQL |= streams.oracle(FACTS, ORACLE_SQL)

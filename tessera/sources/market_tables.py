@@ -16,12 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Auction price facts: one row of lineitem each, with its house, lot identity and one price."""
+def facts(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
+    """Auction price facts: one row of lineitem each, with its house, lot identity and one price.
+
+    lineitem can be a stream of such rows in place of the table.
+    """
     nations = F.broadcast(read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))  # 25 rows, a fixed table
     houses = read(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name", "n_regionkey")
     lots = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    rows = read(spark, sf_dir, "lineitem").join(lots, F.col("l_partkey") == F.col("p_partkey")).join(houses, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = (read(spark, sf_dir, "lineitem") if lineitem is None else lineitem).join(lots, F.col("l_partkey") == F.col("p_partkey")).join(houses, F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd'), cast(round(l_extendedprice * 100) as bigint)) AS fact_id",
         "l_orderkey AS lot_key",

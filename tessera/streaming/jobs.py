@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
 
 
 def first_of_job(stream: DataFrame, keys: list[str], time: str = "ts", ttl: str = "10 minutes") -> DataFrame:
@@ -19,7 +16,3 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     out.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
-
-def merge_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Upserts each micro-batch by ``merge``; a batch that is replayed comes with its old number."""
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
