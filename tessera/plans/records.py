@@ -145,7 +145,8 @@ def trust_evidence(spark, sf_dir):
 
 def verified_scan(spark, sf_dir):
     tiers = spark.createDataFrame([("src0", "ALLOW"), ("src1", "ALLOW"), ("src2", "ALLOW_WITH_RIGHTS"), ("src4", "BLOCK")], "source string, ingest string")
-    return knowledge.verified(observations(spark, sf_dir), tiers, "ruler", "nominal", "variant")
+    rows = observations(spark, sf_dir).withColumn("rights", F.when(F.col("observation_id") % 5 != 0, "CC0").otherwise(" "))
+    return knowledge.verified(rows, tiers, "ruler", "nominal", "variant", rights="rights")
 
 
 def source_ingest(spark, sf_dir):

@@ -69,7 +69,7 @@ def oracle(facts: str, coins: str, obs: str, claims: tuple, reigns: tuple, tiers
         "rarity_facets": f"WITH {coins} SELECT CASE WHEN coin_id % 3 = 0 AND catalog_ref IS NOT NULL THEN 'kopicki:' || catalog_ref WHEN coin_id % 2 = 0 THEN 'general:R2' END AS rarity, count(*) AS n FROM coins GROUP BY 1",
         "knowledge_normalise": f"""WITH {obs} SELECT observation_id, upper(source) AS source, ruler || ' x' AS ruler, CASE observation_id % 4 WHEN 0 THEN '1623' WHEN 1 THEN 'ca 1500' ELSE '' END AS year, CASE WHEN observation_id % 3 = 0 THEN 12.5::DOUBLE END AS sale_price FROM obs WHERE observation_id % 6 <> 0 AND ruler IS NOT NULL AND (observation_id % 4 < 2 OR nominal <> '' OR variant <> '')""",
         "trust_evidence": f"""WITH {obs} SELECT observation_id, array_to_string(list_filter([CASE WHEN origin = 'ai' THEN 'ai_result' END, CASE WHEN origin = 'user' THEN 'user_correction' END, CASE WHEN expert THEN 'expert_verification' END, CASE WHEN source IS NULL THEN 'source' ELSE 'source:' || source END, CASE WHEN source IS DISTINCT FROM 'src' || (observation_id % 5) THEN 'source:src' || (observation_id % 5) END], lambda x: x IS NOT NULL), ',') AS evidence FROM obs""",
-        "verified_scan": f"WITH {obs} SELECT ruler, nominal, variant, count(*) AS n FROM obs GROUP BY 1, 2, 3 HAVING bool_and(coalesce(source IN ('src0', 'src1', 'src2'), false))",
+        "verified_scan": f"WITH {obs} SELECT ruler, nominal, variant, count(*) AS n FROM obs GROUP BY 1, 2, 3 HAVING bool_and(coalesce(source IN ('src0', 'src1') OR (source = 'src2' AND observation_id % 5 <> 0), false))",
         "source_ingest": f"""WITH {obs}, tiers(s, tier) AS ({_values(tiers)}), k AS (SELECT observation_id, source, CASE WHEN observation_id % 3 = 0 THEN nominal ELSE '' END AS source_id, 'u' || (observation_id % 17) AS source_url FROM obs JOIN tiers ON source = s AND tier NOT LIKE 'RED%'),
  r AS (SELECT *, row_number() OVER (PARTITION BY source, coalesce(nullif(source_id, ''), source_url) ORDER BY observation_id DESC) AS rn, min(observation_id) OVER (PARTITION BY source, coalesce(nullif(source_id, ''), source_url)) AS record_id FROM k) SELECT record_id, source, source_id, source_url, observation_id FROM r WHERE rn = 1""",
         "fee_rule_upsert": """SELECT 'H' || (l_suppkey % 50) AS house, CAST(l_shipdate AS DATE) AS checked_at, CAST(arg_max(l_partkey % 25 - 2, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS DOUBLE) AS premium_pct FROM lineitem WHERE l_suppkey % 9 <> 0 AND l_shipdate IS NOT NULL AND l_partkey % 25 >= 2 GROUP BY 1, 2""",
