@@ -128,3 +128,15 @@ def registered_types(rows: DataFrame) -> DataFrame:
     kept = rows.where(F.col("status") == "verified").withColumns({"type_id": F.coalesce(F.nullif(F.col("type_id"), F.lit("")), F.concat(F.lit("verified_"), F.col("record_id").cast("string"))), "year": F.nullif(year, F.lit(0))})
     rest = [c for c in kept.columns if c not in ("type_id", "status")]
     return kept.groupBy("type_id").agg(F.min_by(F.struct(*rest), "record_id").alias("_first")).select("type_id", "_first.*")
+
+
+def exported_facts(rows: DataFrame, sources: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """record_id and a JSON document of each row: its fields that have a value, and where it comes from.
+
+    sources: source, mode, license; a source that is not listed has neither.
+    """
+    known = rows.join(sources.select("source", "mode", "license"), "source", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    provenance = F.struct("source", F.col("source_url").alias("url"), "checked_at", "expert", empty("rights").alias("rights"), empty("mode").alias("mode"), empty("license").alias("license"))
+    # to_json leaves nulls out
+    return known.select("record_id", F.to_json(F.struct(*(F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields), provenance.alias("provenance"))).alias("json"))
