@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.selection import percentiles
 from tessera.functions.text import fold_plain, key_of, round_half_up
 
 DAY_MS = 86_400_000
@@ -76,10 +77,11 @@ def band_distance(a: Column, b: Column) -> Column:
 
 
 def statistics(priced: DataFrame, *by: str) -> DataFrame:
-    """count, low (p10), q1, median, q3, high (p90) of price, rounded half up."""
-    p = F.percentile("price", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = priced.groupBy(*by).agg(F.count("price").alias("n"), p.alias("p"))
-    return out.select(*by, "n", *(round_half_up(F.get("p", F.lit(i))).cast("long").alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))))
+    """count, low (p10), q1, median, q3, high (p90) of price, rounded half up; groups without a price have none."""
+    shares = {"low": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 0.9}
+    told = percentiles(priced, list(by), "price", shares).select(*by, "n", *(round_half_up(F.col(c)).cast("long").alias(c) for c in shares))
+    empty = priced.groupBy(*by).agg(F.count("price").alias("n")).where("n = 0")
+    return told.unionByName(empty.select(*by, "n", *(F.lit(None).cast("long").alias(c) for c in shares)))
 
 
 def dominant_basis(priced: DataFrame, *by: str, least: int = 3) -> DataFrame:

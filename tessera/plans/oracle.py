@@ -72,8 +72,8 @@ def appraised_sql(base: str, value: str = "price", facts: str | None = None, mor
  SELECT *, quality IN ('strong', 'usable') AND n > 0 AS can_estimate{extra} FROM r"""
 
 
-PRINTS = """feat AS (SELECT unnest(['punctuationPattern', 'dateSpacing', 'datePosition', 'legendStartClock', 'legendEndClock', 'portraitOrientation', 'crownShape', 'shieldPosition', 'mintMarkPosition', 'eagleTail', 'wingPattern', 'featherPattern']) AS feature,
- unnest([1.4, 1.3, 1.0, 0.8, 0.8, 0.7, 1.0, 0.8, 1.2, 1.3, 1.3, 1.4])::DOUBLE AS w, unnest(range(1, 13)) AS k),
+PRINTS = """feat AS (SELECT unnest(['punctuationPattern', 'dateSpacing', 'datePosition', 'legendStartClock', 'legendEndClock', 'portraitOrientation', 'crownShape', 'shieldPosition', 'mintMarkPosition', 'eagleTail', 'wingPattern', 'featherPattern', 'letterForms', 'digitForms', 'monogramShape', 'edgeFeature'] || list_transform(range(17, 65), lambda k: 'component' || k)) AS feature,
+ unnest([1.4, 1.3, 1.0, 0.8, 0.8, 0.7, 1.0, 0.8, 1.2, 1.3, 1.3, 1.4, 1.1, 1.1, 1.0, 0.7] || list_transform(range(17, 65), lambda k: 0.6))::DOUBLE AS w, unnest(range(1, 65)) AS k),
  prints AS (SELECT vec_id AS print_id, CAST(label AS BIGINT) AS identity, feature, w, round(CAST(embedding[k] AS DOUBLE) * 20, 0) + 0.0 AS value, CAST(60 + vec_id % 41 AS DOUBLE) AS confidence FROM embeddings, feat),
  cmp AS (SELECT a.print_id AS a_print_id, b.print_id AS b_print_id, round(sum(s * a.w * sqrt(a.confidence / 100 * b.confidence / 100)) / sum(a.w * sqrt(a.confidence / 100 * b.confidence / 100)) * 100, 4) AS score,
  count(*) AS matched, count(*) FILTER (s < 0.25 AND a.w >= 1) AS conflicts FROM prints a JOIN prints b ON a.identity = b.identity AND a.feature = b.feature AND a.print_id <> b.print_id,

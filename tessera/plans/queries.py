@@ -269,16 +269,20 @@ def hard_negatives(spark, sf_dir):
     return out.select("wrong", "right", "n", "trust_rank", "last_seen", knowledge.learned_boost(F.col("n"), F.col("trust_rank")).alias("boost"), knowledge.learned_penalty(F.col("n")).alias("penalty"))
 
 
+#: Components of a vector as features: the first ones by name.
+PRINT_FEATURES = [*fingerprint.WEIGHTS, *(f"component{k}" for k in range(len(fingerprint.WEIGHTS) + 1, 65))]
+
+
 def _prints(spark, sf_dir):
-    """Twelve named features of each vector; its label is the identity."""
-    names = F.array(*map(F.lit, list(fingerprint.WEIGHTS)[:12]))
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("print_id"), F.col("label").cast("long").alias("identity"), F.posexplode(F.slice("embedding", 1, 12)).alias("k", "v"))
+    """All components of each vector as features; its label is the identity."""
+    names = F.array(*map(F.lit, PRINT_FEATURES))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("print_id"), F.col("label").cast("long").alias("identity"), F.posexplode("embedding").alias("k", "v"))
     return rows.select("print_id", "identity", F.get(names, F.col("k")).alias("feature"), F.round(F.col("v").cast("double") * 20, 0).alias("value"), (60.0 + F.col("print_id") % 41).alias("confidence"))
 
 
 def fingerprint_similarity(spark, sf_dir):
     prints = _prints(spark, sf_dir)
-    return fingerprint.compare(prints, prints, ["identity"])
+    return fingerprint.compare(prints, prints, ["identity"], PRINT_FEATURES)
 
 
 def fingerprint_topk(spark, sf_dir):

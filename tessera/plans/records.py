@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import albums, collection, community, extract, identity, ingest, knowledge
+from tessera.operators import albums, collection, community, extract, identity, ingest, knowledge, selection
 from tessera.sources.market_tables import coins, facts, observations, read
 
 CLAIMS = (
@@ -175,9 +175,7 @@ def collection_pages(spark, sf_dir):
 
 def upper_median(spark, sf_dir):
     """The upper of the two middle prices, without a mean."""
-    own = Window.partitionBy("nominal")
-    ranked = facts(spark, sf_dir).select("nominal", F.col("amount").alias("price"), F.row_number().over(own.orderBy("amount", "fact_id")).alias("r"), F.count("*").over(own).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("nominal", "price")
+    return selection.upper_middle(facts(spark, sf_dir).select("nominal", F.col("amount").alias("price")), ["nominal"], "price")
 
 
 def source_summary(spark, sf_dir):
