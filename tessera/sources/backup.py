@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSIONS = range(1, 9)  # fixed values: versions that are read; the last one is written
+#: Parts of the core state that are lists.
 STATE_LISTS = ("coins", "albums", "watchlist", "events", "history")
 
 
