@@ -31,6 +31,7 @@ from tessera.llm.common import col, drop_stash, giving_back, stash, table, witho
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 SAMPLE_EVERY = 8
+HELD_ITEMS = 1 << 16  # names of items that rows hold before they are handed on
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -38,7 +39,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """A block of test phrases: the vocabulary, the windows by length, and the items of each window."""
+    """A block of test phrases: the vocabulary, the windows by length, and the owner set of each window.
+
+    An owner set is all items that have the window; equal sets of several windows are one.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.names = sorted({name for name, _ in items})
@@ -50,12 +54,13 @@ class Phrases:
             size = min(window, len(codes))
             for i in range(len(codes) - size + 1) if size else ():
                 owners.setdefault(tuple(codes[i : i + size]), set()).add(number[name])
-        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        sets: dict[tuple[int, ...], int] = {}
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
         for size in sorted({len(w) for w in owners}):
-            own = [(w, sorted(o)) for w, o in owners.items() if len(w) == size]
-            starts = np.cumsum([0] + [len(o) for _, o in own])
-            self.by_length.append((np.array([w for w, _ in own], np.int64), starts, np.array([x for _, o in own for x in o], np.int64)))
-        self.shortest = min((w.shape[1] for w, _, _ in self.by_length), default=0)
+            own = [(w, sets.setdefault(tuple(sorted(o)), len(sets))) for w, o in owners.items() if len(w) == size]
+            self.by_length.append((np.array([w for w, _ in own], np.int64), np.array([o for _, o in own], np.int64)))
+        self.owners = [[self.names[i] for i in o] for o in sets]
+        self.shortest = min((w.shape[1] for w, _ in self.by_length), default=0)
 
 
 class FMIndex:
@@ -170,7 +175,7 @@ class Shard:
         self.sizes.append(base + len(words))
 
     def occurrences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word positions (documents in a row), lengths and item numbers of all occurrences."""
+        """Word positions (documents in a row), lengths and owner sets of all occurrences."""
         nothing = np.zeros(0, np.int64)
         if not self.codes:
             return nothing, nothing, nothing
@@ -178,17 +183,14 @@ class Shard:
         index = FMIndex(text, len(self.phrases.vocab) + 1)
         run_at = np.concatenate([[0], np.cumsum(runs[1])[:-1]])
         out = []
-        for windows, owner_at, owners in self.phrases.by_length:
+        for windows, owners in self.phrases.by_length:
             hit, low, high = index.search(windows)
             n = high - low
             rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else nothing
             at = index.locate(rows)
             run = np.searchsorted(run_at, at, "right") - 1
             at = runs[0][run] + at - run_at[run]
-            window = np.repeat(hit, n)
-            many = owner_at[window + 1] - owner_at[window]
-            item = owners[np.repeat(owner_at[window] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())] if len(many) else nothing
-            out.append((np.repeat(at, many), np.full(len(item), windows.shape[1]), item))
+            out.append((at, np.full(len(at), windows.shape[1]), np.repeat(owners[hit], n)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -197,10 +199,11 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2], edge[1::2], strict=True))
 
 
-def _judge(texts: list[str | None], phrases: Phrases, hits: list | None, known: list | None) -> list[tuple[int, np.ndarray, list[str]]]:
-    """(n_words, mask of the words hit, items) of each document of one shard.
+def _judge(texts: list[str | None], phrases: Phrases, hits: list | None, known: list | None) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """(n_words, mask of the words hit, items) of each document of one shard, in turn.
 
-    hits and known are word ranges and items of earlier blocks.
+    hits and known are word ranges and items of earlier blocks. Occurrences are reduced to owner
+    sets of documents before any item is looked up, so a phrase that many items share costs no more.
     """
     shard = Shard(phrases)
     for text in texts:
@@ -208,18 +211,20 @@ def _judge(texts: list[str | None], phrases: Phrases, hits: list | None, known:
     ends = np.array(shard.sizes, np.int64)
     upto = np.concatenate([[0], ends])
     total = int(upto[-1])
-    at, size, item = shard.occurrences()
+    at, size, owner = shard.occurrences()
     cover = np.bincount(at, minlength=total + 1) - np.bincount(at + size, minlength=total + 1)
     hit = np.cumsum(cover)[:total] > 0
-    items = [set(k or ()) for k in known] if known else [set() for _ in texts]
-    if len(at):
-        doc = np.searchsorted(ends, at, "right")
-        for d, i in np.unique(np.stack([doc, item], axis=1), axis=0).tolist():
-            items[d].add(phrases.names[i])
+    met = np.unique(np.searchsorted(ends, at, "right") * len(phrases.owners) + owner) if len(at) else at
+    doc, owner = np.divmod(met, max(1, len(phrases.owners)))
+    of = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
     for d, own in enumerate(hits or ()):
         for r in own or ():
             hit[upto[d] + r["start"] : upto[d] + r["end"]] = True
-    return [(int(upto[d + 1] - upto[d]), hit[upto[d] : upto[d + 1]], sorted(items[d])) for d in range(len(texts))]
+    for d in range(len(texts)):
+        items = set(known[d] or ()) if known else set()
+        for o in owner[of[d] : of[d + 1]].tolist():
+            items.update(phrases.owners[o])
+        yield int(upto[d + 1] - upto[d]), hit[upto[d] : upto[d + 1]], sorted(items)
 
 
 def _found(text: str | None, judged: tuple[int, np.ndarray, list[str]], clean: bool) -> tuple:
@@ -312,13 +317,16 @@ def _pass(sent, text_col: str, kept: list[str], adds: dict, before: bool, last:
                     part = batch.slice(start, i - start)
                     texts = part.column(text_col).to_pylist()
                     hits, known = (part.column(c).to_pylist() if before else None for c in ("_hits", "_items"))
-                    judged = _judge(texts, sent.value, hits, known)
-                    if last:
-                        rows = [_found(t, j, clean) for t, j in zip(texts, judged, strict=True)]
-                    else:
-                        rows = [([{"start": a, "end": b} for a, b in _ranges(mask)], items) for _, mask, items in judged]
-                    arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(adds.values())]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *adds])
+                    judged = zip(texts, _judge(texts, sent.value, hits, known), strict=True)
+                    done, rows, held = 0, [], 0
+                    for d, (text, (n_words, mask, items)) in enumerate(judged, 1):
+                        rows.append(_found(text, (n_words, mask, items), clean) if last else ([{"start": a, "end": b} for a, b in _ranges(mask)], items))
+                        held += len(items)
+                        if held > HELD_ITEMS or d == len(texts):
+                            arrays = [pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(adds.values())]
+                            some = part.slice(done, d - done)
+                            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), *arrays], names=[*kept, *adds])
+                            done, rows, held = d, [], 0
                     start, size = i, 0
                 size += n or 0
 

@@ -6,8 +6,13 @@ a switching penalty then labels the words, so single odd words do not break a sp
 passage in another language does.
 
 Counting is a sum over all labelled texts: every task counts its own into ``BUCKETS`` hashed n-grams
-per language, and one aggregation adds them up. The model has ``BUCKETS`` numbers per language
-(256 kB), whatever the number of texts; that is what the driver gets and broadcasts.
+per language, one aggregation adds them up, and a task for each language turns them into
+log-probabilities. The model has ``BUCKETS`` numbers per language (256 kB), whatever the number of
+texts; that is what the driver gets and broadcasts.
+
+A text longer than a slice is read in stretches. Viterbi goes over them forwards, keeps its values at
+the start of each, and then backwards, decoding one stretch again at a time, so what is held does not
+grow with the text.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from tessera.llm.common import col, give_back, giving_back, slices, table, witho
 BUCKETS = 1 << 16
 HELD_LANGS = 64  # whose counts a task holds before it hands them on
 SLICE = 1 << 21  # bytes of text that are coded at a time
+STRETCH = 1 << 19  # bytes of a longer text that are coded at a time
+FEW = 8  # languages; with more, slices and stretches get smaller in proportion
 UND = "und"
 #: Beyond ASCII, all but letters and their marks parts words: quotes, dashes, digits, symbols, emoji.
 _SYMBOLS = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
@@ -71,6 +78,28 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+def room(size: int, langs: int) -> int:
+    return max(1 << 12, size * FEW // max(FEW, langs))
+
+
+def stretches(text: pa.Buffer, size: int = STRETCH) -> list[tuple[int, int]]:
+    """Byte ranges of a text, cut before a space or line end; a longer run without one is cut between code points."""
+    data, cuts = memoryview(text), [0]
+    while len(data) - cuts[-1] > size:
+        own = bytes(data[cuts[-1] : cuts[-1] + size])
+        cut = max(own.rfind(b" "), own.rfind(b"\n"))
+        if cut <= 0:
+            cut = size
+            while data[cuts[-1] + cut] & 0xC0 == 0x80:
+                cut -= 1
+        cuts.append(cuts[-1] + cut)
+    return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
+
+
+def stretch_at(text: pa.Buffer, at: tuple[int, int]) -> str:
+    return bytes(memoryview(text)[at[0] : at[1]]).decode("utf-8", "replace")
+
+
 class Words:
     """The words of a batch of texts: distinct ones, and which of them each text has in order."""
 
@@ -141,9 +170,15 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used].astype(np.int64))], names=["lang", "bucket", "n"])
             counts.clear()
 
-        for batch in slices(batches, size=SLICE):
-            langs = batch.column(0).to_pylist()
-            words = Words(batch.column(1).to_pylist())
+        def coded() -> Iterator[tuple[list[str], Words]]:
+            for batch in slices(batches, size=SLICE):
+                langs, first = batch.column(0).to_pylist(), batch.column(1)[0].as_buffer()
+                if len(first) > SLICE:  # a slice of its own
+                    yield from ((langs, Words([stretch_at(first, at)])) for at in stretches(first))
+                else:
+                    yield langs, Words(batch.column(1).to_pylist())
+
+        for langs, words in coded():
             names = sorted(set(langs))
             lang_of = np.repeat(np.array([names.index(x) for x in langs], np.int64), np.diff(words.offsets))
             times = np.bincount(words.ids * len(names) + lang_of, minlength=len(words.distinct) * len(names)).reshape(-1, len(names)).astype(np.float64)
@@ -162,17 +197,26 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(giving_back(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _pack(counts: pa.Table) -> pa.Table:
+    """One language: log-probabilities of its buckets, and its letters by script."""
+    n = np.zeros(BUCKETS + len(_SCRIPT_NAMES))
+    n[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    grams = n[:BUCKETS]
+    log_p = (np.log(grams + 0.5) - np.log(grams.sum() + 0.5 * BUCKETS)).astype(np.float32)
+    return pa.table({"lang": counts["lang"][:1], "log_p": pa.array([log_p.tobytes()], pa.binary()), "scripts": pa.array([n[BUCKETS:]])})
+
+
 class Model:
     """Log-probabilities of n-gram buckets by language, and the languages of each script."""
 
-    def __init__(self, counts: pa.Table):
-        lang = counts["lang"].to_pylist()
-        self.langs = sorted(set(lang), key=lambda s: s.encode())
-        number = {x: i for i, x in enumerate(self.langs)}
-        n = np.zeros((BUCKETS + len(_SCRIPT_NAMES), len(self.langs)))
-        n[counts["bucket"].to_numpy(), [number[x] for x in lang]] = counts["n"].to_numpy()
-        grams, scripts = n[:BUCKETS], n[BUCKETS:]
-        self.log_p = (np.log(grams + 0.5) - np.log(grams.sum(0) + 0.5 * BUCKETS)).astype(np.float32)
+    def __init__(self, packed: pa.Table):
+        rows = sorted(zip(packed["lang"].to_pylist(), packed["log_p"], packed["scripts"], strict=True), key=lambda r: r[0].encode())
+        self.langs = [r[0] for r in rows]
+        self.log_p = np.empty((BUCKETS, len(rows)), np.float32)
+        scripts = np.zeros((len(_SCRIPT_NAMES), len(rows)))
+        for k, (_, log_p, letters) in enumerate(rows):
+            self.log_p[:, k] = np.frombuffer(log_p.as_buffer(), np.float32)
+            scripts[:, k] = letters.as_py()
         self.written = scripts >= 0.01 * np.maximum(scripts.sum(0), 1.0)  # script x language
         self.written[~self.written.any(1)] = True  # a script never seen leaves all
 
@@ -294,17 +338,99 @@ def _predict(texts: list[str | None], model: Model, penalty: float, spans: bool)
     return out
 
 
+def _steps(value: np.ndarray | None, scores: np.ndarray, penalty: float, back: np.ndarray | None = None) -> np.ndarray | None:
+    """Viterbi's values after the words of scores, from those before them (None: a text begins)."""
+    for t, own in enumerate(scores):
+        if value is None:
+            value = own.astype(np.float64)
+            continue
+        best = value.argmax()
+        switch = value[best] - penalty
+        if back is not None:
+            back[t] = np.where(value >= switch, back[t], best)
+        value = np.maximum(value, switch) + own
+    return value
+
+
+def _predict_long(text: pa.Buffer, model: Model, penalty: float, spans: bool) -> tuple:
+    """_predict() of one text, a stretch at a time.
+
+    The first pass settles texts in which no switch pays, as label_words() does, if their first
+    stretch is in their language. Otherwise the values at the start of each stretch are kept, and
+    stretches are decoded from the last to the first.
+    """
+    n_langs = len(model.langs)
+    if not n_langs:
+        return UND, 0.0, []
+    parts = stretches(text, room(STRETCH, n_langs))
+
+    def coded(at: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, str]:
+        plain = stretch_at(text, at)
+        words = Words([plain])
+        size = np.array([len(w) for w in words.distinct] or [0])
+        return model.word_scores(words)[words.ids], size[words.ids], plain
+
+    total, upto, least, gain = np.zeros(n_langs), np.zeros(n_langs), np.zeros(n_langs), 0.0
+    guess, letter, n_words, n_letters, sure = None, False, 0, 0, 0.0
+    for at in parts:
+        own, letters, plain = coded(at)
+        letter = letter or has_letter(plain)
+        if not len(own):
+            continue
+        total += own.sum(0, dtype=np.float64)
+        guess = int(total.argmax()) if guess is None else guess
+        run = upto + np.cumsum(own - own[:, guess : guess + 1], axis=0, dtype=np.float64)
+        before = np.minimum.accumulate(np.concatenate([np.minimum(least, upto)[None], run]), axis=0)
+        gain = max(gain, float((run - before[:-1]).max()))
+        upto, least = run[-1], before[-1]
+        n_words += len(own)
+        n_letters += int(letters.sum())
+        sure += float((letters * np.exp(own[:, guess].astype(np.float64))).sum())
+    if not letter or not n_words:
+        return UND, 0.0, []
+    if gain < penalty / 2 and int(total.argmax()) == guess:
+        return model.langs[guess], min(1.0, sure / max(n_letters, 1)), [{"lang": model.langs[guess], "first": 0, "last": n_words - 1}] if spans else []
+
+    starts, value = [], None
+    for at in parts:
+        starts.append(value)
+        value = _steps(value, coded(at)[0], penalty)
+    now, end = int(value.argmax()), n_words
+    share, certain, found = np.zeros(n_langs), np.zeros(n_langs), []
+    for at, value in zip(reversed(parts), reversed(starts), strict=True):
+        own, letters, _ = coded(at)
+        back = np.tile(np.arange(n_langs, dtype=np.int16), (len(own), 1))
+        _steps(value, own, penalty, back)
+        labels = np.empty(len(own), np.int64)
+        for t in range(len(own) - 1, -1, -1):
+            labels[t] = now
+            now = int(back[t, now])
+        share += np.bincount(labels, letters, n_langs)
+        certain += np.bincount(labels, letters * np.exp(own[np.arange(len(own)), labels].astype(np.float64)), n_langs)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(labels)) + 1, [len(labels)]]).tolist() if spans and len(own) else [0]
+        for x, y in zip(edge[-2::-1], edge[:0:-1], strict=True):
+            lang, first, last = model.langs[labels[x]], end - len(own) + x, end - len(own) + y - 1
+            if found and found[-1]["lang"] == lang:
+                found[-1]["first"] = first
+            else:
+                found.append({"lang": lang, "first": first, "last": last})
+        end -= len(own)
+    best = int(share.argmax())
+    return model.langs[best], min(1.0, float(certain[best] / max(share.sum(), 1))), found[::-1]
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Count all rows with a text and a language."""
     rows = labelled.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    return Model(count_ngrams(rows).toArrow())
+    packed = count_ngrams(rows).groupBy("lang").applyInArrow(_pack, "lang string, log_p binary, scripts array<double>")
+    return Model(packed.toArrow())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 8.0, spans: bool = True) -> DataFrame:
     """Every row of docs with lang_pred, score and spans (language, first and last word).
 
     lang_pred has the most letters; score is the mean posterior of its words, weighted by letters,
-    over all letters of the text. A null text, or one without a letter, is ``und`` with score 0; so
+    over all letters of the text, however long it is. A null text, or one without a letter, is ``und`` with score 0; so
     is every text if nothing was learned. Equal texts get equal results; added names replace columns.
     """
     rest = without(docs, ADDS)
@@ -314,7 +440,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for batch in texts:
-                rows = [r for part in slices(iter([pa.RecordBatch.from_arrays([batch], ["t"])]), 1000, SLICE) for r in _predict(part.column(0).to_pylist(), sent.value, penalty, spans)]
+                rows = []
+                for part in slices(iter([pa.RecordBatch.from_arrays([batch], ["t"])]), 1000, room(SLICE, len(sent.value.langs))):
+                    first = part.column(0)[0].as_buffer()
+                    if first is not None and len(first) > SLICE:  # a slice of its own
+                        rows.append(_predict_long(first, sent.value, penalty, spans))
+                    else:
+                        rows += _predict(part.column(0).to_pylist(), sent.value, penalty, spans)
                 yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], v[1]) for k, v in enumerate(ADDS.values())], names=list(ADDS))
         finally:
             give_back()

@@ -16,6 +16,9 @@ before: the window from it on lies in the run, or the one up to it does, or else
 side are too few and the window from the run's first line on reaches over it. Any window inside the
 run occurred before as well, wherever its first occurrence is, and selected the same line there.
 
+A row's place is its id, then its text, then, where rows share both, a number that is given once and
+written down; so a copy is a copy whatever its id, and one of them stays.
+
 Hot lines are not gathered: counts are combined where the rows are, a fingerprint's rows meet its
 count in several places, and later windows are joined to the first occurrence alone.
 """
@@ -36,7 +39,8 @@ from tessera.llm.common import col, drop_stash, id_number, slices, stash, table,
 _B = np.uint64(0x9E3779B97F4A7C15)  # any odd number: powers of it have inverses modulo 2^64
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SALTS = 8
-POSITION = "_id long, _th long, fp long, at int, windows array<struct<start:int,stop:int,win:bigint>>"
+KEY = ["_id", "_th", "_row"]
+POSITION = "_id long, _th long, _row long, fp long, at int, windows array<struct<start:int,stop:int,win:bigint>>"
 _WINDOW = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("win", pa.int64())])
 
 
@@ -88,8 +92,8 @@ def windows(texts: list[str], min_words: int) -> dict[str, np.ndarray]:
 def _emit(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            w = windows(batch.column(2).to_pylist(), min_words)
-            ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            w = windows(batch.column(3).to_pylist(), min_words)
+            keys = [batch.column(k).to_numpy() for k in range(3)]
             begin = np.concatenate([[0], np.cumsum(w["count"])])
             by = np.argsort(w["at"], kind="stable")
             at = w["at"][by]
@@ -97,25 +101,25 @@ def _emit(min_words: int):
             doc, base = w["doc"][by], begin[w["doc"][by]]
             parts = [pa.array((w["first"][by] - base).astype(np.int32)), pa.array((w["stop"][by] - base).astype(np.int32)), pa.array(w["win"][by].view(np.int64))]
             around = pa.ListArray.from_arrays(pa.array(np.append(own, len(at)).astype(np.int32)), pa.StructArray.from_arrays(parts, fields=list(_WINDOW)))
-            columns = [pa.array(ids[doc[own]]), pa.array(th[doc[own]]), pa.array(w["fp"][by][own].view(np.int64)), pa.array((at[own] - base[own]).astype(np.int32)), around]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "fp", "at", "windows"])
+            columns = [*(pa.array(key[doc[own]]) for key in keys), pa.array(w["fp"][by][own].view(np.int64)), pa.array((at[own] - base[own]).astype(np.int32)), around]
+            yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "fp", "at", "windows"])
 
     return run
 
 
 def repeated_runs(keyed: DataFrame, min_words: int) -> DataFrame:
-    """(_id, _th, runs): for each text with repeated runs, the first and last (exclusive) lines of each."""
-    rows = stash(keyed.where("_text IS NOT NULL").select("_id", "_th", "_text").mapInArrow(_emit(min_words), POSITION), "line-positions")
+    """(_id, _th, _row, runs): for each text with repeated runs, the first and last (exclusive) lines of each."""
+    rows = stash(keyed.where("_text IS NOT NULL").select(*KEY, "_text").mapInArrow(_emit(min_words), POSITION), "line-positions")
     shared = rows.groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("_id", "_th", "at"), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64(*KEY, "at"), F.lit(SALTS)).cast("int")
     met = rows.withColumn("_salt", salt).join(shared.hint("merge"), ["fp", "_salt"])
-    met = stash(met.select("_id", "_th", "fp", F.inline("windows")), "line-windows")
-    here = F.struct("_id", "_th", "start")
+    met = stash(met.select(*KEY, "fp", F.inline("windows")), "line-windows")
+    here = F.struct(*KEY, "start")
     first = met.groupBy("fp", "win").agg(F.min(here).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = stash(first, "line-first")
     later = met.join(first, ["fp", "win"]).where(here != F.col("_first"))
-    runs = stash(later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")), "line-runs")
+    runs = stash(later.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("runs")), "line-runs")
     for used in (rows, met, first):
         drop_stash(used)
     return runs
@@ -147,17 +151,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A run of lines of min_words words or more that occurred before is removed; before is by id, then
     by a hash of the text, then by line, so the first occurrence stays. Runs of fewer words, such as
     a short line that many texts share, stay. A null text has no lines and stays null; an empty one
-    is one empty line. A null id comes first. Rows of equal id and text stand at the same place and
-    do not count as repeats of each other. Added names replace columns of docs.
+    is one empty line. A null id comes first, an id that is no number stands where its hash does. Of
+    rows of equal id and text any one is first, and the others repeat it. Added names replace
+    columns of docs.
     """
     added = ["n_lines", "n_removed", "removed", "kept_text"]
-    rest = without(docs, [*added, "_id", "_th", "_text", "_cut", "runs"])
+    rest = without(docs, [*added, *KEY, "_text", "_cut", "runs"])
     text = col(text_col).cast("string")
     keyed = rest.withColumns({"_id": id_number(id_col), "_th": F.xxhash64(text), "_text": text})
+    if keyed.where("_text IS NOT NULL").groupBy("_id", "_th").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        keyed = keyed.withColumn("_row", F.lit(0).cast("long"))
+    else:  # numbered once, as another reading might number rows otherwise
+        keyed = stash(keyed.withColumn("_row", F.monotonically_increasing_id()), "line-numbered")
     cut = F.pandas_udf(_cut, "n_lines long, n_removed long, removed string, kept_text string")
     # by key at every size: whether the runs would fit a broadcast says nothing of larger inputs
     runs = repeated_runs(keyed, min_words).hint("merge")
-    out = keyed.join(runs, ["_id", "_th"], "left").withColumn("_cut", cut("_text", "runs"))
+    out = keyed.join(runs, KEY, "left").withColumn("_cut", cut("_text", "runs"))
     return out.select(*[col(c) for c in rest.columns], *[F.col(f"_cut.{c}").alias(c) for c in added])
 
 

@@ -246,7 +246,7 @@ def test_shards_against_plain_loops(spark):
 
 def test_overfull_ranges_are_subdivided(spark):
     """A third of all rows have no text, and long texts draw nearly all of the first sample."""
-    rows = spark.range(30_000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id")).alias("_h"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).cast("long").alias("_size"))
+    rows = spark.range(30_000).select(F.col("id").alias("_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id")).alias("_h"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).cast("long").alias("_size"), F.lit(0).cast("long").alias("_row"))
     total = rows.agg(F.sum(F.col("_size") + sharding.ROW)).first()[0]
     for seed in range(3):
         _, sums = sharding.divide(rows, total, seed, room=total // 64)
