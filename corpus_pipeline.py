@@ -66,6 +66,9 @@ STAGES = [
     ("sharding", sharding),
 ]
 
+#: Bytes of a row group, which each writing task holds: with the default of 128 MB, a stage's writers take most of a small heap.
+ROW_GROUP = 16 << 20
+
 #: Language models, signature trees and seeded samples have no counterpart in SQL.
 ORACLE_SQL = None
 
@@ -73,5 +76,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}", **{"parquet.block.size": str(ROW_GROUP)})
     return STAGES[-1][1](spark, docs, sf_dir)
