@@ -5,9 +5,12 @@ queries are scaled to norm M and get a zero. Euclidean distance then orders cand
 product does, so the triangle inequality holds and vantage points can prune. A shard has a tree for
 each band of norms, as bounds get loose where M is far above the norms; all are searched as one.
 
-A leaf is left out once the upper bound of its inner products is below the (k / factor)-th best so
-far. What is lost then has that many better candidates, so of each k results at least k / factor are
-right, whatever the vectors are. Factor one leaves out only what cannot be among the best.
+Every node's vantage point keeps its least and largest distance to every leaf of its tree, not only to
+those below it, so that a leaf is bounded by all vantage points at once. Leaves are visited best first;
+one is left out once ``factor`` times its bound exceeds the distance of the k-th best so far. Factor one
+leaves out only what cannot be among the best; larger ones leave out more and may lose some. How much
+there is to leave out depends on the vectors: much in groups or on few dimensions, next to nothing for
+directions drawn evenly from many.
 
 Vectors are compared with those of their own length. Shards are by hash of the id, so equal vectors
 spread; inside a shard equal vectors are one entry with their smallest ids, of which no more than
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, col, drop_stash, quoted, stash, table
 
-LEAF = 64
-TOGETHER = 256
+LEAF = 32
+SPREAD = 8  # vectors of a node that are tried as its vantage point
+TOGETHER = 1024
 BANDS = 4  # of norms, for each factor of two
-ROUNDING = 1e-7
+ROUNDING = 1e-6  # of squared distances at largest norm one
 TIE = 1e-11  # more than products of one pair can differ by, at norms of one
 
 
@@ -45,94 +50,115 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where("forall(_v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(_v, x -> x <> 0)")
 
 
+def distance(products: np.ndarray) -> np.ndarray:
+    """Between vectors of norm one, by their inner products."""
+    return np.sqrt(np.maximum(2 - 2 * products, 0.0))
+
+
 def norms(vectors: np.ndarray) -> np.ndarray:
     most = np.abs(vectors).max(1)
     return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(1))
 
 
+class Band(NamedTuple):
+    """The tree of one band of norms: its vantage points at largest norm one, and their distances to its leaves."""
+
+    most: float
+    first: int
+    end: int
+    vantage: np.ndarray
+    near: np.ndarray  # (vantage point, leaf)
+    far: np.ndarray
+
+
 class VPTree:
-    """Distinct vectors in leaf order, a tree for each band of norms; nodes hold a vantage point and the distance ranges of both halves."""
+    """Distinct vectors in leaf order, in a tree for each band of norms."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 0):
-        self.v = vectors
         norm = norms(vectors)
         band = np.floor(BANDS * np.log2(norm) + 0.5)
         self.order = np.lexsort((-norm, -band))
         self.leaves: list[tuple[int, int]] = []
-        self.most: list[float] = []  # largest norm of each leaf's tree
-        self.nodes: list[tuple[int, float, int, int, int, float, float, float, float]] = []  # vantage, largest norm, first leaf, split leaf, end leaf, ranges
+        self.bands: list[Band] = []
         rng = np.random.default_rng(seed)
         edges = np.concatenate([[0], np.flatnonzero(np.diff(band[self.order])) + 1, [len(vectors)]])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            most = norm[self.order[a]]
-            self._split(a, b, most, rng)
-            self.most += [most] * (len(self.leaves) - len(self.most))
-        self.v = self.v[self.order]
-
-    def _split(self, a: int, b: int, most: float, rng: np.random.Generator) -> None:
+            most, first = norm[self.order[a]], len(self.leaves)
+            own = self.order[a:b].copy()
+            v = vectors[own] / most
+            v = np.column_stack([v, np.sqrt(np.maximum(1 - (v**2).sum(1), 0.0))])
+            place, points = np.arange(b - a), []
+            self._split(v, place, 0, b - a, a, points, rng)
+            self.order[a:b] = own[place]
+            vantage = v[points]
+            starts = [x - a for x, _ in self.leaves[first:]]
+            away = distance(vantage @ v[place].T)
+            self.bands.append(Band(most, first, len(self.leaves), vantage, np.minimum.reduceat(away, starts, axis=1), np.maximum.reduceat(away, starts, axis=1)))
+        self.v = vectors[self.order]
+
+    def _split(self, v: np.ndarray, place: np.ndarray, a: int, b: int, offset: int, points: list[int], rng: np.random.Generator) -> None:
+        """Halves place[a:b] by distance from the vantage point whose distances are spread most."""
         if b - a <= LEAF:
-            self.leaves.append((a, b))
+            self.leaves.append((a + offset, b + offset))
             return
-        own = self.order[a:b]
-        v = self.v[own] / most
-        extra = np.sqrt(np.maximum(1 - (v**2).sum(1), 0.0))
-        at = rng.integers(len(own))
-        far = np.sqrt(np.maximum(2 - 2 * (v @ v[at] + extra * extra[at]), 0.0))
-        vantage = own[at]
-        by = np.argsort(far, kind="stable")
+        own = place[a:b].copy()
+        tried = own[rng.integers(len(own), size=SPREAD)]
+        away = distance(v[own] @ v[tried].T)
+        best = away.var(0).argmax()
+        points.append(tried[best])
+        place[a:b] = own[np.argsort(away[:, best], kind="stable")]
         half = (b - a) // 2
-        self.order[a:b] = own[by]
-        far = far[by]
-        first, place = len(self.leaves), len(self.nodes)
-        self.nodes.append(None)
-        self._split(a, a + half, most, rng)
-        middle = len(self.leaves)
-        self._split(a + half, b, most, rng)
-        self.nodes[place] = (vantage, most, first, middle, len(self.leaves), far[0], far[half - 1], far[half], far[-1])
-
-    def search(self, queries: np.ndarray, take: int, sure: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row in leaf order) of the best ``take`` found and of all found that tie with the last of them.
-
-        The best ``sure`` are exact. Queries have norm one.
+        self._split(v, place, a, a + half, offset, points, rng)
+        self._split(v, place, a + half, b, offset, points, rng)
+
+    def bounds(self, queries: np.ndarray, factor: float) -> np.ndarray:
+        """(query, leaf): what inner products in the leaf are not above, with distances stretched by the factor."""
+        high = np.empty((len(queries), len(self.leaves)))
+        for band in self.bands:
+            low = np.zeros((len(queries), band.end - band.first))
+            for to, near, far in zip(distance(band.vantage[:, :-1] @ queries.T), band.near, band.far, strict=True):
+                np.maximum(low, near - to[:, None], out=low)
+                np.maximum(low, to[:, None] - far, out=low)
+            high[:, band.first : band.end] = (1 - (factor * low) ** 2 / 2 + ROUNDING) * band.most
+        return high
+
+    def search(self, queries: np.ndarray, take: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(query, row in leaf order) of the best ``take`` found and of all found that tie with the last of them; pairs compared.
+
+        Queries have norm one.
         """
         nq = len(queries)
-        most = np.array(self.most)
-        low = np.zeros((nq, len(self.leaves)))  # distances at largest norm one
-        if self.nodes:
-            place = np.empty(len(self.order), np.int64)
-            place[self.order] = np.arange(len(self.order))
-            to = queries @ (self.v[place[[n[0] for n in self.nodes]]] / np.array([n[1] for n in self.nodes])[:, None]).T
-            to = np.sqrt(np.maximum(2 - 2 * to, 0.0))
-            for (_, _, first, middle, end, a, b, c, d), far in zip(self.nodes, to.T, strict=True):
-                inner, outer = np.maximum(far - b, a - far)[:, None], np.maximum(far - d, c - far)[:, None]
-                np.maximum(low[:, first:middle], inner, out=low[:, first:middle])
-                np.maximum(low[:, middle:end], outer, out=low[:, middle:end])
-        high = (1 - low**2 / 2 + ROUNDING) * most
-        best, bar = np.full((nq, take), -np.inf), np.full(nq, -np.inf)
+        high = self.bounds(queries, factor)
+        best = np.full((nq, take), -np.inf)
+        bar = best[:, -1]  # a view
         visited = np.zeros(high.shape, bool)
-
-        def visit(leaf: int, who: np.ndarray) -> None:
-            a, b = self.leaves[leaf]
-            s = np.concatenate([best[who], queries[who] @ self.v[a:b].T], axis=1)
-            best[who] = -np.partition(-s, (sure - 1, take - 1), axis=1)[:, :take]
-            bar[who] = best[who, sure - 1]
-            visited[who, leaf] = True
-
-        nearest = np.argsort(-high, axis=1, kind="stable")[:, :2]
-        for turn in range(nearest.shape[1]):
-            for leaf in np.unique(nearest[:, turn]):
-                visit(leaf, np.flatnonzero(nearest[:, turn] == leaf))
-        for leaf in range(len(self.leaves)):
-            if len(who := np.flatnonzero((high[:, leaf] >= bar) & ~visited[:, leaf])):
-                visit(leaf, who)
-        found, rows = [], []
+        order = np.argsort(-high, axis=1, kind="stable")
+        at, width = 0, 1
+        while at < len(self.leaves):
+            now = order[:, at : at + width]
+            open_ = np.take_along_axis(high, now, 1) >= bar[:, None]
+            if not open_.any():
+                break  # those that follow are bounded lower
+            who, leaf = np.nonzero(open_)[0], now[open_]
+            by = np.argsort(leaf, kind="stable")
+            for own in np.split(by, np.flatnonzero(np.diff(leaf[by])) + 1):
+                one, asks = leaf[own[0]], who[own]
+                asks = asks[high[asks, one] >= bar[asks]]  # bars have risen since
+                a, b = self.leaves[one]
+                s = np.concatenate([best[asks], queries[asks] @ self.v[a:b].T], axis=1)
+                best[asks] = -np.partition(-s, take - 1, axis=1)[:, :take]
+                visited[asks, one] = True
+            at, width = at + width, 2 * width
+        found, rows, compared = [], [], 0
         for leaf in np.flatnonzero(visited.any(0)):
             a, b = self.leaves[leaf]
             who = np.flatnonzero(visited[:, leaf])
-            x, y = np.nonzero(queries[who] @ self.v[a:b].T >= best[who, take - 1, None] - TIE * most[leaf])
+            most = next(band.most for band in self.bands if leaf < band.end)
+            x, y = np.nonzero(queries[who] @ self.v[a:b].T >= best[who, -1, None] - TIE * most)
             found.append(who[x])
             rows.append(y + a)
-        return np.concatenate(found), np.concatenate(rows)
+            compared += len(who) * (b - a)
+        return np.concatenate(found), np.concatenate(rows), compared
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -171,7 +197,7 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
 def search_tree(tree: VPTree, ids: np.ndarray, starts: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, factor: float) -> pa.RecordBatch:
     """(query_id, vec_id, score): the k nearest of each query in one tree, without its own id."""
     take = min(k + 1, len(tree.v))  # one more, as the own id is left out
-    who, row = tree.search(q / norms(q)[:, None], take, min(take, math.ceil(k / factor) + 1))
+    who, row, _ = tree.search(q / norms(q)[:, None], take, factor)
     step = 1 << 15
     score = np.concatenate([exact_scores(q[who[i : i + step]], tree.v[row[i : i + step]]) for i in range(0, len(who), step)])
     u = tree.order[row]
