@@ -105,9 +105,9 @@ def in_polish_lands(country: Column) -> Column:
     return (given == "") | given.rlike(POLISH_LANDS)
 
 
-def upcoming(auctions: DataFrame, as_of: str, country: str | None = None, favourites: DataFrame | None = None) -> DataFrame:
-    """Auctions to come, of one country or of favourite houses (a semi-join), earliest first."""
+def upcoming(auctions: DataFrame, as_of: str, country: str | None = None, favourites: DataFrame | None = None, abroad: bool = False) -> DataFrame:
+    """Auctions to come, of one country (or, abroad, of all others) or of favourite houses (a semi-join), earliest first."""
     rows = auctions.where(F.col("starts_at") >= F.lit(as_of).cast("timestamp"))
-    rows = rows if country is None else rows.where(F.col("country") == country)
+    rows = rows if country is None else rows.where(~F.col("country").eqNullSafe(country) if abroad else F.col("country") == country)
     rows = rows if favourites is None else rows.join(favourites.select("house").distinct(), "house", "left_semi")
     return rows.orderBy("starts_at", "auction_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions.text import MARKED, PLAIN
-from tessera.plans import intake_sql, prints, records, records_sql, streams, upkeep
+from tessera.plans import intake_sql, prints, records, records_sql, stores, streams, upkeep
 
 FACTS = """facts AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT)) AS fact_id,
  l_orderkey AS lot_key, l_partkey AS item_id, 'S' || (l_suppkey % 6) AS source, CASE WHEN l_orderkey % 5 <> 0 THEN 'https://lots.example/' || l_orderkey END AS source_url,
@@ -191,3 +191,4 @@ ORACLE_SQL |= intake_sql.oracle(FACTS, COINS)
 ORACLE_SQL |= streams.oracle(FACTS, ORACLE_SQL)
 ORACLE_SQL |= upkeep.oracle(FACTS, COINS, OBS, RULES)
 ORACLE_SQL |= prints.oracle(FACTS, COINS, OBS)
+ORACLE_SQL |= stores.oracle(OBS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import collection, cost, extract, fingerprint, ingest, knowledge, lifecycle, market, match
-from tessera.plans import intake, prints, records, streams, upkeep
+from tessera.plans import intake, prints, records, stores, streams, upkeep
 from tessera.plans.valuation import appraised, disputed, price_range, unique_sales, valuation
 from tessera.plans.valuation import records as comparable_records
 from tessera.sources.market_tables import AS_OF, coins, facts, fee_rules, observations, read
@@ -384,4 +384,4 @@ NAMES = (
     invalidate_derived, reanalysis_status, upsert_latest, cascade_delete, insert_absent, html_extract, running_cap, history_topn, latency_p50_p90,
     text_fold, sentinel_canonical, job_dedupe_stream,
 )
-QUERIES = {**{f.__name__: f for f in NAMES}, **records.QUERIES, **intake.QUERIES, **streams.QUERIES, **upkeep.QUERIES, **prints.QUERIES}
+QUERIES = {**{f.__name__: f for f in NAMES}, **records.QUERIES, **intake.QUERIES, **streams.QUERIES, **upkeep.QUERIES, **prints.QUERIES, **stores.QUERIES}
