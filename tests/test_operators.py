@@ -79,7 +79,7 @@ def test_display_value(spark, row, value):
 def test_nominal_rank_and_years(spark):
     got = values(spark, [("półtalar",), ("talar",), ("10 złotych",), ("7 x",), ("",)], "n string", F.round(collection.nominal_rank(F.col("n")), 3))
     assert [g[0] for g in got] == [110.0, 120.0, 110.414, 7.0, float("-inf")]
-    assert values(spark, [("XVI w.",), ("1608",), ("?",), ("XIX-XX w",)], "y string", collection.year_value(F.col("y"))) == [(1500,), (1608,), (None,), (1800,)]
+    assert values(spark, [("XVI w.",), ("1608",), ("?",), ("XIX-XX w",), ("iv w.",), ("XLIX w",), (None,)], "y string", collection.year_value(F.col("y"))) == [(1500,), (1608,), (None,), (1800,), (300,), (4800,), (None,)]
 
 
 def test_trust_and_learning(spark):
