@@ -49,8 +49,9 @@ def smithsonian_objects(spark, sf_dir):
 
 def europeana_objects(spark, sf_dir):
     json = F.expr(
-        """concat('{"object":{"about":"/1/', coin_id, '","title":["', title, '"],"year":"', year, '","aggregations":[{"edmRights":', CASE coin_id % 3 WHEN 0 THEN '"http://creativecommons.org/licenses/by/4.0/"'
-        WHEN 1 THEN '["http://rightsstatements.org/vocab/InC/1.0/","http://rightsstatements.org/vocab/InC/1.0/"]' ELSE '{"def":["http://rightsstatements.org/vocab/NoC-NC/1.0/"],"en":["x"]}' END, '},{}]}}')"""
+        """concat('{"object":{"about":"/1/', coin_id, '"', CASE WHEN coin_id % 4 = 0 THEN ',"provider":["own"]' ELSE '' END, ',"type":"IMAGE","title":["', title, '"],"year":"', year, '","aggregations":[{"edmRights":', CASE coin_id % 3 WHEN 0 THEN '"http://creativecommons.org/licenses/by/4.0/"'
+        WHEN 1 THEN '["http://rightsstatements.org/vocab/InC/1.0/","http://rightsstatements.org/vocab/InC/1.0/"]' ELSE '{"def":["http://rightsstatements.org/vocab/NoC-NC/1.0/"],"en":["x"]}' END,
+        CASE coin_id % 4 WHEN 1 THEN ',"edmDataProvider":{"en":["english"],"pl":["polski"]}' WHEN 2 THEN ',"edmDataProvider":"text","edmProvider":{"pl":"no"}' WHEN 3 THEN ',"edmProvider":{"de":["deutsch"]}' ELSE '' END, '},{}]}}')"""
     )
     return feeds.europeana_records(coins(spark, sf_dir).select(json.alias("json")), "json")
 

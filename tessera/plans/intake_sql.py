@@ -15,7 +15,8 @@ def oracle(facts: str, coins: str) -> dict[str, str]:
         "smithsonian_objects": f"""WITH {coins}, s AS (SELECT coin_id, CASE coin_id % 4 WHEN 0 THEN 'Coin ' || title ELSE title END AS t FROM coins WHERE coin_id % 4 <> 1)
  SELECT CAST(coin_id AS VARCHAR) AS source_id, 'u' || coin_id AS source_url, t AS label, CASE WHEN coin_id % 3 = 0 THEN 'nmah' ELSE 'ABC' END AS provider, CASE WHEN coin_id % 5 = 0 THEN 'i' || coin_id END AS image_url
  FROM s WHERE coin_id % 4 = 0 OR (coin_id % 2 = 0 AND coin_id % 3 = 0)""",
-        "europeana_objects": f"""WITH {coins} SELECT '/1/' || coin_id AS source_id, 'https://www.europeana.eu/item/1/' || coin_id AS source_url, title AS label, CAST(year AS VARCHAR) AS year,
+        "europeana_objects": f"""WITH {coins} SELECT '/1/' || coin_id AS source_id, 'https://www.europeana.eu/item/1/' || coin_id AS source_url, title AS label, CAST(year AS VARCHAR) AS year, 'IMAGE' AS concept_type,
+ CASE coin_id % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'polski' WHEN 2 THEN 'text' ELSE 'deutsch' END AS provider,
  CASE coin_id % 3 WHEN 0 THEN 'http://creativecommons.org/licenses/by/4.0/' WHEN 1 THEN 'http://rightsstatements.org/vocab/InC/1.0/' ELSE 'http://rightsstatements.org/vocab/NoC-NC/1.0/ | x' END AS rights, coin_id % 3 <> 1 AS media_reusable FROM coins""",
         "analysis_settled": f"""WITH {coins}, a AS (SELECT coin_id, estimate_low <= estimate_high AS ordered, CAST(greatest(0, least(95, coin_id % 130 - 10)) AS INTEGER) AS confidence, CAST(least(100, 70 + coin_id % 40) AS INTEGER) AS ruler_confidence,
  CASE WHEN coin_id % 17 <> 0 THEN 88 ELSE 0 END AS nominal_confidence, array_to_string(list_filter([CASE WHEN coin_id % 9 = 0 THEN 'country' END, CASE WHEN ruler IS NULL THEN 'ruler' END, CASE WHEN coin_id % 11 = 0 THEN 'nominal' END], lambda x: x IS NOT NULL), ',') AS missing FROM coins)

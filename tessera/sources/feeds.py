@@ -120,10 +120,16 @@ def smithsonian_records(payloads: DataFrame, json: str) -> DataFrame:
     )
 
 
+#: Fixed order of languages in which names are preferred.
+LANGUAGES = ("pl", "en", "def")
+
+
 def europeana_records(payloads: DataFrame, json: str) -> DataFrame:
     """One record each, with its distinct rights statements and whether its media may be reused.
 
-    Rights stand in any aggregation as a text, a list, or an object of texts or lists.
+    Rights stand in any aggregation as a text, a list, or an object of texts or lists. The provider is the
+    record's own, else the first aggregation's data provider, else its provider; of names in several
+    languages that in LANGUAGES comes first, else the one whose language is first by name.
     """
     doc = F.try_parse_json(json)
     part = lambda path, kind: F.try_variant_get(doc, f"$.object{path}", kind)
@@ -138,7 +144,15 @@ def europeana_records(payloads: DataFrame, json: str) -> DataFrame:
 
     every = F.flatten(F.transform(F.concat(several(".aggregations"), several(".europeanaAggregation")), rights))
     first = lambda path: _filled(part(f"{path}[0]", "string"), F.when(F.schema_of_variant(part(path, "variant")) == "STRING", part(path, "string")))
+
+    def named(path: str) -> Column:
+        value = F.get(F.map_values(part(path, "map<string,variant>")), 0)
+        other = _filled(F.try_variant_get(value, "$[0]", "string"), F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))
+        return _filled(first(path), *(first(f"{path}.{language}") for language in LANGUAGES), other)
+
     rows = payloads.where(part("", "variant").isNotNull()).withColumns({
+        "concept_type": first(".type"),
+        "provider": _filled(first(".provider"), named(".aggregations[0].edmDataProvider"), named(".aggregations[0].edmProvider")),
         "source_id": F.coalesce(part(".about", "string"), F.lit("")),
         "title": first(".title"),
         "year": first(".year"),
@@ -149,7 +163,9 @@ def europeana_records(payloads: DataFrame, json: str) -> DataFrame:
         "source_id",
         F.concat(F.lit("https://www.europeana.eu/item"), F.col("source_id")).alias("source_url"),
         _filled(F.col("title"), F.col("source_id")).alias("label"),
+        "concept_type",
         "year",
+        "provider",
         statement.alias("rights"),
         statement.rlike(OPEN_RIGHTS).alias("media_reusable"),
     )

@@ -1,7 +1,7 @@
 """Saved states, older stores, searches and concepts by literal cases."""
 
 from tessera.operators import lookup
-from tessera.sources import state
+from tessera.sources import feeds, state
 
 
 def test_state_of_any_shape(spark):
@@ -38,3 +38,12 @@ def test_concepts_are_cut_replaced_and_refused(spark):
     kept, refused = lookup.concepts(rows, ["at"])
     assert sorted((r.source, r.id, r.label, r.media_reusable, r.uri) for r in kept.collect()) == [("s", "a", "new label", False, ""), ("t", "a", "x" * 180, False, "")]
     assert sorted(r["at"] for r in refused.collect()) == [4, 5]
+
+
+def test_providers_of_a_record(spark):
+    """The record's own, else the first aggregation's data provider in the preferred language, else its provider."""
+    parts = ['"provider":["own"],"aggregations":[{"edmDataProvider":"no"}]', '"aggregations":[{"edmDataProvider":{"de":["d"],"en":["e"]}}]', '"aggregations":[{"edmDataProvider":{},"edmProvider":{"fr":"f","de":"d"}}]',
+             '"aggregations":[{"edmDataProvider":["a","b"]}]', '"aggregations":[]', '"type":["3D","IMAGE"],"aggregations":[{"edmProvider":{"def":[""],"pl":["p"]}}]', '"provider":null,"aggregations":"x"']
+    rows = spark.createDataFrame([(f'{{"object":{{"about":"/1/{i}",{p}}}}}',) for i, p in enumerate(parts)], "json string")
+    got = {r.source_id: (r.provider, r.concept_type) for r in feeds.europeana_records(rows, "json").collect()}
+    assert got == {"/1/0": ("own", ""), "/1/1": ("e", ""), "/1/2": ("d", ""), "/1/3": ("a", ""), "/1/4": ("", ""), "/1/5": ("p", "3D"), "/1/6": ("", "")}
