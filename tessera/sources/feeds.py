@@ -60,18 +60,24 @@ def rss_records(payloads: DataFrame, xml: str, most: int = FEED_ITEMS) -> DataFr
     return rows.where("source_id <> '' AND label <> ''").drop("_item", "_title", "_link", "_guid")
 
 
-def graph_labels(payloads: DataFrame, json: str, node: str, language: str = "en") -> DataFrame:
-    """Adds label: what the node of that id is called in a JSON-LD payload.
+#: Fixed names under which nodes are called something: of concepts, and of a museum's objects.
+CONCEPT_LABELS = ("skos:prefLabel", "http://www.w3.org/2004/02/skos/core#prefLabel", "label")
+OBJECT_LABELS = ("http://www.w3.org/2004/02/skos/core#prefLabel", "http://purl.org/dc/terms/title", "http://www.w3.org/2000/01/rdf-schema#label")
 
-    The node is the one whose @id ends in /id/<node>, else the first; a payload without a graph is its
-    own node. A label is a text, an object or a list of objects: the one of the language, else the
+
+def graph_labels(payloads: DataFrame, json: str, node: str, language: str = "en", keys: tuple[str, ...] = CONCEPT_LABELS, whole_id: bool = True) -> DataFrame:
+    """Adds label: what the node of that id is called in a JSON-LD payload, by the first of the keys that it has.
+
+    The node is the one whose @id ends in /id/<node> (or, without whole_id, contains it), else the first;
+    a payload without a graph is a list of nodes, or its own node. A label is a text, an object or a list of objects: the one of the language, else the
     first; the id itself where nothing is called anything.
     """
     doc = F.try_parse_json(json)
-    nodes = F.coalesce(F.try_variant_get(doc, "$['@graph']", "array<variant>"), F.array(doc))
-    own = F.filter(nodes, lambda n: F.coalesce(F.endswith(F.try_variant_get(n, "$['@id']", "string"), F.concat(F.lit("/id/"), F.col(node))), F.lit(False)))
+    nodes = F.coalesce(F.try_variant_get(doc, "$['@graph']", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"), F.array(doc))
+    names = F.endswith if whole_id else F.contains
+    own = F.filter(nodes, lambda n: F.coalesce(names(F.try_variant_get(n, "$['@id']", "string"), F.concat(F.lit("/id/"), F.col(node))), F.lit(False)))
     rows = payloads.withColumn("_node", F.coalesce(F.get(own, F.lit(0)), F.get(nodes, F.lit(0))))
-    label = F.coalesce(*(F.try_variant_get("_node", f"$['{key}']", "variant") for key in ("skos:prefLabel", "http://www.w3.org/2004/02/skos/core#prefLabel", "label")))
+    label = F.coalesce(*(F.try_variant_get("_node", f"$['{key}']", "variant") for key in keys))
     rows = rows.withColumn("_label", label)
     objects = F.coalesce(F.try_variant_get("_label", "$", "array<map<string,string>>"), F.array(F.try_variant_get("_label", "$", "map<string,string>")))
     chosen = F.coalesce(F.get(F.filter(objects, lambda o: F.try_element_at(o, F.lit("@language")) == language), F.lit(0)), F.get(objects, F.lit(0)))

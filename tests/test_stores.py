@@ -47,3 +47,11 @@ def test_providers_of_a_record(spark):
     rows = spark.createDataFrame([(f'{{"object":{{"about":"/1/{i}",{p}}}}}',) for i, p in enumerate(parts)], "json string")
     got = {r.source_id: (r.provider, r.concept_type) for r in feeds.europeana_records(rows, "json").collect()}
     assert got == {"/1/0": ("own", ""), "/1/1": ("e", ""), "/1/2": ("d", ""), "/1/3": ("a", ""), "/1/4": ("", ""), "/1/5": ("p", "3D"), "/1/6": ("", "")}
+
+
+def test_objects_of_a_museum_are_called_by_their_own_keys(spark):
+    title, label = "http://purl.org/dc/terms/title", "http://www.w3.org/2000/01/rdf-schema#label"
+    values = [f'[{{"@id":"x/id/2"}},{{"@id":"x/id/1#this","{title}":[{{"@value":"a"}},{{"@language":"en","@value":"b"}}]}}]', f'{{"@graph":[{{"@id":"q","{label}":"c"}}]}}', '{"label":"not this"}', None]
+    rows = spark.createDataFrame([(i, "1", v) for i, v in enumerate(values)], "i int, node string, json string")
+    got = feeds.graph_labels(rows, "json", "node", keys=feeds.OBJECT_LABELS, whole_id=False).collect()
+    assert {r.i: r.label for r in got} == {0: "b", 1: "c", 2: "1"}
