@@ -133,11 +133,8 @@ def valuation_undisputed(spark, sf_dir):
 
 def valuation_fx(spark, sf_dir):
     """Prices of all currencies at the rate within three days of the sale; rows without one are left out."""
-    rates = _rates(spark)
-    coins_ = banded_coins(spark, sf_dir)
-    usable = market.converted(market.price_basis(facts(spark, sf_dir)), rates, "PLN").drop("price", "basis", "rate", "rate_day")
-    pairs = comparable_records(coins_, usable.drop("price_to"), AS_OF, None)
-    return appraised(coins_, pairs.join(usable.select("fact_id", "price_to"), "fact_id"), value="price_to")
+    sales = market.converted(market.price_basis(facts(spark, sf_dir)), _rates(spark), "PLN")
+    return valuation(banded_coins(spark, sf_dir), sales, AS_OF, None, value="price_to")
 
 
 def target_alerts(spark, sf_dir):

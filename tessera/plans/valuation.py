@@ -1,6 +1,8 @@
 """Valuation of coins: comparables, evidence, tiers, dominant basis, statistics, one step after another.
 
-Every choice is a count over a coin's own pairs, so pairs are shuffled once, by coin.
+Every choice is a count over a coin's own pairs. valuation() counts pairs by their kind where they are
+made, chooses by these counts, and makes the chosen pairs alone again for their prices; so what is
+shuffled are counts and prices that are used, not pairs.
 """
 
 from __future__ import annotations
@@ -11,23 +13,28 @@ from pyspark.sql import functions as F
 from tessera.functions.text import key_of, round_half_up
 from tessera.operators.market import SALE_FIELDS, evidence, grade_band, price_basis, sale_key, search
 from tessera.operators.match import comparables
+from tessera.operators.selection import quantile
 
 BASES = ("hammer", "realized", "total")
 CARRY = ("hammer_price", "realized_price", "total_price", "source_url", "evidence_score", *SALE_FIELDS)
 
 
-def _count(rule: Column) -> Column:
-    return F.count_if(rule).over(Window.partitionBy("coin_id"))
+#: What the choice of a pair depends on.
+KIND = ("banded", "band_distance", "quality", "basis")
+QUALITIES = ("strict", "good", "indicative")
+STATISTICS = {"low": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 0.9}
 
 
-def chosen(pairs: DataFrame) -> DataFrame:
-    """Adds tier and used: the rows that a coin's price comes from.
+def chosen(pairs: DataFrame, n: Column | None = None) -> DataFrame:
+    """Adds tier and used: the rows that a coin's price comes from. With n, a row stands for n pairs of one kind.
 
     Rows of the coin's own grade band if there are three, else those at most one band off (or of none)
     if four, else insufficient-condition; a coin without a band keeps all. Of these the strict rows if
     there are three, else strict and good ones if four, else insufficient. Of these the first price
     basis with three rows, else insufficient-price-basis. Tiers of a coin with a band end in -condition.
     """
+    own = Window.partitionBy("coin_id")
+    _count = lambda rule: F.coalesce(F.sum(F.when(rule, F.lit(1) if n is None else n)).over(own), F.lit(0))
     near = F.coalesce(F.col("band_distance") <= 1, F.lit(True))
     rows = pairs.withColumns({"_same": _count(F.col("band_distance") == 0), "_near": _count(near)})
     pool = F.when(~F.col("banded"), F.lit(True)).when(F.col("_same") >= 3, F.coalesce(F.col("band_distance") == 0, F.lit(False))).otherwise((F.col("_near") >= 4) & near)
@@ -53,16 +60,22 @@ def appraised(coins: DataFrame, pairs: DataFrame, value: str = "price", disputed
     without records. Disputed rows count for the tier but not for the statistics; where only such
     rows are left there is no estimate. Statistics are zero without prices.
     """
-    rows = chosen(pairs)
     priced = F.when(F.col("used") & ~(F.lit(False) if disputed is None else disputed), F.col(value))
-    p = F.percentile(priced, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    quality = F.col("quality")
-    counts = [F.count("*").alias("records"), *(F.count_if(quality == q).alias(f"n_{q}") for q in ("strict", "good", "indicative"))]
-    own = rows.groupBy("coin_id").agg(*counts, F.first("tier").alias("tier"), F.first(F.when(F.col("tier").startswith("strict"), F.col("main"))).alias("basis"), F.count(priced).alias("n"), p.alias("p"))
-    out = coins.select("coin_id").join(own, "coin_id", "left")
+    return _told(coins, chosen(pairs).groupBy("coin_id").agg(*_counts(F.lit(1)), F.array_sort(F.collect_list(priced)).alias("prices")))
+
+
+def _counts(n: Column) -> list[Column]:
+    """Of a coin's rows, each of which stands for n pairs: their number, that of each quality, tier and basis."""
+    counts = [F.sum(n).alias("records"), *(F.sum(F.when(F.col("quality") == q, n)).alias(f"n_{q}") for q in QUALITIES)]
+    return [*counts, F.first("tier").alias("tier"), F.first(F.when(F.col("tier").startswith("strict"), F.col("main"))).alias("basis")]
+
+
+def _told(coins: DataFrame, own: DataFrame) -> DataFrame:
+    """appraised() from counts and sorted prices of coins."""
+    out = coins.select("coin_id").join(own, "coin_id", "left").withColumn("n", F.when(F.col("prices").isNotNull(), F.size("prices")))
     level = F.when(F.col("records").isNull(), "none").when(F.col("tier").isin("strict", "strict-condition"), "strong").when(F.col("tier").startswith("strict+good"), "usable").otherwise("limited")
-    numbers = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("records", "n_strict", "n_good", "n_indicative", "n")}
-    stats = [F.coalesce(round_half_up(F.get("p", F.lit(i))), F.lit(0)).cast("long").alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))]
+    numbers = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("records", *(f"n_{q}" for q in QUALITIES), "n")}
+    stats = [F.coalesce(round_half_up(quantile(F.col("prices"), share)), F.lit(0)).cast("long").alias(c) for c, share in STATISTICS.items()]
     can = level.isin("strong", "usable") & (F.coalesce(F.col("n"), F.lit(0)) > 0)
     return out.select("coin_id", *numbers.values(), F.coalesce("tier", F.lit("none")).alias("tier"), "basis", *stats, level.alias("quality"), can.alias("can_estimate"))
 
@@ -71,12 +84,17 @@ def price_range(currency: str) -> Column:
     return F.when(F.col("can_estimate"), F.concat(F.col("low").cast("string"), F.lit("–"), F.col("high").cast("string"), F.lit(f" {currency}")))
 
 
-def records(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False) -> DataFrame:
-    """Comparable rows of the period and currency. With gated, only those whose core evidence is complete and strong or usable."""
+def usable(facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False) -> DataFrame:
+    """Facts of the period and currency with a price. With gated, only those whose core evidence is complete and strong or usable."""
     rows = evidence(price_basis(search(facts, as_of, years=years, currency=currency)).where("price > 0").withColumn("band", grade_band(F.col("grade"))))
     if gated:
         rows = rows.where("core_complete AND evidence_level IN ('strong', 'usable')")
-    return comparables(coins, rows, carry=CARRY)
+    return rows
+
+
+def records(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10) -> DataFrame:
+    """Comparable rows of the period and currency."""
+    return comparables(coins, usable(facts, as_of, currency, years), carry=CARRY)
 
 
 def unique_sales(pairs: DataFrame) -> DataFrame:
@@ -101,6 +119,19 @@ def disputed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("disputed", clash)
 
 
-def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str, years: float = 10, gated: bool = False) -> DataFrame:
-    """appraised() over the comparable records of a period and currency."""
-    return appraised(coins, records(coins, facts, as_of, currency, years, gated))
+def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False, value: str = "price") -> DataFrame:
+    """appraised() over the comparable records of a period and currency, without a shuffle of pairs."""
+    rows = usable(facts, as_of, currency, years, gated)
+    kinds = comparables(coins, rows).groupBy("coin_id", *KIND).agg(F.count("*").alias("pairs"))
+    choice = chosen(kinds, F.col("pairs"))
+    plan = choice.groupBy("coin_id").agg(*_counts(F.col("pairs")), F.collect_list(F.when(F.col("used"), _code())).alias("kinds"), F.first("main").alias("main"))
+    wanted = coins.join(plan.where(F.size("kinds") > 0).select("coin_id", "kinds", "main"), "coin_id")
+    used = comparables(wanted, rows, carry=(value,), own=("kinds", "main")).where((F.col("basis") == F.col("main")) & F.array_contains("kinds", _code()))
+    prices = used.groupBy("coin_id").agg(F.array_sort(F.collect_list(value)).alias("prices"))
+    return _told(coins, plan.join(prices, "coin_id", "left").withColumn("prices", F.coalesce("prices", F.array().cast("array<double>"))))
+
+
+def _code() -> Column:
+    """Band distance and quality of a pair as a number."""
+    quality = F.when(F.col("quality") == "strict", 0).when(F.col("quality") == "good", 1).otherwise(2)
+    return F.coalesce(F.col("band_distance"), F.lit(9)) * 3 + quality
