@@ -47,13 +47,18 @@ def smithsonian_objects(spark, sf_dir):
     return feeds.smithsonian_records(fields.select(F.to_json(F.struct("*")).alias("json")), "json")
 
 
+def _spread(spark, rows):
+    """Small rows that much work is done on: a file of many of them is few read tasks, so they are dealt out."""
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def europeana_objects(spark, sf_dir):
     json = F.expr(
         """concat('{"object":{"about":"/1/', coin_id, '"', CASE WHEN coin_id % 4 = 0 THEN ',"provider":["own"]' ELSE '' END, ',"type":"IMAGE","title":["', title, '"],"year":"', year, '","aggregations":[{"edmRights":', CASE coin_id % 3 WHEN 0 THEN '"http://creativecommons.org/licenses/by/4.0/"'
         WHEN 1 THEN '["http://rightsstatements.org/vocab/InC/1.0/","http://rightsstatements.org/vocab/InC/1.0/"]' ELSE '{"def":["http://rightsstatements.org/vocab/NoC-NC/1.0/"],"en":["x"]}' END,
         CASE coin_id % 4 WHEN 1 THEN ',"edmDataProvider":{"en":["english"],"pl":["polski"]}' WHEN 2 THEN ',"edmDataProvider":"text","edmProvider":{"pl":"no"}' WHEN 3 THEN ',"edmProvider":{"de":["deutsch"]}' ELSE '' END, '},{}]}}')"""
     )
-    return feeds.europeana_records(coins(spark, sf_dir).select(json.alias("json")), "json")
+    return feeds.europeana_records(_spread(spark, coins(spark, sf_dir).select(json.alias("json"))), "json")
 
 
 def analysis_settled(spark, sf_dir):
@@ -71,7 +76,7 @@ def description_reconciled(spark, sf_dir):
     said = F.expr("concat('Intro here. The coin is a ', raw_nominal, '. Fine surface. Minted under ', raw_ruler, '! Of type ', raw_variant, '.')")
     current = {c: F.col(c) for c in lifecycle.IDENTITY}
     raw = {c: F.col(f"raw_{c}") for c in lifecycle.IDENTITY}
-    return coins(spark, sf_dir).select("coin_id", analysis.reconciled(said, current, raw).alias("description"))
+    return _spread(spark, coins(spark, sf_dir)).select("coin_id", analysis.reconciled(said, current, raw).alias("description"))
 
 
 def literature_works(spark, sf_dir):
