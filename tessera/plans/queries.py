@@ -283,7 +283,8 @@ def fingerprint_similarity(spark, sf_dir):
 
 
 def fingerprint_topk(spark, sf_dir):
-    return fingerprint.best(fingerprint_similarity(spark, sf_dir), k=3).select("a_print_id", "b_print_id", "rank")
+    prints = _prints(spark, sf_dir)
+    return fingerprint.nearest(prints, prints, ["identity"], PRINT_FEATURES, k=3).select("a_print_id", "b_print_id", "rank")
 
 
 def master_fingerprint(spark, sf_dir):
