@@ -1,8 +1,8 @@
 """Valuation of coins: comparables, evidence, tiers, dominant basis, statistics, one step after another.
 
-Every choice is a count over a coin's own pairs. valuation() counts pairs by their kind where they are
-made, chooses by these counts, and makes the chosen pairs alone again for their prices; so what is
-shuffled are counts and prices that are used, not pairs.
+Every choice is a count over a coin's own pairs. valued() counts pairs by their kind from cells of
+facts, chooses by these counts, and makes the chosen pairs alone for their prices. The pairs themselves,
+as records() gives them, are not made.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import key_of, round_half_up
+from tessera.operators.cells import BASES, QUALITIES, kind_code, kinds, values
 from tessera.operators.market import SALE_FIELDS, evidence, grade_band, price_basis, sale_key, search
 from tessera.operators.match import comparables
 from tessera.operators.selection import quantile
+from tessera.sources.shared import stash
 
-BASES = ("hammer", "realized", "total")
 CARRY = ("hammer_price", "realized_price", "total_price", "source_url", "evidence_score", *SALE_FIELDS)
 
 
 #: What the choice of a pair depends on.
 KIND = ("banded", "band_distance", "quality", "basis")
-QUALITIES = ("strict", "good", "indicative")
 STATISTICS = {"low": 0.1, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 0.9}
 
 
@@ -120,18 +120,26 @@ def disputed(pairs: DataFrame) -> DataFrame:
 
 
 def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False, value: str = "price") -> DataFrame:
-    """appraised() over the comparable records of a period and currency, without a shuffle of pairs."""
-    rows = usable(facts, as_of, currency, years, gated)
-    kinds = comparables(coins, rows).groupBy("coin_id", *KIND).agg(F.count("*").alias("pairs"))
-    choice = chosen(kinds, F.col("pairs"))
-    plan = choice.groupBy("coin_id").agg(*_counts(F.col("pairs")), F.collect_list(F.when(F.col("used"), _code())).alias("kinds"), F.first("main").alias("main"))
-    wanted = coins.join(plan.where(F.size("kinds") > 0).select("coin_id", "kinds", "main"), "coin_id")
-    used = comparables(wanted, rows, carry=(value,), own=("kinds", "main")).where((F.col("basis") == F.col("main")) & F.array_contains("kinds", _code()))
-    prices = used.groupBy("coin_id").agg(F.array_sort(F.collect_list(value)).alias("prices"))
-    return _told(coins, plan.join(prices, "coin_id", "left").withColumn("prices", F.coalesce("prices", F.array().cast("array<double>"))))
+    """appraised() over the comparable records of a period and currency, without their pairs."""
+    return valued(coins, usable(facts, as_of, currency, years, gated), value)
+
 
+def valued(coins: DataFrame, rows: DataFrame, value: str = "price", apart: DataFrame | None = None) -> DataFrame:
+    """appraised() of the pairs of coins and usable facts; apart are pairs that count besides.
 
-def _code() -> Column:
-    """Band distance and quality of a pair as a number."""
-    quality = F.when(F.col("quality") == "strict", 0).when(F.col("quality") == "good", 1).otherwise(2)
-    return F.coalesce(F.col("band_distance"), F.lit(9)) * 3 + quality
+    The choice of each coin is written once to the shared folder, as counts and prices both depend on it.
+    """
+    counts = kinds(coins, rows)
+    if apart is not None:
+        counts = counts.unionByName(apart.groupBy("coin_id", *KIND).agg(F.count("*").alias("pairs"))).groupBy("coin_id", *KIND).agg(F.sum("pairs").alias("pairs"))
+    choice = chosen(counts, F.col("pairs"))
+    code = kind_code(F.col("band_distance"), F.col("quality"))
+    plan = stash(choice.groupBy("coin_id").agg(*_counts(F.col("pairs")), F.collect_list(F.when(F.col("used"), code)).alias("kinds"), F.first("main").alias("main")), "valuation")
+    wanted = plan.where(F.size("kinds") > 0).select("coin_id", "kinds", "main")
+    prices = values(coins.join(wanted, "coin_id"), rows, value)
+    if apart is not None:
+        more = apart.where(~F.col("disputed")) if "disputed" in apart.columns else apart
+        more = more.join(wanted, "coin_id").where((F.col("basis") == F.col("main")) & F.array_contains("kinds", code))
+        prices = prices.unionByName(more.select("coin_id", value))
+    prices = prices.groupBy("coin_id").agg(F.array_sort(F.collect_list(value)).alias("prices"))
+    return _told(coins, plan.join(prices, "coin_id", "left").withColumn("prices", F.coalesce("prices", F.array().cast("array<double>"))))
