@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import collection, cost, extract, fingerprint, ingest, knowledge, lifecycle, market, match
 from tessera.plans import intake, prints, records, stores, streams, upkeep
-from tessera.plans.valuation import appraised, disputed, price_range, unique_sales, valuation
+from tessera.plans.valuation import appraised, price_range, unique_sales, valuation, valuation_agreed
 from tessera.plans.valuation import records as comparable_records
 from tessera.sources.market_tables import AS_OF, coins, facts, fee_rules, observations, read
 from tessera.streaming import jobs
@@ -127,8 +127,7 @@ def valuation_undisputed(spark, sf_dir):
     every = facts(spark, sf_dir)
     more = {c: F.col(c) + 1 for c in ("hammer_price", "realized_price", "total_price")}
     mirror = every.where("lot_key % 4 = 0").withColumns({"fact_id": F.concat("fact_id", F.lit("-m")), **more})
-    coins_ = banded_coins(spark, sf_dir)
-    return appraised(coins_, disputed(comparable_records(coins_, every.unionByName(mirror), AS_OF, "PLN")), disputed=F.col("disputed"))
+    return valuation_agreed(banded_coins(spark, sf_dir), every.unionByName(mirror), AS_OF, "PLN")
 
 
 def valuation_fx(spark, sf_dir):

@@ -7,11 +7,13 @@ as records() gives them, are not made.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import key_of, round_half_up
-from tessera.operators.cells import BASES, QUALITIES, kind_code, kinds, values
+from tessera.operators.cells import BASES, FIELDS, NO_BAND, QUALITIES, band_place, kind_code, kinds, survivors, values
 from tessera.operators.market import SALE_FIELDS, evidence, grade_band, price_basis, sale_key, search
 from tessera.operators.match import comparables
 from tessera.operators.selection import quantile
@@ -119,6 +121,76 @@ def disputed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("disputed", clash)
 
 
+def once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """unique_sales() of facts before they are paired, and facts for which that must wait.
+
+    Rows of one sale key agree with a coin alike but for their bands. So which of them is the first that a coin
+    can have depends on the coin's band and the pair's level alone: ``counted`` has the bits for which a row is
+    it, and rows that never are go. Keys fold their text; rows of one key that are written differently wait.
+    """
+    key = sale_key(F.col("price"))
+    filled = F.size(F.filter(F.split(key, r"\|"), lambda x: x != ""))
+    rows = rows.withColumns({"_key": key, "_alone": F.when(filled < 5, F.col("fact_id"))})
+    sale = Window.partitionBy("_key", "_alone")
+    before = sale.orderBy(F.desc("evidence_score"), F.col("source_url").isNull(), "fact_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.call_function("shiftleft", F.lit(1), band_place())
+    rows = rows.withColumns({"_own": own, "_seen": F.coalesce(F.bit_or(own).over(before), F.lit(0)), **_mixed(sale)})
+    first = [F.when((F.col("_own").bitwiseAND(s) != 0) & (F.col("_seen").bitwiseAND(s) == 0), 1 << bit).otherwise(0) for bit, s in survivors().items()]
+    rows = rows.withColumn("counted", sum(first[1:], first[0]).cast("int")).where("counted <> 0 OR _mixed").drop("_key", "_alone", "_own", "_seen")
+    return _apart(rows, "unique-sales")
+
+
+def clashing(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """disputed() of facts before they are paired, and facts for which that must wait.
+
+    Which rows of a sale a coin can have depends on its band and the pair's level alone: the column ``disputed``
+    has the bits for which these rows clash. The ends of the values are told by band first, so no sale is held whole.
+    """
+    given = {**{f"{b}_price": F.when(F.col(f"{b}_price") > 0, F.col(f"{b}_price")) for b in BASES}, "basis": F.col("basis"), "currency": F.col("currency")}
+    key = key_of(F.date_format("sold_at", "yyyy-MM-dd"), *(F.col(c) for c in SALE_FIELDS))
+    ends = rows.groupBy(key.alias("_key"), band_place().alias("_band")).agg(*(f(x).alias(f"{e}_{c}") for c, x in given.items() for e, f in (("min", F.min), ("max", F.max))), *(f(_written()).alias(f"_{e}") for e, f in (("min", F.min), ("max", F.max))))
+    bands = ends.groupBy("_key").agg(F.collect_list(F.struct("_band", *(f"{e}_{c}" for c in given for e in ("min", "max")))).alias("_bands"), (~F.min("_min").eqNullSafe(F.max("_max"))).alias("_mixed"))
+
+    def clash(of: int) -> Column:
+        held = F.filter("_bands", lambda x: F.lit(of).bitwiseAND(F.call_function("shiftleft", F.lit(1), x["_band"])) != 0)
+        return functools.reduce(Column.__or__, (F.coalesce(F.array_min(held[f"min_{c}"]) != F.array_max(held[f"max_{c}"]), F.lit(False)) for c in given))
+
+    sets = survivors()
+    bits = [F.when(clash(s), sum(1 << bit for bit, x in sets.items() if x == s)).otherwise(0) for s in sorted({*sets.values()} - {0})]
+    every = (1 << NO_BAND + 1) - 1
+    sales = bands.select("_key", "_mixed", F.when(clash(every), sum(bits[1:], bits[0])).otherwise(0).cast("int").alias("disputed")).where("disputed <> 0 OR _mixed")
+    out = rows.withColumn("_key", key).join(sales, "_key", "left").drop("_key")
+    return _apart(out.withColumns({"disputed": F.coalesce("disputed", F.lit(0)), "_mixed": F.coalesce("_mixed", F.lit(False))}), "sales")
+
+
+def _written() -> Column:
+    """What decides how a fact agrees with a coin, but for its band."""
+    return F.struct("nominal", *FIELDS)
+
+
+def _mixed(sale) -> dict[str, Column]:
+    return {"_mixed": ~F.min(_written()).over(sale).eqNullSafe(F.max(_written()).over(sale))}
+
+
+def _apart(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows and those of mixed sales, written once as both counts and prices read them; None if there are no such."""
+    kept = stash(rows, tag)
+    mixed = kept.where("_mixed").drop("_mixed", "counted", "disputed")
+    return kept.where("NOT _mixed").drop("_mixed"), None if mixed.isEmpty() else mixed
+
+
+def valuation_once(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10) -> DataFrame:
+    """appraised() over unique_sales() of the comparable records, without their pairs."""
+    rows, mixed = once(usable(facts, as_of, currency, years))
+    return valued(coins, rows, apart=None if mixed is None else unique_sales(comparables(coins, mixed, carry=CARRY)))
+
+
+def valuation_agreed(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10) -> DataFrame:
+    """appraised() over the comparable records with disputed() ones left out of the statistics, without their pairs."""
+    rows, mixed = clashing(usable(facts, as_of, currency, years))
+    return valued(coins, rows, apart=None if mixed is None else disputed(comparables(coins, mixed, carry=CARRY)))
+
+
 def valuation(coins: DataFrame, facts: DataFrame, as_of: str, currency: str | None, years: float = 10, gated: bool = False, value: str = "price") -> DataFrame:
     """appraised() over the comparable records of a period and currency, without their pairs."""
     return valued(coins, usable(facts, as_of, currency, years, gated), value)

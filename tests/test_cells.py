@@ -61,3 +61,38 @@ def test_a_sale_looks_up_the_rate_of_its_day(spark):
     nearest = {**dict.fromkeys(range(6), 4.0), 6: 4.5, 7: 4.5, 8: 4.5, **dict.fromkeys(range(9, 13), 5.0), 15: 1.0}
     assert {int(r.fact_id): r.rate for r in out.collect()} == nearest and out.count() == len(nearest)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def respelled(frame):
+    """Some sales with a mint that folds to the same text and a link that is missing."""
+    more = {"mint": F.upper("mint"), "fact_id": F.concat("fact_id", F.lit("-m"))}
+    return frame.unionByName(frame.where("hash(fact_id) % 5 = 0").withColumns(more))
+
+
+@pytest.mark.parametrize("change", [lambda x: x, respelled])
+def test_unique_sales_are_told_before_pairs(spark, monkeypatch, change):
+    """Each coin's first row of a sale depends on which bands the coin can have; rows of one key but other spelling wait."""
+    facts = change(sales(spark, 900)).cache()
+    pairs = valuation.unique_sales(valuation.records(coins(spark), facts, "2001-11-05", "PLN"))
+    expected = told(valuation.appraised(coins(spark), pairs))
+    if change is not respelled:
+        monkeypatch.setattr(valuation, "unique_sales", lambda *_: pytest.fail("pairs are made"))
+    assert told(valuation.valuation_once(coins(spark), facts, "2001-11-05", "PLN")) == expected
+    assert sum(r[1] for r in expected) < valuation.records(coins(spark), facts, "2001-11-05", "PLN").count()
+
+
+def blanked(frame):
+    """Some sales with an empty variant where others have none: one sale key, but not alike to a coin."""
+    more = {"variant": F.coalesce("variant", F.lit("")), "fact_id": F.concat("fact_id", F.lit("-m")), "hammer_price": F.col("hammer_price") + 1}
+    return frame.unionByName(frame.where("hash(fact_id) % 5 = 0").withColumns(more))
+
+
+@pytest.mark.parametrize("change", [lambda x: x.withColumn("sold_at", F.expr("date_add(sold_at, hash(fact_id) % 9)").cast("timestamp")), blanked])
+def test_disputes_are_told_before_pairs(spark, monkeypatch, change):
+    facts = change(sales(spark, 900)).cache()
+    pairs = valuation.disputed(valuation.records(coins(spark), facts, "2001-11-05", "PLN"))
+    expected = told(valuation.appraised(coins(spark), pairs, disputed=F.col("disputed")))
+    plain = told(valuation.valuation(coins(spark), facts, "2001-11-05", "PLN"))
+    if change is not blanked:
+        monkeypatch.setattr(valuation, "disputed", lambda *_: pytest.fail("pairs are made"))
+    assert told(valuation.valuation_agreed(coins(spark), facts, "2001-11-05", "PLN")) == expected != plain
