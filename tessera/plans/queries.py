@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import collection, cost, extract, fingerprint, ingest, knowledge, lifecycle, market, match
 from tessera.plans import intake, prints, records, stores, streams, upkeep
-from tessera.plans.valuation import appraised, price_range, unique_sales, valuation, valuation_agreed
-from tessera.plans.valuation import records as comparable_records
+from tessera.plans.valuation import price_range, valuation, valuation_agreed, valuation_once
 from tessera.sources.market_tables import AS_OF, coins, facts, fee_rules, observations, read
 from tessera.streaming import jobs
 
@@ -118,8 +117,7 @@ def valuation_unique(spark, sf_dir):
     """Every sale once: the facts are given twice, the second time without a link."""
     every = facts(spark, sf_dir)
     mirror = every.where("lot_key % 3 = 0").withColumns({"fact_id": F.concat("fact_id", F.lit("-m")), "source_url": F.lit(None).cast("string")})
-    coins_ = banded_coins(spark, sf_dir)
-    return appraised(coins_, unique_sales(comparable_records(coins_, every.unionByName(mirror), AS_OF, "PLN")))
+    return valuation_once(banded_coins(spark, sf_dir), every.unionByName(mirror), AS_OF, "PLN")
 
 
 def valuation_undisputed(spark, sf_dir):
