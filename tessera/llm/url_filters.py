@@ -7,7 +7,8 @@ in five is kept out of the models; the threshold is the one that parts these bes
 if one kind is missing among these). Built-in functions only.
 
 Tables of n-grams have a proven bound: the folded alphabet has 40 symbols, so there are at most
-40^4 = 2.56 million rows whatever the number of URLs; that table is broadcast.
+40^4 = 2.56 million n-grams whatever the number of URLs. They are broadcast by the three symbols of
+their context: 64,000 rows at most, each with its symbols and their ratios, some 30 MB.
 """
 
 from __future__ import annotations
@@ -93,6 +94,13 @@ def log_ratios(counts: DataFrame) -> DataFrame:
     return out.select("gram", (log_p("allow") - log_p("block")).alias("ratio"))
 
 
+def by_context(ratios: DataFrame) -> DataFrame:
+    """context, symbols and ratios: a row for the first three symbols of n-grams, with their last ones in order."""
+    last = F.array_sort(F.collect_list(F.struct(F.substring("gram", 4, 1).alias("symbol"), "ratio")))
+    rows = ratios.groupBy(F.substring("gram", 1, 3).alias("context")).agg(last.alias("last"))
+    return rows.select("context", F.array_join("last.symbol", "").alias("symbols"), F.col("last.ratio").alias("ratios"))
+
+
 def threshold(scored: DataFrame) -> float | None:
     """The score that parts allowed from blocked URLs best; None if either kind is missing.
 
@@ -137,9 +145,10 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
     seen = {c: F.when(held_out(F.col("_url")), 0).otherwise(F.col(c)) for c in ("_allow", "_block")}
     counts = grams(dealt.withColumns(seen), "_url", ["_allow", "_block"]).groupBy("gram").agg(F.sum("_allow").alias("allow"), F.sum("_block").alias("block"))
     counts = stash(counts, "url-grams")
-    ratios = stash(log_ratios(counts), "url-model")
-    scored = grams(dealt, "_url", ["_url", "_label", "_allow", "_block"]).join(F.broadcast(ratios), "gram")
-    scored = scored.groupBy("_url").agg(F.round(F.avg("ratio"), 9).alias("score"), F.first("_label").alias("_label"), F.first("_allow").alias("_allow"), F.first("_block").alias("_block"))
+    ratios = stash(by_context(log_ratios(counts)), "url-model")
+    scored = grams(dealt, "_url", ["_url", "_label", "_allow", "_block"]).withColumn("context", F.substring("gram", 1, 3)).join(F.broadcast(ratios), "context")
+    ratio = F.get("ratios", F.instr("symbols", F.substring("gram", 4, 1)) - 1)
+    scored = scored.groupBy("_url").agg(F.round(F.avg(ratio), 9).alias("score"), F.first("_label").alias("_label"), F.first("_allow").alias("_allow"), F.first("_block").alias("_block"))
     scored = stash(scored, "url-scores")
     for used in (urls, counts, ratios):
         drop_stash(used)
@@ -148,7 +157,8 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str,
     # rows of one url, or of none, meet its score in several places
     salt = F.pmod(F.xxhash64(*[col(c) for c in rest.columns]), F.lit(SALTS)).cast("int")
     spread = scored.select("_url", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    out = rest.withColumns({"_url": url, "_salt": salt}).join(spread, ["_url", "_salt"], "left")
+    # never broadcast: scores are small as files, but not as rows for each salt in the driver
+    out = rest.withColumns({"_url": url, "_salt": salt}).join(spread.hint("merge"), ["_url", "_salt"], "left")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"host": host, "path": path})
